@@ -4,10 +4,10 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from catalog import features, standard
+    from catalog import evaluation, features, standard
 
     merged: dict = {}
-    for module in (standard, features):
+    for module in (standard, features, evaluation):
         for name, pair in module.QUERIES.items():
             if name in merged:
                 raise ValueError(f"query {name} registered twice")

@@ -277,8 +277,8 @@ def with_class_weights(df: DataFrame, target: str, draw_boost: float = 1.0) -> D
 def specialist_weights(df: DataFrame, target: str, weight: str, multiplier: float = 4 / 3) -> DataFrame:
     """Draw weights times the multiplier, rescaled to sum to the row count."""
     raised = df.withColumn(weight, F.col(weight) * F.when(F.col(target) == 0, multiplier).otherwise(1.0))
-    scale = raised.agg((F.count("*") / F.sum(weight)).alias("_scale"))
-    return raised.crossJoin(F.broadcast(scale)).withColumn(weight, F.col(weight) * F.col("_scale")).drop("_scale")
+    scale = raised.agg(F.count("*") / F.sum(weight)).scalar()
+    return raised.withColumn(weight, F.col(weight) * scale)
 
 
 def confederation_coverage(df: DataFrame) -> DataFrame:

@@ -22,7 +22,10 @@ def _as_number(name: str, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.TimestampType):
         return F.unix_micros(name)
     if isinstance(dtype, T.TimestampNTZType):
-        return F.unix_micros(F.col(name).cast("timestamp"))
+        # From the parts, because a cast through a time zone is not monotone at a clock change.
+        seconds = F.hour(name) * 3600 + F.minute(name) * 60
+        micros = (F.extract(F.lit("SECOND"), F.col(name)) * 1_000_000).cast("long")
+        return (F.unix_date(F.to_date(name)).cast("long") * 86_400 + seconds) * 1_000_000 + micros
     return F.col(name)
 
 
