@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SMALL = 100_000
-BUCKETS = 256
+BUCKETS = 64
+MAX_RANGES = 1024
 
 
 def _as_number(name: str, dtype: T.DataType) -> Column:
@@ -36,9 +37,11 @@ def nth_row(df: DataFrame, order: list[str], n: int, small: int = SMALL) -> tupl
     most `small` rows are left; each round is one filtered scan. Only the chosen
     row reaches the driver.
     """
-    rows = df.select(*order)
     for name in order:
-        number = _as_number(name, rows.schema[name].dataType)
+        number = F.col("_number")
+        rows = (df.select(*order) if name == order[0] else rows).withColumn(
+            "_number", _as_number(name, df.schema[name].dataType)
+        )
         while True:
             left = rows.agg(F.count("*"), F.min(number), F.max(number)).first()
             if left[0] <= small:
@@ -48,24 +51,28 @@ def nth_row(df: DataFrame, order: list[str], n: int, small: int = SMALL) -> tupl
                 return tuple(chosen)
             if left[1] == left[2]:
                 break
-            cuts = _quantiles(rows, number, left[1])
-            counts = rows.groupBy(_bucket(number, cuts).alias("b")).count().collect()
-            below = 0
-            for bucket, count in sorted((r["b"], r["count"]) for r in counts):
-                if n < below + count:
-                    n -= below
-                    if bucket > 0:
-                        rows = rows.filter(number >= cuts[bucket - 1])
-                    if bucket < len(cuts):
-                        rows = rows.filter(number < cuts[bucket])
-                    break
-                below += count
+            rows, n = _narrow(rows, number, left[1], n)
     raise ValueError("the order columns are not unique")
 
 
-def _quantiles(rows: DataFrame, number: Column, low) -> list:
+def _narrow(rows: DataFrame, number: Column, low, n: int) -> tuple[DataFrame, int]:
+    """The range between two sampled cuts that holds position n, and n's place inside it."""
+    cuts = _quantiles(rows, number, low)
+    counts = rows.groupBy(_bucket(number, cuts).alias("b")).count().collect()
+    for bucket, count in sorted((r["b"], r["count"]) for r in counts):
+        if n < count:
+            if bucket > 0:
+                rows = rows.filter(number >= cuts[bucket - 1])
+            if bucket < len(cuts):
+                rows = rows.filter(number < cuts[bucket])
+            return rows, n
+        n -= count
+    raise IndexError("position beyond the last row")
+
+
+def _quantiles(rows: DataFrame, number: Column, low, parts: int = BUCKETS) -> list:
     """Distinct cut values above `low`, so that every cut leaves rows on both sides."""
-    shares = [k / BUCKETS for k in range(1, BUCKETS)]
+    shares = [k / parts for k in range(1, parts)]
     found = rows.agg(F.percentile_approx(number, shares, 10_000), F.max(number)).first()
     return sorted({v for v in [*found[0], found[1]] if v > low})
 
@@ -166,28 +173,44 @@ def calibration_selection_split(
     return cuts.slice(0, fit), cuts.slice(fit, None)
 
 
-def with_row_index(df: DataFrame, order: list[str], output: str = "row_index") -> DataFrame:
+def with_row_index(
+    df: DataFrame,
+    order: list[str],
+    output: str = "row_index",
+    small: int = SMALL,
+    rows_per_range: int = 1_000_000,
+) -> DataFrame:
     """0-based position of every row in the global order.
 
     Rows are cut into ranges by fixed bounds on the order columns, so a recomputed
-    task lands in the same range. A range whose first order column has one value is
-    cut again by the last (unique) column. Offsets are one number per range.
+    task lands in the same range. A crowded range whose first order column has one
+    value is cut again by the last (unique) column. Offsets are one number per range.
     """
     first, last = order[0], order[-1]
-    number = _as_number(first, df.schema[first].dataType)
-    unique = _as_number(last, df.schema[last].dataType)
-    span = df.agg(F.min(number), F.min(unique)).first()
-    if span[0] is None:
-        return df.withColumn(output, F.lit(0).cast("long"))
-    major = _bucket(number, _quantiles(df, number, span[0]))
+    # Computed once per row, ahead of the decision trees that compare them.
+    numbered = df.withColumns(
+        {
+            "_number": _as_number(first, df.schema[first].dataType),
+            "_unique": _as_number(last, df.schema[last].dataType),
+        }
+    )
+    number, unique = F.col("_number"), F.col("_unique")
+    rows, low, low_unique = numbered.agg(F.count("*"), F.min(number), F.min(unique)).first()
+    if rows <= small:
+        local = Window.partitionBy(F.lit(0)).orderBy(*order)
+        return df.withColumn(output, (F.row_number().over(local) - 1).cast("long"))
+    ranges = min(MAX_RANGES, max(2, rows // rows_per_range))
+    major = _bucket(number, _quantiles(numbered, number, low, ranges))
     minor = F.lit(0)
     if len(order) == 2:
-        cut = _bucket(unique, _quantiles(df, unique, span[1]))
-        kinds = df.groupBy(major.alias("b")).agg(F.count("*").alias("c"), F.min(number).alias("lo"), F.max(number).alias("hi"))
-        dense = [r["b"] for r in kinds.collect() if r["lo"] == r["hi"] and r["c"] > SMALL]
-        if dense:
-            minor = F.when(major.isin(*dense), cut).otherwise(0)
-    keyed = df.withColumns({"_major": major, "_minor": minor})
+        kinds = numbered.groupBy(major.alias("b")).agg(
+            F.count("*").alias("c"), F.min(number).alias("lo"), F.max(number).alias("hi")
+        )
+        crowded = [r["b"] for r in kinds.collect() if r["lo"] == r["hi"] and r["c"] > 2 * rows // ranges]
+        if crowded:
+            cut = _bucket(unique, _quantiles(numbered, unique, low_unique, ranges))
+            minor = F.when(major.isin(*crowded), cut).otherwise(0)
+    keyed = numbered.withColumns({"_major": major, "_minor": minor}).drop("_number", "_unique")
     sizes = keyed.groupBy("_major", "_minor").count().collect()
     offsets, total = [], 0
     for row in sorted(sizes):
@@ -239,18 +262,7 @@ def _nth_value(values: DataFrame, n: int, small: int) -> float:
         if left[0] <= small:
             top = rows.orderBy("v").limit(n + 1)
             return top.agg(F.max("v")).first()[0]
-        cuts = _quantiles(rows, number, left[1])
-        counts = rows.groupBy(_bucket(number, cuts).alias("b")).count().collect()
-        below = 0
-        for bucket, count in sorted((r["b"], r["count"]) for r in counts):
-            if n < below + count:
-                n -= below
-                if bucket > 0:
-                    rows = rows.filter(number >= cuts[bucket - 1])
-                if bucket < len(cuts):
-                    rows = rows.filter(number < cuts[bucket])
-                break
-            below += count
+        rows, n = _narrow(rows, number, left[1], n)
 
 
 def stratified_split(

@@ -9,9 +9,6 @@ paired with cells.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,8 +68,20 @@ def with_override(df: DataFrame) -> DataFrame:
     )
 
 
-def _count_not_above(value: Column, grid: list[float]) -> Column:
-    return reduce(add, [(F.lit(g) <= value).cast("int") for g in grid])
+def _count_not_above(value: Column, start: float, grid: list[float]) -> Column:
+    """Number of grid values <= value: a guess from the even spacing, then corrected
+    against the exact doubles on both sides of it."""
+
+    def at(k: Column) -> Column:
+        return F.lit(start) + F.lit(0.02) * k
+
+    guess = F.least(F.greatest(F.floor((value - start) / 0.02) + 1, F.lit(0)), F.lit(len(grid)))
+    return (
+        F.when((guess > 0) & (at(guess - 1) > value), guess - 1)
+        .when((guess < len(grid)) & (at(guess) <= value), guess + 1)
+        .otherwise(guess)
+        .cast("int")
+    )
 
 
 def _loss(row: tuple[str, str, str]) -> Column:
@@ -87,28 +96,41 @@ def grid_statistics(scored: DataFrame) -> DataFrame:
     """
     generalist = tuple(F.col(c) for c in GENERALIST)
     specialist = tuple(F.col(c) for c in SPECIALIST)
-    draw = (F.col("actual") == 0).cast("long")
-    base_draw = (outcomes.argmax_class(*generalist) == 0).cast("long")
+    # Staged, so that every probability expression is evaluated once per row.
+    rows = scored.filter(F.col("match_segment").isNotNull()).select(
+        "match_segment",
+        (F.col("actual") == 0).cast("long").alias("draw"),
+        (outcomes.argmax_class(*generalist) == 0).cast("long").alias("base_draw"),
+        _loss(GENERALIST).alias("base"),
+        (_loss(SPECIALIST) - _loss(GENERALIST)).alias("more"),
+        F.greatest(*generalist).alias("top"),
+        specialist[1].alias("conviction"),
+        (outcomes.argmax_class(*specialist) == 0).alias("says_draw"),
+    )
     # First u index and last c index at which the row overrides.
-    first_u = _count_not_above(F.greatest(*generalist), UNCERTAINTY_GRID)
-    last_c = _count_not_above(specialist[1], CONVICTION_GRID) - 1
-    fires = (outcomes.argmax_class(*specialist) == 0) & (first_u < len(UNCERTAINTY_GRID)) & (last_c >= 0)
+    rows = rows.withColumns(
+        {
+            "u": _count_not_above(F.col("top"), 0.30, UNCERTAINTY_GRID),
+            "c": _count_not_above(F.col("conviction"), 0.40, CONVICTION_GRID) - 1,
+        }
+    )
+    fires = F.col("says_draw") & (F.col("u") < len(UNCERTAINTY_GRID)) & (F.col("c") >= 0)
+    draw, base_draw = F.col("draw"), F.col("base_draw")
     corners = (
-        scored.filter(F.col("match_segment").isNotNull())
-        .groupBy(
+        rows.groupBy(
             "match_segment",
-            F.when(fires, first_u).otherwise(-1).alias("i"),
-            F.when(fires, last_c).otherwise(-1).alias("j"),
+            F.when(fires, F.col("u")).otherwise(-1).alias("i"),
+            F.when(fires, F.col("c")).otherwise(-1).alias("j"),
         )
         .agg(
             F.count("*").alias("rows"),
             F.sum(draw).alias("draws"),
             F.sum(base_draw).alias("base_predicted"),
             F.sum(draw * base_draw).alias("base_hits"),
-            F.sum(_loss(GENERALIST)).alias("base_loss"),
+            F.sum("base").alias("base_loss"),
             F.sum(1 - base_draw).alias("more_predicted"),
             F.sum(draw * (1 - base_draw)).alias("more_hits"),
-            F.sum(_loss(SPECIALIST) - _loss(GENERALIST)).alias("more_loss"),
+            F.sum("more").alias("more_loss"),
         )
     )
     totals = corners.groupBy("match_segment").agg(
