@@ -14,14 +14,13 @@ connected through opponents form one chain in time. Two modes:
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formline.operators.hotkeys import finest_unit
+from formline.sources.folders import shared_folder
 
 # Fixed values of the rating scheme.
 START_RATING = 1500.0
@@ -44,22 +43,6 @@ def decayed(rating: Column, idle_days: Column) -> Column:
     return F.when(idle_days > 0, moved).otherwise(rating)
 
 
-def shared_folder(spark: SparkSession, folder: str | None = None) -> str:
-    """A fresh folder below the cluster's checkpoint folder, visible to every executor.
-
-    Only a local session, where driver and executors are one machine, may fall back
-    to a temporary folder.
-    """
-    base = folder or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="formline-")
-    return f"{base.rstrip('/')}/formline-{uuid.uuid4().hex}"
-
-
 _STATE = "team string, rating double, last_day int"
 _OUT = "kind string, pool string, match_id long, team string, elo_home double, elo_away double, rating double, last_day int"
 _OUT_NAMES = [field.split()[0] for field in _OUT.split(", ")]
@@ -228,6 +211,11 @@ def next_state(state: DataFrame, rated: DataFrame, decay: bool = True) -> DataFr
     )
 
 
+def prepared_periods(matches: DataFrame, period: Column) -> DataFrame:
+    rows = _prepared(matches.withColumn("_period", period), ["_period"])
+    return rows.withColumnRenamed("pool", "period")
+
+
 def busiest(rows: DataFrame, period: str) -> int:
     """Largest number of matches of one team in one period."""
     teams = rows.select(period, F.explode(F.array("home_team", "away_team")).alias("team"))
@@ -247,8 +235,7 @@ def period_ratings(
     plays more than `max_matches` times, where the scheme is not stable.
     """
     spark = matches.sparkSession
-    rows = _prepared(matches.withColumn("_period", period), ["_period"])
-    rows = rows.withColumnRenamed("pool", "period")
+    rows = prepared_periods(matches, period)
     worst = busiest(rows, "period")
     if worst > max_matches:
         raise ValueError(
