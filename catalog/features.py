@@ -8,6 +8,7 @@ from catalog.common import Registry, day, r6, with_views
 from formline import views
 from formline.operators import form, ratings, snapshots, standard
 from formline.plans.build import feature_table
+from formline.sources.folders import stored
 
 QUERIES = Registry()
 add = QUERIES.add
@@ -71,7 +72,7 @@ def rated(spark, sf_dir, decay=True):
 
 
 def featured(spark, sf_dir):
-    return form.with_form(rated(spark, sf_dir))
+    return form.with_form(stored(rated(spark, sf_dir)), counted=views.matches(spark, sf_dir))
 
 
 def _window_sql(columns: dict[str, tuple[str, str]]) -> str:
@@ -382,5 +383,6 @@ def _as_of_cte(name: str, side: str, role: str | None) -> str:
  left join hr on hr.fixture_id=f.match_id left join ar on ar.fixture_id=f.match_id"""),
 )
 def j5(spark, sf_dir):
-    good, _ = snapshots.fixture_features_as_of(fixtures(spark, sf_dir), history(spark, sf_dir))
+    good, _ = snapshots.fixture_features_as_of(
+        fixtures(spark, sf_dir), history(spark, sf_dir), counted=snapshots.team_snapshots(views.matches(spark, sf_dir)))
     return _fixture_view(good)

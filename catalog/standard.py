@@ -113,6 +113,18 @@ def p6(spark, sf_dir):
     return standard.drop_unscored(m)
 
 
+@add(
+    "P6_removal_counts",
+    """select count(*) as matches, count(*) filter (o_orderkey%6=0) as unscored,
+ count(*) filter (o_orderkey%6<>0 and cast(o_orderdate as date)<date '1998-01-01') as before_era from orders""",
+)
+def p6_counts(spark, sf_dir):
+    orders = views.read_table(spark, sf_dir, "orders").select(
+        F.col("o_orderdate").cast("date").alias("match_date"),
+        F.when(F.col("o_orderkey") % 6 != 0, 1).alias("home_goals"), F.lit(0).alias("away_goals"))
+    return standard.removal_counts(orders, date(1998, 1, 1))
+
+
 def _api_feed(spark, sf_dir):
     m = views.matches(spark, sf_dir)
     code = (

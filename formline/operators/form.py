@@ -73,14 +73,17 @@ def team_form(
     window: int = 5,
     include_current: bool = False,
     rows_per_slice: int = hotkeys.ROWS_PER_SLICE,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Team rows with all form columns, one row per match and role.
 
     `include_current` ends the frame at the current match instead of before it
-    (for serving from the latest match).
+    (for serving from the latest match). `counted` holds the same matches before
+    expensive columns were added; rows per team are counted there.
     """
     rows = with_role_results(team_rows(matches))
-    slices = hotkeys.time_slices(rows, "team", "kickoff_ts", rows_per_slice)
+    plain = team_rows(matches if counted is None else counted)
+    slices = hotkeys.time_slices(plain, "team", "kickoff_ts", rows_per_slice)
     rows = hotkeys.assign_slices(rows, "team", "kickoff_ts", slices)
     rows = hotkeys.with_halo(
         rows, "team", [["team"], ["team", "role"]], ["kickoff_ts", "match_id"], window, slices
@@ -107,24 +110,25 @@ def feature_names(form: DataFrame) -> list[str]:
 
 def reattach(matches: DataFrame, form: DataFrame) -> DataFrame:
     """Team-perspective columns back on the match row as home_* and away_*."""
-    names = feature_names(form)
-    values = F.struct(*names)
-    wide = form.groupBy("match_id").agg(
-        F.first(F.when(F.col("role") == "home", values), ignorenulls=True).alias("_home"),
-        F.first(F.when(F.col("role") == "away", values), ignorenulls=True).alias("_away"),
-    )
-    flat = wide.select(
-        "match_id",
-        *[F.col(f"_{side}.{n}").alias(f"{side}_{n}") for side in ("home", "away") for n in names],
+    # One value per match and role; max keeps the aggregate hash-based.
+    flat = form.groupBy("match_id").agg(
+        *[
+            F.max(F.when(F.col("role") == side, F.col(n))).alias(f"{side}_{n}")
+            for side in ("home", "away") for n in feature_names(form)
+        ]
     )
     return matches.join(flat, "match_id", "left")
 
 
 def with_form(
-    matches: DataFrame, window: int = 5, rows_per_slice: int = hotkeys.ROWS_PER_SLICE
+    matches: DataFrame,
+    window: int = 5,
+    rows_per_slice: int = hotkeys.ROWS_PER_SLICE,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Match rows with every form column and the home advantage effect."""
-    joined = reattach(matches, team_form(matches, window, rows_per_slice=rows_per_slice))
+    form = team_form(matches, window, rows_per_slice=rows_per_slice, counted=counted)
+    joined = reattach(matches, form)
     out = joined.withColumn(
         "home_advantage_effect", F.col("home_win_rate_last5") - F.col("away_win_rate_last5")
     )

@@ -107,10 +107,11 @@ def with_halo(
         # last `width` rows lie within the `width` preceding slices.
         earlier = Window.partitionBy(*group).orderBy(SLICE).rowsBetween(-width, -1)
         carried = tails.withColumn("_before", F.flatten(F.collect_list("_tail").over(earlier)))
-        part = carried.select(
-            F.col(SLICE).alias("_target"),
-            F.explode(F.slice("_before", -F.least(F.size("_before"), F.lit(width)), width)).alias("row"),
-        ).select("row.*", "_target")
+        kept = F.greatest(F.least(F.size("_before"), F.lit(width)), F.lit(1))
+        last = F.when(F.size("_before") > 0, F.slice("_before", -kept, kept))
+        part = carried.select(F.col(SLICE).alias("_target"), F.explode(last).alias("row")).select(
+            "row.*", "_target"
+        )
         copies = part if copies is None else copies.unionByName(part)
     assert copies is not None
     copies = (

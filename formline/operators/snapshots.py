@@ -86,9 +86,11 @@ def as_of(
     snapshots: DataFrame,
     values: list[str],
     rows_per_slice: int = hotkeys.ROWS_PER_SLICE,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """For every request (request_id, team, request_date): the latest snapshot with
-    snapshot_date <= request_date, as one struct column per role and overall.
+    snapshot_date <= request_date, as one struct column per role and overall. Team
+    names match without regard to case.
 
     Requests and snapshots are unioned and the last snapshot is carried forward
     inside each team, so each row is visited once; there is no range join. Teams
@@ -98,7 +100,7 @@ def as_of(
     roles = ("home", "away", OVERALL)
     packed = F.struct("snapshot_date", *values)
     history = snapshots.select(
-        "team", F.col("snapshot_date").alias("_day"), F.lit(0).alias("_ask"),
+        fold_key(F.col("team")).alias("team"), F.col("snapshot_date").alias("_day"), F.lit(0).alias("_ask"),
         F.col("kickoff_ts").alias("_ts"), F.col("match_id").alias("_id"),
         F.lit(None).cast("long").alias("request_id"),
         *[
@@ -107,13 +109,17 @@ def as_of(
         ],
     )
     asked = requests.select(
-        "team", F.col("request_date").alias("_day"), F.lit(1).alias("_ask"),
+        fold_key(F.col("team")).alias("team"), F.col("request_date").alias("_day"), F.lit(1).alias("_ask"),
         F.lit(None).cast(snapshots.schema["kickoff_ts"].dataType).alias("_ts"),
         F.lit(None).cast("long").alias("_id"), F.col("request_id").cast("long").alias("request_id"),
         *[F.lit(None).cast(history.schema[f"_{role}"].dataType).alias(f"_{role}") for role in roles],
     )
     rows = history.unionByName(asked).withColumn("_time", F.col("_day").cast("timestamp_ntz"))
-    slices = hotkeys.time_slices(rows, "team", "_time", rows_per_slice)
+    days = (snapshots if counted is None else counted).select("team", F.col("snapshot_date").alias("_day"))
+    days = days.unionByName(requests.select("team", F.col("request_date").alias("_day"))).select(
+        fold_key(F.col("team")).alias("team"), F.col("_day").cast("timestamp_ntz").alias("_time")
+    )
+    slices = hotkeys.time_slices(days, "team", "_time", rows_per_slice)
     rows = hotkeys.assign_slices(rows, "team", "_time", slices)
     order = ("_day", "_ask", "_ts", "_id", "request_id")
     if slices is None:
@@ -171,6 +177,13 @@ def assemble(fixtures: DataFrame) -> DataFrame:
 SNAPSHOT_VALUES = ["elo", *SIDE_VALUES]
 
 
+def _resolved() -> Column:
+    """Both teams have an overall snapshot and are not the same team."""
+    known = F.col("home_overall").isNotNull() & F.col("away_overall").isNotNull()
+    differ = fold_key(F.col("home_team")) != fold_key(F.col("away_team"))
+    return F.coalesce(known & differ, F.lit(False))
+
+
 def fixture_features_latest(fixtures: DataFrame, latest: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(features, unresolved) from the latest-snapshot table (role and overall rows).
 
@@ -198,12 +211,7 @@ def fixture_features_latest(fixtures: DataFrame, latest: DataFrame) -> tuple[Dat
             F.col(f"_{OVERALL}").alias(f"{side}_overall"),
         )
         out = out.join(dim, fold_key(F.col(f"{side}_team")) == F.col(f"_{side}_key"), "left").drop(f"_{side}_key")
-    known = (
-        F.col("home_overall").isNotNull()
-        & F.col("away_overall").isNotNull()
-        & (fold_key(F.col("home_team")) != fold_key(F.col("away_team")))
-    )
-    good = F.coalesce(known, F.lit(False))
+    good = _resolved()
     return assemble(out.filter(good)), out.filter(~good).select(*fixtures.columns)
 
 
@@ -213,6 +221,7 @@ def fixture_features_as_of(
     fixture_id: str = "match_id",
     request_date: str = "match_date",
     rows_per_slice: int = hotkeys.ROWS_PER_SLICE,
+    counted: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(features, unresolved) with every snapshot taken on or before the request date."""
     asks = fixtures.select(
@@ -224,7 +233,7 @@ def fixture_features_as_of(
         ).alias("a"),
         F.col(request_date).alias("request_date"),
     ).select("a.*", "request_date")
-    answers = as_of(asks, snapshots, SNAPSHOT_VALUES, rows_per_slice)
+    answers = as_of(asks, snapshots, ["team", *SNAPSHOT_VALUES], rows_per_slice, counted)
     home = F.col("request_id") % 2 == 0
     row = F.struct("home", "away", OVERALL)
     per_fixture = answers.groupBy(F.floor(F.col("request_id") / 2).alias(fixture_id)).agg(
@@ -235,7 +244,9 @@ def fixture_features_as_of(
         {
             "home_role": F.col("_h.home"), "home_overall": F.col(f"_h.{OVERALL}"),
             "away_role": F.col("_a.away"), "away_overall": F.col(f"_a.{OVERALL}"),
+            "resolved_home_team": F.col(f"_h.{OVERALL}.team"),
+            "resolved_away_team": F.col(f"_a.{OVERALL}.team"),
         }
     ).drop("_h", "_a")
-    good = F.col("home_overall").isNotNull() & F.col("away_overall").isNotNull()
+    good = _resolved()
     return assemble(joined.filter(good)), joined.filter(~good).select(*fixtures.columns)

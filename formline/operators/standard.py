@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formline.functions import outcomes
@@ -83,26 +83,28 @@ def align_to(df: DataFrame, other: DataFrame) -> DataFrame:
     return df.select(*other.columns)
 
 
-def from_era(
-    df: DataFrame, start: date = date(1990, 1, 1), observation: Observation | None = None
-) -> DataFrame:
-    """Matches from `start` on. The removed count is observed, without an extra pass."""
-    if observation is not None:
-        df = df.observe(observation, F.count_if(F.col("match_date") < F.lit(start)).alias("removed"))
+def from_era(df: DataFrame, start: date = date(1990, 1, 1)) -> DataFrame:
+    """Matches from `start` on."""
     return df.filter(F.col("match_date") >= F.lit(start))
 
 
 def drop_unscored(
-    df: DataFrame,
-    score_columns: tuple[str, str] = ("home_goals", "away_goals"),
-    observation: Observation | None = None,
+    df: DataFrame, score_columns: tuple[str, str] = ("home_goals", "away_goals")
 ) -> DataFrame:
-    if observation is not None:
-        missing = F.col(score_columns[0]).isNull() | F.col(score_columns[1]).isNull()
-        df = df.observe(observation, F.count_if(missing).alias("dropped"))
     return df.dropna(subset=list(score_columns))
 
 
+def removal_counts(df: DataFrame, start: date = date(1990, 1, 1)) -> DataFrame:
+    """One row: all matches, those without a score, and scored ones before the era."""
+    unscored = F.col("home_goals").isNull() | F.col("away_goals").isNull()
+    early = F.coalesce(F.col("match_date") < F.lit(start), F.lit(False))
+    return df.agg(
+        F.count("*").alias("matches"),
+        F.count_if(unscored).alias("unscored"),
+        F.count_if(~unscored & early).alias("before_era"),
+    )
+
+
 def competition_reason(code: Column) -> Column:
     """`international`, `club` or `unknown`."""
     return (

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, folder: str | None = None) -> str:
@@ -20,3 +20,14 @@ def shared_folder(spark: SparkSession, folder: str | None = None) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="formline-")
     return f"{base.rstrip('/')}/formline-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """The rows written to a shared folder and read back.
+
+    Cuts the lineage, so that a plan that uses the rows several times does not repeat the
+    work, and a lost executor costs one re-read.
+    """
+    path = shared_folder(df.sparkSession, folder)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

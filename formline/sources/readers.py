@@ -95,10 +95,10 @@ def read_api_matches(spark: SparkSession, pattern: str, multi_line: bool = True)
 
 
 def unreadable_files(snapshots: DataFrame) -> DataFrame:
-    """Count of files that could not be parsed."""
-    # A scan may not select only the corrupt column, hence the pair.
-    return snapshots.select("matches", "_corrupt_record").agg(
-        F.count_if(F.col("_corrupt_record").isNotNull()).alias("unreadable")
+    """Readable and unreadable records (a scan may not ask for the corrupt column alone)."""
+    return snapshots.agg(
+        F.count_if(F.col("_corrupt_record").isNotNull()).alias("unreadable"),
+        F.count_if(F.col("matches").isNotNull()).alias("readable"),
     )
 
 
