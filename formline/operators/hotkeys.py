@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from formline.sources.folders import stored
+
 SLICE = "_slice"
 HALO = "_halo"
 ROWS_PER_SLICE = 5_000_000
@@ -41,19 +43,15 @@ def time_slices(df: DataFrame, key: str, time: str, limit: int) -> DataFrame | N
     if not has_hot_keys(df, key, limit):
         return None
     unit = finest_unit(df, [key], time, limit)
+    hot = df.groupBy(key).count().filter(F.col("count") > limit).select(key)
     per_unit = df.groupBy(key, F.date_trunc(unit, F.col(time)).alias("_unit")).count()
-    whole = Window.partitionBy(key)
-    before = whole.orderBy("_unit").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        per_unit.withColumns(
-            {
-                "_rows": F.sum("count").over(whole),
-                SLICE: F.floor(F.coalesce(F.sum("count").over(before), F.lit(0)) / limit),
-            }
-        )
-        .filter(F.col("_rows") > limit)
-        .select(key, "_unit", SLICE, F.lit(unit).alias("_unit_name"))
+    before = Window.partitionBy(key).orderBy("_unit").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.floor(F.coalesce(F.sum("count").over(before), F.lit(0)) / limit)
+    slices = per_unit.join(hot, key, "left_semi").select(
+        key, "_unit", number.alias(SLICE), F.lit(unit).alias("_unit_name")
     )
+    # Small, but the outcome of a pass over everything, and used several times.
+    return stored(slices)
 
 
 def assign_slices(df: DataFrame, key: str, time: str, slices: DataFrame | None) -> DataFrame:

@@ -277,61 +277,61 @@ def stratified_split(
     return df.filter(~test), df.filter(test)
 
 
-def roc_curve(frame: DataFrame, cls: int, score: str, buckets: int = 1024) -> DataFrame:
-    """One-vs-rest curve: a point per distinct score, from the highest down.
+def _score_counts(frame: DataFrame, cls: int, score: str) -> DataFrame:
+    """Positives and negatives per distinct score, with the score's range.
 
-    Scores are counted first, then cumulated inside score buckets with one offset
-    per bucket, so no task orders all of them.
+    Ranges hold similar numbers of distinct scores; their bounds are sampled quantiles.
     """
     hit = (F.col("actual") == cls).cast("long")
-    counts = frame.groupBy(F.col(score).alias("threshold")).agg(
+    counts = frame.groupBy(F.col(score).cast("double").alias("threshold")).agg(
         F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg")
     )
-    bucket = F.least(F.floor(F.col("threshold") * buckets), F.lit(buckets - 1)).cast("int")
-    counts = counts.withColumn("_b", bucket)
-    per_bucket = counts.groupBy("_b").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
+    rows, low = counts.agg(F.count("*"), F.min("threshold")).first()
+    if rows <= SMALL:
+        return counts.withColumn("_b", F.lit(0))
+    ranges = min(MAX_RANGES, max(2, rows // 1_000_000))
+    return counts.withColumn("_b", _bucket(F.col("threshold"), _quantiles(counts, F.col("threshold"), low, ranges)))
+
+
+def _cumulated(counts: DataFrame) -> DataFrame:
+    """True and false positives at every score and just above it, and the totals.
+
+    Sums run inside a range; each range starts from one offset, so no task orders
+    all scores.
+    """
+    per_range = counts.groupBy("_b").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
     above = Window.partitionBy().orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
-    offsets = per_bucket.select(
+    offsets = per_range.select(
         "_b",
         F.coalesce(F.sum("p").over(above), F.lit(0)).alias("_p0"),
         F.coalesce(F.sum("q").over(above), F.lit(0)).alias("_q0"),
         F.sum("p").over(whole).alias("_p"), F.sum("q").over(whole).alias("_q"),
     )
     inside = Window.partitionBy("_b").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    joined = counts.withColumns({"_tp": F.sum("pos").over(inside), "_fp": F.sum("neg").over(inside)})
-    joined = joined.join(F.broadcast(offsets), "_b")
-    tp, fp = F.col("_tp") + F.col("_p0"), F.col("_fp") + F.col("_q0")
-    return joined.select(
-        "threshold", tp.alias("true_positives"), fp.alias("false_positives"),
-        (tp / F.col("_p")).alias("true_positive_rate"), (fp / F.col("_q")).alias("false_positive_rate"),
+    summed = counts.withColumns({"_tp": F.sum("pos").over(inside), "_fp": F.sum("neg").over(inside)})
+    # At most one offset row per range.
+    return summed.join(F.broadcast(offsets), "_b").withColumns(
+        {"_tp": F.col("_tp") + F.col("_p0"), "_fp": F.col("_fp") + F.col("_q0")}
     )
 
 
-def roc_auc(frame: DataFrame, cls: int, score: str) -> DataFrame:
-    """Area under the curve: the share of (positive, negative) pairs ranked right, ties half."""
-    curve = roc_curve(frame, cls, score)
-    bucket = F.least(F.floor(F.col("threshold") * 1024), F.lit(1023))
-    order = Window.partitionBy("_b").orderBy(F.desc("threshold"))
-    keyed = curve.withColumn("_b", bucket)
-    ends = keyed.groupBy("_b").agg(F.max("true_positives").alias("_tp"), F.max("false_positives").alias("_fp"))
-    upto = Window.partitionBy().orderBy(F.desc("_b"))
-    starts = ends.select(
-        "_b", F.coalesce(F.lag("_tp").over(upto), F.lit(0)).alias("_tp0"),
-        F.coalesce(F.lag("_fp").over(upto), F.lit(0)).alias("_fp0"),
-    )
-    steps = keyed.join(F.broadcast(starts), "_b").withColumns(
-        {
-            "_before_tp": F.coalesce(F.lag("true_positives").over(order), F.col("_tp0")),
-            "_before_fp": F.coalesce(F.lag("false_positives").over(order), F.col("_fp0")),
-        }
-    )
-    area = (F.col("false_positives") - F.col("_before_fp")) * (F.col("true_positives") + F.col("_before_tp")) / 2.0
-    return steps.agg(
-        (F.sum(area) / F.max("true_positives") / F.max("false_positives")).alias("auc")
+def roc_curve(frame: DataFrame, cls: int, score: str) -> DataFrame:
+    """One-vs-rest curve: a point per distinct score, from the highest down."""
+    return _cumulated(_score_counts(frame, cls, score)).select(
+        "threshold", F.col("_tp").alias("true_positives"), F.col("_fp").alias("false_positives"),
+        (F.col("_tp") / F.col("_p")).alias("true_positive_rate"),
+        (F.col("_fp") / F.col("_q")).alias("false_positive_rate"),
     )
 
 
+def roc_auc(frame: DataFrame, cls: int, score: str) -> DataFrame:
+    """Share of (positive, negative) pairs ranked right, ties half: the area under the curve."""
+    points = _cumulated(_score_counts(frame, cls, score))
+    area = F.col("neg") * (2 * F.col("_tp") - F.col("pos")) / 2.0
+    return points.agg((F.sum(area) / F.max("_p") / F.max("_q")).alias("auc"))
+
+
 def calibration_curve(frame: DataFrame, cls: int, score: str, bins: int = 10) -> DataFrame:
     """Mean predicted and observed share in quantile bins (edges from exact quantiles)."""
     edges = exact_quantiles(frame, [score], [k / bins for k in range(bins + 1)])[score]

@@ -29,7 +29,7 @@ SCALE = 400.0
 DECAY_RATE = 0.97
 DECAY_DAYS = 90.0
 
-ROWS_PER_STEP = 2_000_000
+ROWS_PER_STEP = 1_000_000
 MAX_MATCHES_PER_PERIOD = 4
 
 

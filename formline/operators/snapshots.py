@@ -88,7 +88,7 @@ def as_of(
     rows_per_slice: int = hotkeys.ROWS_PER_SLICE,
     counted: DataFrame | None = None,
 ) -> DataFrame:
-    """For every request (request_id, team, request_date): the latest snapshot with
+    """For every request (any unique request_id, team, request_date): the latest snapshot with
     snapshot_date <= request_date, as one struct column per role and overall. Team
     names match without regard to case.
 
@@ -102,7 +102,7 @@ def as_of(
     history = snapshots.select(
         fold_key(F.col("team")).alias("team"), F.col("snapshot_date").alias("_day"), F.lit(0).alias("_ask"),
         F.col("kickoff_ts").alias("_ts"), F.col("match_id").alias("_id"),
-        F.lit(None).cast("long").alias("request_id"),
+        F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"),
         *[
             (packed if role == OVERALL else F.when(F.col("team_role") == role, packed)).alias(f"_{role}")
             for role in roles
@@ -111,7 +111,7 @@ def as_of(
     asked = requests.select(
         fold_key(F.col("team")).alias("team"), F.col("request_date").alias("_day"), F.lit(1).alias("_ask"),
         F.lit(None).cast(snapshots.schema["kickoff_ts"].dataType).alias("_ts"),
-        F.lit(None).cast("long").alias("_id"), F.col("request_id").cast("long").alias("request_id"),
+        F.lit(None).cast("long").alias("_id"), "request_id",
         *[F.lit(None).cast(history.schema[f"_{role}"].dataType).alias(f"_{role}") for role in roles],
     )
     rows = history.unionByName(asked).withColumn("_time", F.col("_day").cast("timestamp_ntz"))
@@ -224,19 +224,20 @@ def fixture_features_as_of(
     counted: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(features, unresolved) with every snapshot taken on or before the request date."""
+    sides = [
+        F.struct(
+            F.col(f"{side}_team").alias("team"),
+            F.struct(F.col(fixture_id).alias("fixture"), F.lit(side).alias("side")).alias("request_id"),
+        )
+        for side in ("home", "away")
+    ]
     asks = fixtures.select(
-        F.explode(
-            F.array(
-                F.struct(F.col("home_team").alias("team"), (F.col(fixture_id) * 2).alias("request_id")),
-                F.struct(F.col("away_team").alias("team"), (F.col(fixture_id) * 2 + 1).alias("request_id")),
-            )
-        ).alias("a"),
-        F.col(request_date).alias("request_date"),
+        F.explode(F.array(*sides)).alias("a"), F.col(request_date).alias("request_date")
     ).select("a.*", "request_date")
     answers = as_of(asks, snapshots, ["team", *SNAPSHOT_VALUES], rows_per_slice, counted)
-    home = F.col("request_id") % 2 == 0
+    home = F.col("request_id.side") == "home"
     row = F.struct("home", "away", OVERALL)
-    per_fixture = answers.groupBy(F.floor(F.col("request_id") / 2).alias(fixture_id)).agg(
+    per_fixture = answers.groupBy(F.col("request_id.fixture").alias(fixture_id)).agg(
         F.first(F.when(home, row), ignorenulls=True).alias("_h"),
         F.first(F.when(~home, row), ignorenulls=True).alias("_a"),
     )

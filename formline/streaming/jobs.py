@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,11 +27,42 @@ def dedup_matches(stream: DataFrame, delay: str = "7 days") -> DataFrame:
     return stream.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(list(standard.DEDUP_KEY))
 
 
-def run_ingest(spark: SparkSession, folder: str, output: str, checkpoint: str, delay: str = "7 days") -> None:
-    """All files present so far: deduplicated matches to Parquet. Restartable."""
-    rows = dedup_matches(stream_match_documents(spark, folder), delay)
+def run_to_parquet(rows: DataFrame, output: str, checkpoint: str) -> None:
+    """Appends everything available now to Parquet."""
+    query = (
+        rows.writeStream.outputMode("append").format("parquet").option("path", output)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+
+
+def run_ingest(spark: SparkSession, folder: str, output: str, checkpoint: str) -> None:
+    """All files present so far, first arrival of every match, as Parquet. Restartable.
+
+    A micro-batch is first deduplicated with a map-side combined minimum, so a match with
+    very many copies does not meet in one state partition; then matches of earlier batches
+    are left out. The output is the state: one folder per batch, overwritten on a repeat,
+    and only the days of the batch are read back.
+    """
+    flat = stream_match_documents(spark, folder).drop("event_time")
+    key = list(standard.DEDUP_KEY)
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        fresh = standard.deduplicate(batch, tuple(key), order=tuple(batch.columns))
+        span = batch.agg(F.min("match_date"), F.max("match_date")).first()
+        if span[0] is None:
+            return
+        if batch_id > 0:
+            known = spark.read.schema(batch.schema.add("batch", "int")).parquet(output).filter(
+                (F.col("batch") < batch_id) & F.col("match_date").between(span[0], span[1])
+            )
+            seen = known.select(*[F.col(c).alias(f"_{c}") for c in key])
+            same = [fresh[c].eqNullSafe(seen[f"_{c}"]) for c in key]
+            fresh = fresh.join(seen, reduce(and_, same), "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+
     query = (
-        rows.writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint)
+        flat.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
@@ -53,11 +87,7 @@ _PERFORMANCE = (
 def run_hourly(spark: SparkSession, log_folder: str, schema: T.StructType, output: str, checkpoint: str) -> None:
     """Append mode: an hour is written once the watermark has passed it."""
     stream = spark.readStream.schema(schema).parquet(log_folder)
-    query = (
-        hourly_performance(stream).writeStream.outputMode("append").format("parquet")
-        .option("path", output).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    run_to_parquet(hourly_performance(stream), output, checkpoint)
 
 
 class RatingStream:

@@ -128,3 +128,33 @@ def test_rating_stream_restarts(spark, tmp_path, make_matches):
     got = {r["match_id"]: r["elo_home"] for r in job.ratings().collect()}
     assert got.keys() == exact.keys()
     assert all(got[k] == pytest.approx(exact[k]) for k in exact)
+
+
+def test_ingest_drops_copies_within_and_across_batches(spark, tmp_path):
+    source, output = str(tmp_path / "landed"), str(tmp_path / "out")
+
+    def land(days):
+        docs = [
+            '{"matches": [{"utcDate": "2024-01-%02dT10:00:00Z", "homeTeam": {"name": "A"}, "awayTeam": {"name": "B"}, '
+            '"score": {"fullTime": {"home": 1, "away": 0}}}]}' % d
+            for d in days
+        ]
+        spark.createDataFrame([(d,) for d in docs], "value string").coalesce(1).write.mode("append").text(source)
+        jobs.run_ingest(spark, source, output, str(tmp_path / "checkpoint"))
+        return spark.read.parquet(output)
+
+    assert land([1, 2, 2, 2]).count() == 2
+    both = land([2, 3, 3])
+    assert both.count() == 3
+    assert both.filter("match_date = date '2024-01-02' and batch = 0").count() == 1
+
+
+def test_late_hours_are_left_out(spark, tmp_path):
+    rows = spark.sql("""select timestamp '2024-01-01 00:10:00' as timestamp_utc, 'friendlies' as match_segment, true as is_override_triggered,
+        'draw' as predicted_outcome, '{"home_win": 0.2, "draw": 0.5, "away_win": 0.3}' as class_probabilities_json""")
+    log, out, check = (str(tmp_path / n) for n in ("log", "out", "check"))
+    for moment in ("2024-01-01 00:10:00", "2024-01-01 06:00:00", "2024-01-01 00:20:00", "2024-01-01 12:00:00"):
+        rows.withColumn("timestamp_utc", F.lit(moment).cast("timestamp")).write.mode("append").parquet(log)
+        jobs.run_hourly(spark, log, rows.schema, out, check)
+    got = {str(r["hour"]): r["total_predictions"] for r in spark.read.parquet(out).collect()}
+    assert got["2024-01-01 00:00:00"] == 1
