@@ -573,6 +573,19 @@ def w9(spark, sf_dir):
     return both.groupBy("part").agg(F.count("*").alias("rows"), F.sum("match_id").alias("id_sum"))
 
 
+@add(
+    "U5_train_and_calibration",
+    with_views("matches", ctes=_INDEXED, body="""select count(*) as rows, cast(sum(match_id) as bigint) as id_sum from idx
+ where i < n-cast(floor(n*0.2) as bigint)"""),
+)
+def u5(spark, sf_dir):
+    """Both windows together are one filter on the order columns."""
+    m = views.matches(spark, sf_dir)
+    total = m.count()
+    both = ordered.Cuts(m, ORDER, [total - int(total * 0.2)]).slice(0, total - int(total * 0.2))
+    return both.agg(F.count("*").alias("rows"), F.sum("match_id").alias("id_sum"))
+
+
 @add(
     "T1_chronological_row_index",
     with_views("matches", ctes=_INDEXED, body="select match_id, i as row_index from idx"),

@@ -114,7 +114,7 @@ def m13(spark, sf_dir):
 @add("M16_training_job")
 def m16(spark, sf_dir):
     rows = feature_rows(spark, sf_dir).select("match_id", "kickoff_ts", "match_segment", "tournament", TARGET, *COLUMNS).persist()
-    out = training.train_and_select(rows, [Candidate("prior", "dummy"), FOREST], splits=3)
+    out = training.train_and_select(rows, [Candidate("prior", "dummy"), FOREST], splits=3, calibration_size=0.25)
     return out["test_metrics"].select("n", *[r6(m).alias(m) for m in metrics.SUITE]).withColumn(
         "selected", F.lit(out["summary"]["selected_model_name"])).withColumn("variant", F.lit(out["summary"]["deployed_variant"]))
 
@@ -124,7 +124,7 @@ def m17(spark, sf_dir):
     rows = feature_rows(spark, sf_dir).select("match_id", "kickoff_ts", "match_segment", "tournament", TARGET, *COLUMNS).persist()
     folder = shared_folder(spark)
     small = Candidate("seg_hybrid_small", "segment_aware_hybrid", {**SEGMENTED.params, "max_iter": 5}, 1.2)
-    training.train_and_select(rows, [Candidate("prior", "dummy"), small], splits=3, model_folder=folder, tag="v1")
+    training.train_and_select(rows, [Candidate("prior", "dummy"), small], splits=3, calibration_size=0.25, model_folder=folder, tag="v1")
     shadow, _, about = models.load(f"{folder}/shadow" if _exists(spark, f"{folder}/shadow/about") else f"{folder}/production", spark)
     return _rounded(shadow.score(rows)).withColumn("model_name", F.lit(about["model"]["name"]))
 
@@ -194,5 +194,5 @@ def m25(spark, sf_dir):
     views.matches(spark, sf_dir).write.parquet(f"{folder}/in")
     stages = job.run(
         spark, spark.read.parquet(f"{folder}/in"), None, f"{folder}/layers", pool=["pool_id"],
-        candidates=[Candidate("prior", "dummy"), FOREST], splits=3, run_id="run-25")
+        candidates=[Candidate("prior", "dummy"), FOREST], splits=3, run_id="run-25", calibration_size=0.25)
     return stages.select("stage", "status", "rows")

@@ -491,3 +491,16 @@ def f8(spark, sf_dir):
         F.date_format(F.date_trunc("hour", "kickoff_ts"), "yyyy-MM-dd HH").alias("hour"),
         outcomes.encode(outcomes.outcome(*goals)).alias("encoded"),
     )
+
+
+@add(
+    "F1_pluggable_segment_detector",
+    with_views("matches", body="""select case when tournament like '%Cup%' then 'cup' when tournament='Friendly' then 'friendly' else 'none' end as match_segment,
+ count(*) as matches from matches group by 1"""),
+)
+def f1(spark, sf_dir):
+    def cups(tournament):
+        return F.when(tournament.contains("Cup"), "cup").when(tournament == "Friendly", "friendly")
+
+    routed = standard.with_segment(views.matches(spark, sf_dir), detector=cups)
+    return routed.groupBy(F.coalesce("match_segment", F.lit("none")).alias("match_segment")).agg(F.count("*").alias("matches"))

@@ -152,7 +152,8 @@ def exact_ratings(
         folded = rows.groupBy("pool").applyInPandas(lambda part: fold(part, nobody), _OUT)
     else:
         folder = shared_folder(spark, checkpoint_folder)
-        rows.write.partitionBy("step").parquet(f"{folder}/rows")
+        # Rebalanced, so that a step is a few files and not one per input task.
+        rows.hint("rebalance", "step").write.partitionBy("step").parquet(f"{folder}/rows")
         stored = spark.read.parquet(f"{folder}/rows")
         state = spark.createDataFrame([], f"pool string, {_STATE}")
         for step in range(steps):
@@ -243,7 +244,7 @@ def period_ratings(
             "or exact ratings"
         )
     folder = shared_folder(spark, checkpoint_folder)
-    rows.write.partitionBy("period").parquet(f"{folder}/rows")
+    rows.hint("rebalance", "period").write.partitionBy("period").parquet(f"{folder}/rows")
     stored = spark.read.schema(rows.schema).parquet(f"{folder}/rows")
     # One value per period reaches the driver, which runs two jobs per period.
     periods = sorted(r[0] for r in rows.select("period").distinct().collect())

@@ -39,6 +39,8 @@ def run(
     skip: tuple[str, ...] = (),
     era_start: date = date(1990, 1, 1),
     run_id: str | None = None,
+    test_size: float = 0.2,
+    calibration_size: float = 0.1,
 ) -> DataFrame:
     """Runs the stages and returns one row per stage (status, seconds, rows, detail).
 
@@ -73,7 +75,9 @@ def run(
 
     def train():
         gold = spark.read.parquet(f"{folder}/gold").drop("year", "source_priority")
-        out = training.train_and_select(gold, candidates, splits, model_folder=f"{folder}/models")
+        out = training.train_and_select(
+            gold, candidates, splits, test_size, calibration_size, model_folder=f"{folder}/models"
+        )
         sinks.write_report(out["test_metrics"], f"{folder}/reports/test_metrics")
         sinks.write_report(out["ranking"], f"{folder}/reports/ranking")
         scored = out["test_metrics"].first()

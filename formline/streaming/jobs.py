@@ -53,7 +53,8 @@ def run_ingest(spark: SparkSession, folder: str, output: str, checkpoint: str) -
         if span[0] is None:
             return
         if batch_id > 0:
-            known = spark.read.schema(batch.schema.add("batch", "int")).parquet(output).filter(
+            layout = T.StructType([*batch.schema.fields, T.StructField("batch", T.IntegerType())])
+            known = spark.read.schema(layout).parquet(output).filter(
                 (F.col("batch") < batch_id) & F.col("match_date").between(span[0], span[1])
             )
             seen = known.select(*[F.col(c).alias(f"_{c}") for c in key])

@@ -79,3 +79,26 @@ def test_two_stage_needs_decided_matches(spark):
 def test_edition_slice_falls_back(sample):
     assert scoring.edition_slice(sample, "FIFA World Cup", 1930).count() == 64
     assert scoring.edition_slice(sample, "FIFA World Cup", 2024).filter("tournament <> 'FIFA World Cup'").isEmpty()
+
+
+def test_job_skips_stages_and_keeps_layers(spark, sample, tmp_path):
+    from formline.plans import job
+
+    folder = str(tmp_path / "layers")
+    first = {r["stage"]: r for r in job.run(spark, sample, None, folder, ["pool_id"], skip=("train",), run_id="r1").collect()}
+    assert first["train"]["status"] == "skipped" and first["process"]["rows"] == first["ingest"]["rows"] > 900
+    gold = spark.read.parquet(f"{folder}/gold")
+    assert gold.filter("pipeline_run_id <> 'r1'").isEmpty()
+    second = {r["stage"]: r["status"] for r in job.run(spark, sample, None, folder, skip=job.STAGES).collect()}
+    assert set(second.values()) == {"skipped"}
+    with pytest.raises(ValueError, match="unknown stages"):
+        job.run(spark, sample, None, folder, skip=("deploy",))
+
+
+def test_both_feeds_meet_in_silver(spark, sample, tmp_path):
+    from formline.plans import job
+
+    api = sample.withColumn("match_id", F.col("match_id") + 10_000)
+    out = job.run(spark, sample, api, str(tmp_path / "both"), ["pool_id"], skip=("process", "train")).first()
+    keys = sample.select("match_date", "home_team", "away_team", "home_goals", "away_goals").distinct().count()
+    assert out["rows"] == keys
