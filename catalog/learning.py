@@ -14,7 +14,7 @@ from formline import views
 from formline.operators import metrics, ordered, snapshots, standard, thresholds
 from formline.plans import build, models, scoring, training
 from formline.plans.models import Candidate
-from formline.sources.folders import shared_folder
+from formline.sources.folders import shared_folder, stored
 
 QUERIES = Registry()
 add = QUERIES.add
@@ -31,7 +31,8 @@ SEGMENTED = Candidate("segmented", "segment_aware_hybrid", {
 
 
 def feature_rows(spark, sf_dir):
-    return build.feature_table(views.matches(spark, sf_dir), ["pool_id"]).drop("goal_diff")
+    """The feature table, written and read back as a job would."""
+    return stored(build.feature_table(views.matches(spark, sf_dir), ["pool_id"]).drop("goal_diff"))
 
 
 def _rounded(scored):
@@ -41,7 +42,7 @@ def _rounded(scored):
 def _fit_query(name, candidate):
     @add(name)
     def query(spark, sf_dir):
-        rows = feature_rows(spark, sf_dir).persist()
+        rows = feature_rows(spark, sf_dir)
         return _rounded(models.fit(candidate, rows, COLUMNS).score(rows))
 
 
@@ -105,7 +106,7 @@ add("M11_isotonic_calibration")(_calibrated("isotonic"))
 
 @add("M13_temporal_backtest")
 def m13(spark, sf_dir):
-    rows = feature_rows(spark, sf_dir).persist()
+    rows = feature_rows(spark, sf_dir)
     prior = Candidate("prior", "dummy")
     _, ranking = training.backtest([prior, FOREST], rows, COLUMNS, splits=3)
     return ranking.select("model_name", "selection_rank", "selection_score", r6("macro_f1").alias("macro_f1"), r6("log_loss").alias("log_loss"))
@@ -113,7 +114,7 @@ def m13(spark, sf_dir):
 
 @add("M16_training_job")
 def m16(spark, sf_dir):
-    rows = feature_rows(spark, sf_dir).select("match_id", "kickoff_ts", "match_segment", "tournament", TARGET, *COLUMNS).persist()
+    rows = feature_rows(spark, sf_dir).select("match_id", "kickoff_ts", "match_segment", "tournament", TARGET, *COLUMNS)
     out = training.train_and_select(rows, [Candidate("prior", "dummy"), FOREST], splits=3, calibration_size=0.25)
     return out["test_metrics"].select("n", *[r6(m).alias(m) for m in metrics.SUITE]).withColumn(
         "selected", F.lit(out["summary"]["selected_model_name"])).withColumn("variant", F.lit(out["summary"]["deployed_variant"]))
@@ -121,7 +122,7 @@ def m16(spark, sf_dir):
 
 @add("M17_shadow_candidate")
 def m17(spark, sf_dir):
-    rows = feature_rows(spark, sf_dir).select("match_id", "kickoff_ts", "match_segment", "tournament", TARGET, *COLUMNS).persist()
+    rows = feature_rows(spark, sf_dir).select("match_id", "kickoff_ts", "match_segment", "tournament", TARGET, *COLUMNS)
     folder = shared_folder(spark)
     small = Candidate("seg_hybrid_small", "segment_aware_hybrid", {**SEGMENTED.params, "max_iter": 5}, 1.2)
     training.train_and_select(rows, [Candidate("prior", "dummy"), small], splits=3, calibration_size=0.25, model_folder=folder, tag="v1")
@@ -138,7 +139,7 @@ def _exists(spark, path):
 
 @add("S8_K7_model_save_and_load")
 def s8(spark, sf_dir):
-    rows = feature_rows(spark, sf_dir).persist()
+    rows = feature_rows(spark, sf_dir)
     folder = shared_folder(spark)
     models.save(models.fit(FOREST, rows, COLUMNS), f"{folder}/production", spark, feature_columns=COLUMNS)
     loaded, _, _ = models.load(f"{folder}/production", spark)
@@ -147,7 +148,7 @@ def s8(spark, sf_dir):
 
 @add("M18_batch_scoring")
 def m18(spark, sf_dir):
-    rows = feature_rows(spark, sf_dir).persist()
+    rows = feature_rows(spark, sf_dir)
     primary, shadow = models.fit(FOREST, rows, COLUMNS), models.fit(SEGMENTED, rows, COLUMNS)
     requests = rows.select("match_id", "match_date", F.lower("away_team").alias("home_team"), F.concat(F.lit(" "), F.col("home_team")).alias("away_team"), "tournament", "neutral")
     scored, _ = scoring.score_requests(requests, snapshots.team_snapshots(rows), primary, shadow)
@@ -157,7 +158,7 @@ def m18(spark, sf_dir):
 
 @add("M24_fixture_forecast")
 def m24(spark, sf_dir):
-    rows = feature_rows(spark, sf_dir).persist()
+    rows = feature_rows(spark, sf_dir)
     requests = rows.select("match_id", F.col("away_team").alias("home_team"), F.col("home_team").alias("away_team"), "tournament", "neutral")
     return _rounded(scoring.forecast(requests, snapshots.team_snapshots(rows), models.fit(FOREST, rows, COLUMNS), rows))
 
@@ -172,7 +173,7 @@ def m23(spark, sf_dir):
 
 @add("T7_feature_importances")
 def t7(spark, sf_dir):
-    rows = feature_rows(spark, sf_dir).persist()
+    rows = feature_rows(spark, sf_dir)
     return models.feature_importances(models.fit(FOREST, rows, COLUMNS), spark)
 
 
