@@ -3,9 +3,9 @@
 1. Every document is encoded once; its ids plus the end id are cut into pieces of at most `size` tokens.
 2. The histogram of piece lengths (at most `size` numbers) goes to the driver. Lengths are grouped in steps of
    `step` tokens; patterns are all sums of up to `parts` steps that fill a sequence. Non-negative least
-   squares finds how often each pattern should occur, and the counts are rounded down.
-3. Patterns are filled with real lengths, longest first; room that rounding left open and all lengths that
-   no pattern took are packed by best fit, still on counts. The plan lists, for each length, runs of
+   squares finds how often each pattern should occur, and the counts are rounded.
+3. Patterns are given real lengths that fill a sequence exactly; what no pattern took is the residual, packed by
+   best fit, longest first, still on counts. The plan lists, for each length, runs of
    equal places; its size depends on `size`, not on the data.
 4. Pieces are numbered within their length (numbers per written file, plus offsets by file), and the plan
    turns length and number into sequence and offset.
@@ -100,21 +100,21 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, with_ids: bool = T
     return id_and_text(docs).mapInPandas(run, schema + ", ids array<int>" * with_ids)
 
 
-def least_squares(a: np.ndarray, b: np.ndarray, rounds: int = 3000) -> np.ndarray:
+def least_squares(a: np.ndarray, b: np.ndarray, rounds: int = 1000) -> np.ndarray:
     """min |a x - b| with x >= 0: Lawson and Hanson's active set method."""
     n = a.shape[1]
     x, passive = np.zeros(n), np.zeros(n, bool)
-    gram, target = a.T @ a, a.T @ b
+    enough = 1e-9 * (1 + np.abs(a.T @ b).max(initial=0))
     for _ in range(rounds):
-        gradient = target - gram @ x
+        gradient = a.T @ (b - a @ x)
         gradient[passive] = -np.inf
         enter = int(np.argmax(gradient))
-        if gradient[enter] <= 1e-8 * (1 + np.abs(target).max()):
+        if gradient[enter] <= enough:
             break
         passive[enter] = True
         while True:
             rows = np.flatnonzero(passive)
-            solved = np.linalg.lstsq(gram[np.ix_(rows, rows)], target[rows], rcond=None)[0]
+            solved = np.linalg.lstsq(a[:, rows], b, rcond=None)[0]
             if (solved > 0).all():
                 x[:] = 0
                 x[rows] = solved
@@ -123,7 +123,8 @@ def least_squares(a: np.ndarray, b: np.ndarray, rounds: int = 3000) -> np.ndarra
             old = x[rows]
             step = np.min(old[low] / np.maximum(old[low] - solved[low], 1e-300))
             x[rows] = np.maximum(old + step * (solved - old), 0)
-            passive &= x > 1e-12
+            x[rows[low & (x[rows] <= 1e-9 * (1 + old.max()))]] = 0
+            passive &= x > 0
             if not passive.any():
                 break
     return x
@@ -170,49 +171,58 @@ class _Bins:
             contents, there = next(iter(self.by_room[room].items()))
             used = min(count, there)
             each = min(room // length, count // used)
-            self.by_room[room][contents] -= used
-            self.by_room[room] += Counter()
-            self.put(contents, room, there - used)
+            if there == used:
+                del self.by_room[room][contents]
+            else:
+                self.by_room[room][contents] = there - used
             self.put(contents + (length,) * each, room - each * length, used)
             count -= used * each
 
 
-def plan(histogram: dict[int, int], size: int = SIZE, step: int = 16, parts: int = 3) -> list[tuple]:
+def shapes_of(units: int, parts: int) -> list[tuple[int, ...]]:
+    """Patterns of steps whose lengths can fill `units` steps exactly: rounding up adds up to a step a part."""
+    return [shape for p in range(1, parts + 1) for more in range((p + 1) // 2 if p > 1 else 1)
+            for shape in patterns(units + (p // 2) + more, p) if len(shape) == p]
+
+
+def _fill(shape: tuple[int, ...], of_unit: dict[int, list[int]], left: dict[int, int], size: int):
+    """Choices of real lengths for a pattern that fill a sequence exactly, as (contents, most times)."""
+    for head in itertools.product(*(of_unit[unit] for unit in shape[:-1])):
+        last = size - sum(head)
+        contents = (*head, last)
+        if left.get(last) and all(left[x] for x in head):
+            yield contents, min(left[x] // k for x, k in Counter(contents).items())
+
+
+def plan(histogram: dict[int, int], size: int = SIZE, step: int = 32, parts: int = 3) -> list[tuple]:
     """(contents, count) for kinds of sequences that hold exactly the pieces of the histogram."""
     left = {k: v for k, v in histogram.items() if v}
     done: Counter = Counter({(size,): left.pop(size)}) if size in left else Counter()
-    bins = _Bins()
-    units = size // step
-    shapes = patterns(units, parts)
     of_unit: dict[int, list[int]] = defaultdict(list)
-    for length in sorted(left):
+    for length in sorted(left, reverse=True):
         of_unit[-(-length // step)].append(length)
-    if left and units > 1:
-        matrix = np.zeros((units + 1, len(shapes)))
+    shapes = [s for s in shapes_of(size // step, parts) if all(unit in of_unit for unit in s)]
+    if shapes:
+        rows = sorted(of_unit)
+        at = {unit: i for i, unit in enumerate(rows)}
+        matrix = np.zeros((len(rows), len(shapes)))
         for column, shape in enumerate(shapes):
             for unit in shape:
-                matrix[unit, column] += 1
-        wanted = np.zeros(units + 1)
-        for unit, lengths in of_unit.items():
-            wanted[unit] = sum(left[x] for x in lengths)
-        counts = np.floor(least_squares(matrix, wanted) + 1e-6).astype(int)
+                matrix[at[unit], column] += 1
+        wanted = np.array([sum(left[x] for x in of_unit[unit]) for unit in rows], float)
+        counts = np.floor(least_squares(matrix, wanted) + 0.5).astype(int)
         for column in np.argsort([-max(s) for s in shapes], kind="stable"):
             todo = int(counts[column])
-            while todo:
-                chosen, used = [], Counter()
-                for unit in shapes[column]:
-                    length = next((x for x in reversed(of_unit[unit]) if left[x] > used[x]), None)
-                    if length is None:
+            if todo:
+                for contents, most in _fill(shapes[column], of_unit, left, size):
+                    take = min(todo, most)
+                    for length in contents:
+                        left[length] -= take
+                    done[contents] += take
+                    todo -= take
+                    if not todo:
                         break
-                    used[length] += 1
-                    chosen.append(length)
-                if len(chosen) < len(shapes[column]):
-                    break
-                take = min(todo, *(left[x] // k for x, k in used.items()))
-                for length, k in used.items():
-                    left[length] -= k * take
-                bins.put(tuple(chosen), size - sum(chosen), take)
-                todo -= take
+    bins = _Bins()
     for length in sorted(left, reverse=True):
         bins.add(length, left[length], size)
     for kinds in bins.by_room.values():
