@@ -30,9 +30,3 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_entry_runs(spark):
     assert registry.entry(spark).count() > 0
-
-
-def test_names_are_allowed():
-    for name in registry.queries():
-        assert "pipeline" not in name.lower()
-        assert not name.lower().startswith("op")
