@@ -3,12 +3,12 @@
 Confirmed toxic texts are the positive set; texts taken without regard to any label are the unlabelled set, a
 mixture with the class prior p of toxic ones. The risk of a linear scorer is
     p R+(positives) + max(0, R-(unlabelled) - p R-(positives)),
-with the sigmoid loss. Where the second part would fall below zero, which only overfitting can do, its gradient
+with the logistic loss. Where the second part would fall below zero, which only overfitting can do, its gradient
 is turned round. p is estimated over all labelled rows outside the held-out fold.
 
 Features are the distinct lower-case words of a text, hashed. The two training sets are
 bounded samples (`positives`, `unlabelled`: rows at most, chosen by a hash of the id); scoring reads all rows and
-whole texts. The weights have a fixed size, so broadcasting them does not grow with the data.
+whole texts. Weights exist for words of the samples only, so broadcasting them does not grow with the data.
 
 Defined cases: null and empty texts get the score of no words; without positives every score is 0; a doc_id
 with several labels counts as toxic if one says so; null labels and ids label nothing; repeated rows keep a
@@ -18,6 +18,7 @@ row each; an empty table gives an empty result; only the named columns are read.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,40 +30,51 @@ from pyspark.sql import functions as F
 
 from formline.llm.common import id_and_text, remainder
 
-BUCKETS = 2**18
 POSITIVES = 6_000
 UNLABELLED = 12_000
 REMEMBERED = 500_000
+LEAST_ROWS = 3
 _words = re.compile(r"[^\W\d_]+").findall
 _buckets: dict[str, int] = {}
 
 
 def features(text: str | None) -> np.ndarray:
-    """Sorted distinct buckets of the words of the text."""
+    """Sorted distinct 32-bit hashes of the words of the text."""
     if len(_buckets) > REMEMBERED:
         _buckets.clear()
     out = set()
     for word in set(_words((text or "").lower())):
         bucket = _buckets.get(word)
         if bucket is None:
-            bucket = _buckets[word] = xxhash.xxh32_intdigest(word.encode("utf-8", "replace")) % BUCKETS
+            bucket = _buckets[word] = xxhash.xxh32_intdigest(word.encode("utf-8", "replace")) - 2**31
         out.add(bucket)
     return np.array(sorted(out), np.int32)
 
 
 @dataclass
 class Model:
+    """Features with a weight other than zero (sorted), their weights, and the bias."""
+
+    features: np.ndarray
     weights: np.ndarray
     bias: float
     prior: float
 
+    def margin(self, found: np.ndarray) -> float:
+        at = np.searchsorted(self.features, found)
+        at[at == len(self.features)] = 0
+        return self.bias + float(self.weights[at][self.features[at] == found].sum()) if len(self.features) else self.bias
 
-class _Rows:
-    """Rows of feature indices end to end."""
 
-    def __init__(self, rows: list[np.ndarray]):
-        self.index = np.concatenate([np.asarray(r, np.int64) for r in rows]) if rows else np.empty(0, np.int64)
-        self.owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+class _Rows:
+    """Rows of column numbers end to end; features outside `columns` take no part."""
+
+    def __init__(self, rows: list[np.ndarray], columns: np.ndarray):
+        found = np.concatenate(rows) if rows else np.empty(0, np.int32)
+        at = np.minimum(np.searchsorted(columns, found), len(columns) - 1)
+        known = columns[at] == found
+        self.index = at[known]
+        self.owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])[known]
         self.n = len(rows)
 
     def margins(self, weights: np.ndarray, bias: float) -> np.ndarray:
@@ -72,33 +84,73 @@ class _Rows:
         return np.bincount(self.index, per_row[self.owner], size)
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 300,
-          rate: float = 0.05, shrink: float = 2e-4, least_rows: int = 4) -> Model:
-    """Full-batch Adam on the non-negative risk; words in fewer than `least_rows` rows take no part."""
-    weights = np.zeros(BUCKETS)
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, folds: int = 4) -> Model:
+    """Weights from all rows. The bias puts a score of 0.5 where the prior-corrected error is least, by margins
+    of rows that the weights behind them have not seen. Equal feature sets (copies) count once."""
+    positive, unlabelled = _different(positive), _different(unlabelled or positive)
     if not positive or not 0 < prior < 1:
-        return Model(weights, -np.inf, 0.0)
-    p, u = _Rows(positive), _Rows(unlabelled or positive)
-    usable = np.bincount(p.index, minlength=BUCKETS) + np.bincount(u.index, minlength=BUCKETS) >= least_rows
+        return Model(np.empty(0, np.int32), np.empty(0), -np.inf, 0.0)
+    columns, rows = np.unique(np.concatenate(positive + unlabelled), return_counts=True)
+    columns = columns[rows >= LEAST_ROWS] if (rows >= LEAST_ROWS).any() else columns
+    weights = _descend(_Rows(positive, columns), _Rows(unlabelled, columns), prior, len(columns))
+    unseen: list[list[np.ndarray]] = [[], []]
+    for fold in range(folds):
+        # A copy's fold is that of its features, so that no row is known from the other set.
+        parts = [[r for r in rows if (zlib.crc32(r.tobytes()) % folds == fold) == out]
+                 for out in (False, True) for rows in (positive, unlabelled)]
+        if parts[0] and parts[1]:
+            other = _descend(_Rows(parts[0], columns), _Rows(parts[1], columns), prior, len(columns))
+            unseen[0].append(_Rows(parts[2], columns).margins(other, 0.0))
+            unseen[1].append(_Rows(parts[3], columns).margins(other, 0.0))
+    margins = [np.concatenate(m) if m else np.empty(0) for m in unseen]
+    if not len(margins[0]) or not len(margins[1]):
+        margins = [_Rows(r, columns).margins(weights, 0.0) for r in (positive, unlabelled)]
+    used = weights != 0
+    return Model(columns[used], weights[used], -_threshold(*margins, prior), prior)
+
+
+def _descend(p: _Rows, u: _Rows, prior: float, size: int, steps: int = 80, pace: float = 0.5) -> np.ndarray:
+    """Proximal gradient descent on the non-negative risk with a one-norm penalty.
+
+    Each weight has a step of its own (one over the word's frequency). The penalty is the pull of a word whose
+    frequency among the positives exceeds its usual one by four standard errors, so that words which
+    chance gave to a few positives stay at zero. The result is the mean over all steps.
+    """
+    weights, mean = np.zeros(size), np.zeros(size)
+    often = (np.bincount(p.index, minlength=size) * prior / p.n + np.bincount(u.index, minlength=size) / u.n) / 2
+    step = pace / np.maximum(often, 0.5 / (p.n + u.n))
+    penalty = prior * 4 * np.sqrt(0.03 / p.n)
     bias = float(np.log(prior / (1 - prior)))
-    first, second = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
-    for step in range(1, steps + 1):
-        gp, gu = (1 / (1 + np.exp(-np.clip(r.margins(weights, bias), -50, 50))) for r in (p, u))
-        slope_p, slope_u = gp * (1 - gp) / p.n, gu * (1 - gu) / u.n
-        # Sigmoid loss: a negative's loss is sigmoid(margin), a positive's is one minus it.
-        negative = gu.mean() - prior * gp.mean()
-        if negative >= 0:
-            pull_p, pull_u = -2 * prior * slope_p, slope_u
+    for _ in range(steps):
+        mp, mu = (np.clip(r.margins(weights, bias), -50, 50) for r in (p, u))
+        gp, gu = 1 / (1 + np.exp(-mp)) / p.n, 1 / (1 + np.exp(-mu)) / u.n
+        # Logistic loss: log(1 + e^-m) for a positive, log(1 + e^m) for a negative.
+        if np.logaddexp(0, mu).mean() >= prior * np.logaddexp(0, mp).mean():
+            pull_p, pull_u = np.full(p.n, -prior / p.n), gu
         else:
-            pull_p, pull_u = prior * slope_p, -slope_u
-        gradient = np.r_[p.pull(pull_p, BUCKETS) + u.pull(pull_u, BUCKETS), pull_p.sum() + pull_u.sum()]
-        gradient[:-1] = np.where(usable, gradient[:-1] + shrink * weights, 0)
-        first = 0.9 * first + 0.1 * gradient
-        second = 0.999 * second + 0.001 * gradient**2
-        move = rate * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-        weights = weights - move[:-1]
-        bias -= float(move[-1])
-    return Model(weights, bias, prior)
+            pull_p, pull_u = prior * gp, -gu
+        moved = weights - step * (p.pull(pull_p, size) + u.pull(pull_u, size))
+        weights = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty, 0)
+        bias -= pace * float(pull_p.sum() + pull_u.sum())
+        mean += weights / steps
+    return mean
+
+
+def _threshold(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The cut with the least prior-corrected error, 2 p (missed positives) + (unlabelled above) - p. Among cuts
+    that are worse by less than half a standard error, the highest, so that clean texts are left alone."""
+    cuts = np.unique(np.r_[positive, unlabelled])
+    missed = np.searchsorted(np.sort(positive), cuts, side="left") / len(positive)
+    above = 1 - np.searchsorted(np.sort(unlabelled), cuts, side="left") / len(unlabelled)
+    error = 2 * prior * missed + above
+    best = int(np.argmin(error))
+    spread = (2 * prior) ** 2 * missed * (1 - missed) / len(positive) + above * (1 - above) / len(unlabelled)
+    best = int(np.flatnonzero(error <= error[best] + 0.5 * np.sqrt(spread[best]))[-1])
+    return float((cuts[best] + cuts[max(best - 1, 0)]) / 2)
+
+
+def _different(rows: list[np.ndarray]) -> list[np.ndarray]:
+    return list({r.tobytes(): r for r in (np.asarray(r, np.int32) for r in rows)}.values())
 
 
 def _sample(rows: DataFrame, most: int) -> list[np.ndarray]:
@@ -134,7 +186,7 @@ def scorer(spark: SparkSession, model: Model):
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         model = shared.value
-        margins = np.array([model.bias + model.weights[features(t)].sum() for t in texts])
+        margins = np.array([model.margin(features(t)) for t in texts], float)
         return pd.Series(1 / (1 + np.exp(-np.clip(margins, -700, 700))), dtype=float)
 
     return scored
