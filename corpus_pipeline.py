@@ -15,8 +15,8 @@ from formline.llm import decontamination, packing, secrets, simhash, toxicity
 from formline.llm.common import shared_folder, table
 
 # Near-copies: 256 fingerprint bits of five-word shingles. At a similarity of 0.8 about 39 bits differ, at 0.5
-# about 68, and unrelated texts differ in 128 or so.
-SHINGLE, LANES, BUDGET, KEY_BITS, MISSED = 5, 4, 48, 16, 0.02
+# about 68, and unrelated texts differ in 128 or so. A pair at the whole budget is missed with probability MISSED.
+SHINGLE, LANES, BUDGET, MISSED = 5, 4, 52, 0.02
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies stays, that with the smallest id."""
-    tables = simhash.sampled_tables(64 * LANES, BUDGET, KEY_BITS, MISSED)
-    return simhash.keep_first(docs, simhash.simhash_groups(docs, SHINGLE, LANES, BUDGET, tables))
+    groups = simhash.simhash_groups(
+        docs, SHINGLE, LANES, BUDGET, lambda rows: simhash.sampled_tables(64 * LANES, BUDGET, MISSED, rows))
+    return simhash.keep_first(docs, groups)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

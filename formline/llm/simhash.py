@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import itertools
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -91,8 +91,10 @@ def exact_tables(bits: int, budget: int) -> list[list[int]]:
     return [[*map(int, one), *map(int, two)] for one, two in itertools.combinations(blocks, 2)]
 
 
-def sampled_tables(bits: int, budget: int, key_bits: int, missed: float, seed: int = 7) -> list[list[int]]:
-    """So many random keys that a pair at the whole budget shares none with probability `missed`."""
+def sampled_tables(bits: int, budget: int, missed: float, rows: int, seed: int = 7) -> list[list[int]]:
+    """So many random keys that a pair at the whole budget shares none with probability `missed`. Keys are as
+    long as leaves about 64 of `rows` unrelated fingerprints to a key."""
+    key_bits = max(8, min(bits // 4, (max(rows, 1) // 64).bit_length()))
     agree = (1 - budget / bits) ** key_bits
     count = int(np.ceil(np.log(missed) / np.log1p(-agree)))
     draw = random.Random(seed)
@@ -245,14 +247,16 @@ def text_hash(column) -> Column:
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 4, lanes: int = 1, budget: int = 4,
-                   tables: list[list[int]] | None = None) -> DataFrame:
-    """doc_id, text_hash, fp (binary), component_id (smallest doc_id of the component), first_hash (the text hash
+                   tables: Callable[[int], list[list[int]]] | None = None) -> DataFrame:
+    """`tables` gives the key bits for a number of distinct fingerprints (none: the exact tables).
+
+    doc_id, text_hash, fp (binary), component_id (smallest doc_id of the component), first_hash (the text hash
     of the component's first row by id, nulls last, and hash) for every row of `docs`."""
-    tables = tables or exact_tables(64 * lanes, budget)
     fps = store(fingerprints(docs, shingle, lanes), "fingerprints")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     distinct = store(fps.groupBy("fp").agg(F.min(row).alias("first")), "distinct")
-    members = components(links(distinct.select("fp"), budget, tables))
+    keys = tables(distinct.count()) if tables else exact_tables(64 * lanes, budget)
+    members = components(links(distinct.select("fp"), budget, keys))
     linked = members.join(distinct, members["node"] == distinct["fp"]).select("node", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     named = linked.join(least, "root").select(F.col("node").alias("fp"), "least")
