@@ -18,6 +18,7 @@ doc_id and text are read.
 from __future__ import annotations
 
 import itertools
+import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -35,29 +36,49 @@ END_ID = 0
 REMEMBERED = 600_000
 _memory: dict[str, dict] = {}
 _TAIL = ".,!?%&$*#|;"
+_other = re.compile("[^\x00-\u024f]|\u0130").search
 
 
 def encoder(path: str):
-    """A function from texts to uint32 arrays of ids, by the tokenizer file at `path`.
+    """A function from texts to the bytes of their ids (little-endian, 32 bits), by the tokenizer file at `path`.
 
     The pre-tokenizer of this vocabulary never joins characters across white space, nor letters
-    and punctuation; so words are encoded once, without their trailing punctuation, and remembered per worker.
+    and punctuation, and it lower-cases; so lower-case words without their trailing punctuation are encoded once and
+    remembered per worker. Words of letters are encoded many at a time: each ends with a token of the vocabulary's
+    word ends.
     """
     import os
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
     if path not in _memory:
-        _memory[path] = {"tokenizer": Tokenizer.from_file(path), "words": {}}
-    tokenizer, memory = _memory[path]["tokenizer"], _memory[path]["words"]
+        tokenizer = Tokenizer.from_file(path)
+        last = np.zeros(tokenizer.get_vocab_size() + 1, bool)
+        last[[number for token, number in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        _memory[path] = {"tokenizer": tokenizer, "words": {}, "last": last}
+    tokenizer, memory, last = (_memory[path][k] for k in ("tokenizer", "words", "last"))
 
-    def learn(words: list[str]) -> None:
+    def learn_each(words: list[str]) -> None:
         for word, coded in zip(words, tokenizer.encode_batch_fast(words, add_special_tokens=False)):
             memory[word] = np.array(coded.ids, "<u4").tobytes()
 
+    def learn(words: list[str]) -> None:
+        letters = [word for word in words if word.isalpha()]
+        groups = [letters[at:at + 200] for at in range(0, len(letters), 200)]
+        for group, coded in zip(groups, tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(coded.ids, "<u4")
+            ends = 4 * (np.flatnonzero(last[ids]) + 1)
+            if len(ends) != len(group):
+                learn_each(group)
+                continue
+            data = ids.tobytes()
+            memory.update(zip(group, map(data.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist()))))
+        learn_each([word for word in words if not word.isalpha()])
+
     def encode(texts: list[str]) -> list[bytes]:
         if len(memory) > REMEMBERED:
             memory.clear()
-        split = [text.replace("\n", " ").split(" ") for text in texts]
+        # Lower-casing here is that of the tokenizer for the characters below U+0250 but one.
+        split = [(text if _other(text) else text.lower()).replace("\n", " ").split(" ") for text in texts]
         new = set(itertools.chain.from_iterable(split)).difference(memory)
         bodies = {}
         for word in new:
