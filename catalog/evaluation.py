@@ -596,22 +596,39 @@ def t1(spark, sf_dir):
 
 @add(
     "M22_stratified_split",
+    with_views("predictions", body="""select match_id, case when row_number() over (partition by actual order by md5('42:' || match_id), match_id)
+  <= floor(count(*) over (partition by actual) * 0.2 + 0.5) then 'test' else 'train' end as part from predictions"""),
 )
 def m22(spark, sf_dir):
-    train, test = ordered.stratified_split(views.predictions(spark, sf_dir), "match_id")
-    both = train.select("actual", F.lit("train").alias("part")).unionByName(test.select("actual", F.lit("test").alias("part")))
-    return both.groupBy("actual", "part").agg(F.count("*").alias("rows"))
+    train, test = ordered.stratified_split(views.predictions(spark, sf_dir), "match_id", "actual")
+    return train.select("match_id", F.lit("train").alias("part")).union(test.select("match_id", F.lit("test").alias("part")))
+
+
+# Class and the column of its probability.
+CLASSES = {1: "g_home", 0: "g_draw", -1: "g_away"}
+
+
+def _per_class(body: str) -> str:
+    """The text once per class, with {c} and {p} filled in."""
+    return "\nunion all\n".join(f"({body.replace('{c}', str(c)).replace('{p}', p)})" for c, p in CLASSES.items())
+
+
+def _each_class(make):
+    parts = [make(cls, score).withColumn("class", F.lit(cls)) for cls, score in CLASSES.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @add(
     "A15_calibration_curve",
     # DuckDB wants constant quantile shares, so the edges are one list-valued aggregate.
-    with_views("predictions", ctes="""edges as (select quantile_cont(g_home, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) as e from predictions),
-binned as (select g_home, actual, len(list_filter(e, lambda x: x<g_home)) as bin from predictions, edges)""", body="""select cast(bin as int) as bin, count(*) as rows, round(avg(g_home),6) as mean_predicted,
- round(avg((actual=1)::int),6) as observed from binned group by 1"""),
+    with_views("predictions", body=_per_class("""with edges as (select quantile_cont({p}, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) as e from predictions),
+binned as (select {p} as score, actual, len(list_filter(e, lambda x: x<{p})) as bin from predictions, edges)
+select cast({c} as int) as class, cast(bin as int) as bin, count(*) as rows, round(avg(score),6) as mean_predicted,
+ round(avg((actual={c})::int),6) as observed from binned group by bin""")),
 )
 def a15(spark, sf_dir):
-    curve = ordered.calibration_curve(views.predictions(spark, sf_dir), 1, "g_home")
+    p = views.predictions(spark, sf_dir)
+    curve = _each_class(lambda cls, score: ordered.calibration_curve(p, cls, score))
     return curve.withColumns({"mean_predicted": r6("mean_predicted"), "observed": r6("observed")})
 
 
@@ -625,27 +642,29 @@ def a29(spark, sf_dir):
     return p.agg(F.count("*").alias("rows")).select(*[F.round(F.lit(v[0]), 6).alias(c) for c, v in found.items()], "rows")
 
 
-_ROC = """points as (select g_home as threshold, sum((actual=1)::int) as p, sum((actual<>1)::int) as q from predictions group by 1),
+_ROC = """with points as (select {p} as threshold, sum((actual={c})::int) as p, sum((actual<>{c})::int) as q from predictions group by 1),
 curve as (select threshold, sum(p) over (order by threshold desc) as tp, sum(q) over (order by threshold desc) as fp, sum(p) over () as pp, sum(q) over () as qq from points)"""
 
 
 @add(
     "W11_roc_curve",
-    with_views("predictions", ctes=_ROC, body="select round(threshold,9) as threshold, cast(tp as bigint) as true_positives, cast(fp as bigint) as false_positives, round(tp/pp,6) as true_positive_rate, round(fp/qq,6) as false_positive_rate from curve"),
+    with_views("predictions", body=_per_class(_ROC + " select cast({c} as int) as class, round(threshold,9) as threshold, cast(tp as bigint) as true_positives, cast(fp as bigint) as false_positives, round(tp/pp,6) as true_positive_rate, round(fp/qq,6) as false_positive_rate from curve")),
 )
 def w11(spark, sf_dir):
-    curve = ordered.roc_curve(views.predictions(spark, sf_dir), 1, "g_home")
+    p = views.predictions(spark, sf_dir)
+    curve = _each_class(lambda cls, score: ordered.roc_curve(p, cls, score))
     return curve.withColumns({"threshold": F.round("threshold", 9), "true_positive_rate": r6("true_positive_rate"),
                               "false_positive_rate": r6("false_positive_rate")})
 
 
 @add(
     "W11_roc_auc",
-    with_views("predictions", ctes=_ROC + ",\nsteps as (select fp-coalesce(lag(fp) over (order by threshold desc),0) as w, (tp+coalesce(lag(tp) over (order by threshold desc),0))/2.0 as h, pp, qq from curve)",
-               body="select round(sum(w*h)/max(pp)/max(qq),6) as auc from steps"),
+    with_views("predictions", body=_per_class(_ROC + ",\nsteps as (select fp-coalesce(lag(fp) over (order by threshold desc),0) as w, (tp+coalesce(lag(tp) over (order by threshold desc),0))/2.0 as h, pp, qq from curve)"
+               " select cast({c} as int) as class, round(sum(w*h)/max(pp)/max(qq),6) as auc from steps")),
 )
 def w11_auc(spark, sf_dir):
-    return ordered.roc_auc(views.predictions(spark, sf_dir), 1, "g_home").withColumn("auc", r6("auc"))
+    p = views.predictions(spark, sf_dir)
+    return _each_class(lambda cls, score: ordered.roc_auc(p, cls, score)).withColumn("auc", r6("auc"))
 
 
 # ---- small aggregates -------------------------------------------------------

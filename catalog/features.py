@@ -42,18 +42,18 @@ RATED_PLAIN_SQL = RATED_SQL.format(home="r.rt[h]", away="r.rt[a]")
 
 # Every form column, long form first, then back on the match row.
 FEATURES_SQL = RATED_DECAY_SQL + """,
-base as (select m2.*, elo_home, elo_away from matches m2 join rated using (match_id)),
+base as materialized (select m2.*, elo_home, elo_away from matches m2 join rated using (match_id)),
 side as (select match_id, match_date, kickoff_ts, 'home' as role, home_team as team, away_team as opponent, home_goals as gf, away_goals as ga,
   elo_home as elo, elo_away as opp from base
  union all select match_id, match_date, kickoff_ts, 'away', away_team, home_team, away_goals, home_goals, elo_away, elo_home from base),
 scored as (select *, case when gf>ga then 1.0 when gf=ga then 0.5 else 0.0 end::double as pts, case when gf=ga then 1.0 else 0.0 end::double as drawn from side),
-formed as (select match_id, role,
+formed as materialized (select match_id, role,
   avg(gf) over r as avg_goals_last5, avg(ga) over r as avg_goals_conceded_last5, avg(pts) over r as win_rate_last5, avg(drawn) over r as draw_rate_last5,
   avg(gf) over t as global_avg_goals_last5, avg(ga) over t as global_avg_conceded_last5, avg(pts) over t as global_win_rate_last5,
   avg(opp) over r as avg_opponent_elo_last5, avg(pts*opp/1500) over r as weighted_win_rate_last5, avg(elo) over r as elo_form
  from scored window r as (partition by team, role order by kickoff_ts, match_id rows between 5 preceding and 1 preceding),
   t as (partition by team order by kickoff_ts, match_id rows between 5 preceding and 1 preceding)),
-features as (select b.*, h.avg_goals_last5 as home_avg_goals_last5, h.avg_goals_conceded_last5 as home_avg_goals_conceded_last5,
+features as materialized (select b.*, h.avg_goals_last5 as home_avg_goals_last5, h.avg_goals_conceded_last5 as home_avg_goals_conceded_last5,
   h.win_rate_last5 as home_win_rate_last5, h.draw_rate_last5 as home_draw_rate_last5, h.global_avg_goals_last5 as home_global_avg_goals_last5,
   h.global_avg_conceded_last5 as home_global_avg_conceded_last5, h.global_win_rate_last5 as home_global_win_rate_last5,
   h.avg_opponent_elo_last5 as home_avg_opponent_elo_last5, h.weighted_win_rate_last5 as home_weighted_win_rate_last5, h.elo_form as home_elo_form,

@@ -282,7 +282,12 @@ def q8(spark, sf_dir):
 def q9(spark, sf_dir):
     log = views.inference_log(spark, sf_dir)
     spoiled = F.when(F.col("match_id") % 10 == 0, F.replace("class_probabilities_json", F.lit("}"), F.lit(', "other": 0.5}')))
-    log = log.withColumn("class_probabilities_json", F.coalesce(spoiled, F.col("class_probabilities_json")))
+    log = log.withColumns({
+        "class_probabilities_json": F.coalesce(spoiled, F.col("class_probabilities_json")),
+        "predicted_class": F.when(F.col("predicted_outcome") == "home_win", 1).when(F.col("predicted_outcome") == "draw", 0).otherwise(-1),
+        "neutral": F.col("match_id") % 4 == 0,
+        "feature_snapshot_dates": F.create_map(F.lit("home"), F.to_date("timestamp_utc"), F.lit("away"), F.to_date("timestamp_utc")),
+        "model_artifact_path": F.concat(F.lit("models/"), "model_version")})
     return quality.prediction_violations(log).select("match_id", r6("probability_sum").alias("probability_sum"))
 
 

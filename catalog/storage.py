@@ -314,7 +314,6 @@ def pairs(spark, sf_dir):
         (F.col("o_orderkey") % 3).alias("home_goals"), F.lit(1).cast("long").alias("away_goals"))
 
 
-PERIOD_LIMIT = 40
 
 
 def _period_sql(periods: int) -> str:
@@ -334,7 +333,7 @@ def _period_sql(periods: int) -> str:
 @add("W5_period_ratings", _period_sql(7))
 def w5_period(spark, sf_dir):
     m = pairs(spark, sf_dir)
-    out = ratings.period_ratings(m, F.year("match_date").cast("string"), max_matches=PERIOD_LIMIT)
+    out = ratings.period_ratings(m, F.year("match_date").cast("string"))
     return out.select("match_id", r6("elo_home").alias("elo_home"), r6("elo_away").alias("elo_away"))
 
 
@@ -344,6 +343,6 @@ def r3(spark, sf_dir):
     m = pairs(spark, sf_dir).withColumn("period", F.year("match_date"))
     m.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(m.schema).parquet(f"{folder}/in")
-    job = jobs.RatingStream(spark, f"{folder}/ratings", period="period", max_matches=PERIOD_LIMIT)
+    job = jobs.RatingStream(spark, f"{folder}/ratings", period="period")
     job.run(stream, f"{folder}/checkpoint")
     return job.ratings().select("match_id", r6("elo_home").alias("elo_home"), r6("elo_away").alias("elo_away"))

@@ -1,6 +1,9 @@
 """Operators that need a global order, without sorting everything in one task.
 
-Order is given as columns, most significant first; the last one is unique.
+Order is given as columns, most significant first; together they are unique. Rows are range-partitioned on all
+of them, sorted inside their range and written once; a position is the range's offset plus the place in
+the range. The number of ranges is the session's number of shuffle partitions, so it follows the data as
+that setting does, and the plan is the same for every size.
 """
 
 from __future__ import annotations
@@ -9,84 +12,57 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-SMALL = 100_000
-BUCKETS = 64
-MAX_RANGES = 1024
-
-
-def _as_number(name: str, dtype: T.DataType) -> Column:
-    """A long or double that sorts like the column."""
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(name).cast("long")
-    if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(name)
-    if isinstance(dtype, T.TimestampNTZType):
-        # From the parts, because a cast through a time zone is not monotone at a clock change.
-        seconds = F.hour(name) * 3600 + F.minute(name) * 60
-        micros = (F.extract(F.lit("SECOND"), F.col(name)) * 1_000_000).cast("long")
-        return (F.unix_date(F.to_date(name)).cast("long") * 86_400 + seconds) * 1_000_000 + micros
-    return F.col(name)
-
-
-def nth_row(df: DataFrame, order: list[str], n: int, small: int = SMALL) -> tuple:
-    """Order-column values of the row with 0-based position `n`.
-
-    Narrows the candidate range by sampled quantiles and exact counts until at
-    most `small` rows are left; each round is one filtered scan. Only the chosen
-    row reaches the driver.
-    """
-    for name in order:
-        number = F.col("_number")
-        rows = (df.select(*order) if name == order[0] else rows).withColumn(
-            "_number", _as_number(name, df.schema[name].dataType)
-        )
-        while True:
-            left = rows.agg(F.count("*"), F.min(number), F.max(number)).first()
-            if left[0] <= small:
-                chosen = rows.orderBy(*order).limit(n + 1).agg(
-                    F.max(F.struct(*order)).alias("r")
-                ).first()["r"]
-                return tuple(chosen)
-            if left[1] == left[2]:
-                break
-            rows, n = _narrow(rows, number, left[1], n)
-    raise ValueError("the order columns are not unique")
-
-
-def _narrow(rows: DataFrame, number: Column, low, n: int) -> tuple[DataFrame, int]:
-    """The range between two sampled cuts that holds position n, and n's place inside it."""
-    cuts = _quantiles(rows, number, low)
-    counts = rows.groupBy(_bucket(number, cuts).alias("b")).count().collect()
-    for bucket, count in sorted((r["b"], r["count"]) for r in counts):
-        if n < count:
-            if bucket > 0:
-                rows = rows.filter(number >= cuts[bucket - 1])
-            if bucket < len(cuts):
-                rows = rows.filter(number < cuts[bucket])
-            return rows, n
-        n -= count
-    raise IndexError("position beyond the last row")
-
-
-def _quantiles(rows: DataFrame, number: Column, low, parts: int = BUCKETS) -> list:
-    """Distinct cut values above `low`, so that every cut leaves rows on both sides."""
-    shares = [k / parts for k in range(1, parts)]
-    found = rows.agg(F.percentile_approx(number, shares, 10_000), F.max(number)).first()
-    return sorted({v for v in [*found[0], found[1]] if v > low})
-
-
-def _bucket(number: Column, cuts: list) -> Column:
-    """Number of cuts not above the value, as a balanced decision tree."""
-
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(number < F.lit(cuts[middle]), tree(low, middle)).otherwise(tree(middle + 1, high))
-
-    return tree(0, len(cuts))
+from formline.sources.folders import stored
+
+_PLACE = 2**33 - 1
+
+
+class Ranked:
+    """Rows in their global order, with `_range` and `_place` (position inside the range)."""
+
+    def __init__(self, rows: DataFrame, order: list[str]):
+        ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        kept = stored(
+            rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+            .withColumn("_at", F.monotonically_increasing_id()))
+        self.order = order
+        self.rows = kept.withColumns({
+            "_range": F.shiftright("_at", 33), "_place": F.col("_at").bitwiseAND(F.lit(_PLACE))}).drop("_at")
+        # One number per range reaches the driver.
+        sizes = self.rows.groupBy("_range").agg(F.count("*").alias("n")).collect()
+        self.starts, self.total = {}, 0
+        for number, count in sorted((r["_range"], r["n"]) for r in sizes):
+            self.starts[number] = self.total
+            self.total += count
+
+    def positions(self, output: str) -> DataFrame:
+        """The rows with their 0-based position."""
+        spark = self.rows.sparkSession
+        starts = spark.createDataFrame(list(self.starts.items()) or [(0, 0)], "_range long, _start long")
+        return (
+            self.rows.join(F.broadcast(starts), "_range")
+            .withColumn(output, F.col("_start") + F.col("_place")).drop("_range", "_place", "_start"))
+
+    def at(self, positions: Iterable[int]) -> dict[int, tuple]:
+        """Order-column values of the rows at the positions, by one filtered scan."""
+        wanted = sorted(set(positions))
+        if wanted and not 0 <= wanted[0] <= wanted[-1] < self.total:
+            raise IndexError("position beyond the last row")
+        places, bounds = {}, sorted(self.starts.items(), key=lambda x: x[1])
+        for position in wanted:
+            number, start = [b for b in bounds if b[1] <= position][-1]
+            places[number, position - start] = position
+        hit: Column = F.lit(False)
+        for number, place in places:
+            hit = hit | ((F.col("_range") == number) & (F.col("_place") == place))
+        found = self.rows.filter(hit).collect()
+        return {places[r["_range"], r["_place"]]: tuple(r[c] for c in self.order) for r in found}
+
+
+def nth_row(df: DataFrame, order: list[str], n: int) -> tuple:
+    """Order-column values of the row with 0-based position `n`."""
+    return Ranked(df.select(*order), order).at([n])[n]
 
 
 def before(order: list[str], row: tuple) -> Column:
@@ -100,9 +76,9 @@ def before(order: list[str], row: tuple) -> Column:
 class Cuts:
     """Positions in a global order, turned into filters on the order columns."""
 
-    def __init__(self, df: DataFrame, order: list[str], positions: Iterable[int], small: int = SMALL):
+    def __init__(self, df: DataFrame, order: list[str], positions: Iterable[int]):
         self.df, self.order = df, order
-        self.rows = {p: nth_row(df, order, p, small) for p in sorted(set(positions)) if p > 0}
+        self.rows = Ranked(df.select(*order), order).at(p for p in positions if p > 0)
 
     def slice(self, start: int, end: int | None) -> DataFrame:
         """Rows at positions start (inclusive) to end (exclusive, None for all the rest)."""
@@ -119,7 +95,6 @@ def temporal_split(
     order: list[str],
     test_size: float,
     calibration_size: float,
-    small: int = SMALL,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Train, calibration and test windows in time order."""
     if not 0 < test_size < 1 or not 0 < calibration_size < 1:
@@ -134,7 +109,7 @@ def temporal_split(
     train = total - test - calibration
     if train < 100:
         raise ValueError("fewer than 100 training rows are left")
-    cuts = Cuts(df, order, [train, train + calibration], small)
+    cuts = Cuts(df, order, [train, train + calibration])
     return cuts.slice(0, train), cuts.slice(train, train + calibration), cuts.slice(train + calibration, None)
 
 
@@ -150,175 +125,123 @@ def fold_bounds(rows: int, splits: int) -> list[tuple[int, int]]:
 
 
 def expanding_folds(
-    df: DataFrame, order: list[str], splits: int, small: int = SMALL
+    df: DataFrame, order: list[str], splits: int
 ) -> list[tuple[DataFrame, DataFrame]]:
-    """(train, validation) per fold. Only the cut rows are computed; nothing is shuffled."""
+    """(train, validation) per fold. Only order columns are shuffled, to find the cut rows."""
     total = df.count()
     bounds = fold_bounds(total, splits)
-    cuts = Cuts(df, order, [p for pair in bounds for p in pair if p < total], small)
+    cuts = Cuts(df, order, [p for pair in bounds for p in pair if p < total])
     return [
         (cuts.slice(0, start), cuts.slice(start, end if end < total else None)) for start, end in bounds
     ]
 
 
 def calibration_selection_split(
-    df: DataFrame, order: list[str], small: int = SMALL
+    df: DataFrame, order: list[str]
 ) -> tuple[DataFrame, DataFrame]:
     """First half to fit the calibrators, later half to choose the variant."""
     total = df.count()
     fit = total // 2
     if fit < 100 or total - fit < 100:
         raise ValueError("calibration fit and selection windows need 100 rows each")
-    cuts = Cuts(df, order, [fit], small)
+    cuts = Cuts(df, order, [fit])
     return cuts.slice(0, fit), cuts.slice(fit, None)
 
 
-def with_row_index(
-    df: DataFrame,
-    order: list[str],
-    output: str = "row_index",
-    small: int = SMALL,
-    rows_per_range: int = 1_000_000,
-) -> DataFrame:
-    """0-based position of every row in the global order.
-
-    Rows are cut into ranges by fixed bounds on the order columns, so a recomputed
-    task lands in the same range. A crowded range whose first order column has one
-    value is cut again by the last (unique) column. Offsets are one number per range.
-    """
-    first, last = order[0], order[-1]
-    # Computed once per row, ahead of the decision trees that compare them.
-    numbered = df.withColumns(
-        {
-            "_number": _as_number(first, df.schema[first].dataType),
-            "_unique": _as_number(last, df.schema[last].dataType),
-        }
-    )
-    number, unique = F.col("_number"), F.col("_unique")
-    rows, low, low_unique = numbered.agg(F.count("*"), F.min(number), F.min(unique)).first()
-    if rows <= small:
-        local = Window.partitionBy(F.lit(0)).orderBy(*order)
-        return df.withColumn(output, (F.row_number().over(local) - 1).cast("long"))
-    ranges = min(MAX_RANGES, max(2, rows // rows_per_range))
-    major = _bucket(number, _quantiles(numbered, number, low, ranges))
-    minor = F.lit(0)
-    if len(order) == 2:
-        kinds = numbered.groupBy(major.alias("b")).agg(
-            F.count("*").alias("c"), F.min(number).alias("lo"), F.max(number).alias("hi")
-        )
-        crowded = [r["b"] for r in kinds.collect() if r["lo"] == r["hi"] and r["c"] > 2 * rows // ranges]
-        if crowded:
-            cut = _bucket(unique, _quantiles(numbered, unique, low_unique, ranges))
-            minor = F.when(major.isin(*crowded), cut).otherwise(0)
-    keyed = numbered.withColumns({"_major": major, "_minor": minor}).drop("_number", "_unique")
-    sizes = keyed.groupBy("_major", "_minor").count().collect()
-    offsets, total = [], 0
-    for row in sorted(sizes):
-        offsets.append((row["_major"], row["_minor"], total))
-        total += row["count"]
-    table = df.sparkSession.createDataFrame(offsets, "_major int, _minor int, _offset long")
-    local = Window.partitionBy("_major", "_minor").orderBy(*order)
-    return (
-        keyed.join(F.broadcast(table), ["_major", "_minor"])
-        .withColumn(output, F.col("_offset") + F.row_number().over(local) - 1)
-        .drop("_major", "_minor", "_offset")
-    )
+def with_row_index(df: DataFrame, order: list[str], output: str = "row_index") -> DataFrame:
+    """0-based position of every row in the global order."""
+    return Ranked(df, order).positions(output)
 
 
-def exact_quantiles(
-    df: DataFrame, columns: list[str], shares: list[float], small: int = 1_000_000
-) -> dict[str, list[float | None]]:
+def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float | None]]:
     """Exact, linearly interpolated quantiles of non-NULL values, per column.
 
-    Up to `small` rows one aggregation answers. Beyond, the two neighbours of every
-    quantile are located by narrowing, so no task holds the distinct values.
+    The values of all columns are ordered together, each column a stretch of positions; a row number
+    keeps equal values apart, so that a frequent value spreads over ranges. Only the neighbours of the
+    quantiles reach the driver.
     """
-    counts = df.agg(F.count("*"), *[F.count(c) for c in columns]).first()
-    if counts[0] <= small:
-        row = df.agg(*[F.percentile(F.col(c), shares).alias(c) for c in columns]).first()
-        return {c: list(row[c]) if row[c] is not None else [None] * len(shares) for c in columns}
+    counts = df.agg(*[F.count(F.col(c).cast("double")) for c in columns]).first()
+    values = (
+        df.select(F.monotonically_increasing_id().alias("_row"), F.explode(F.array(*[
+            F.struct(F.lit(i).alias("_column"), F.col(c).cast("double").alias("_value"))
+            for i, c in enumerate(columns)])).alias("_v"))
+        .select("_v.*", "_row").filter(F.col("_value").isNotNull()))
+    spots, start = {}, 0
+    for column, count in zip(columns, counts):
+        for share in shares:
+            if count:
+                position = share * (count - 1)
+                low = int(position)
+                spots[column, share] = (start + low, start + min(low + 1, count - 1), position - low)
+        start += count
+    ranked = Ranked(values, ["_column", "_value", "_row"]) if spots else None
+    found = ranked.at(p for low, high, _ in spots.values() for p in (low, high)) if ranked else {}
     out: dict[str, list[float | None]] = {}
-    for column, count in zip(columns, counts[1:]):
-        values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    for column in columns:
         out[column] = []
         for share in shares:
-            if count == 0:
+            if (column, share) not in spots:
                 out[column].append(None)
                 continue
-            position = share * (count - 1)
-            low = _nth_value(values, int(position), small)
-            high = low if position == int(position) else _nth_value(values, int(position) + 1, small)
-            out[column].append(low + (high - low) * (position - int(position)))
+            low, high, part = spots[column, share]
+            a, b = found[low][1], found[high][1]
+            out[column].append(a if part == 0 else a + (b - a) * part)
     return out
 
 
-def _nth_value(values: DataFrame, n: int, small: int) -> float:
-    """The value at position n; equal values are counted, not sorted."""
-    rows, number = values, F.col("v")
-    while True:
-        left = rows.agg(F.count("*"), F.min(number), F.max(number)).first()
-        if left[1] == left[2]:
-            return left[1]
-        if left[0] <= small:
-            top = rows.orderBy("v").limit(n + 1)
-            return top.agg(F.max("v")).first()[0]
-        rows, n = _narrow(rows, number, left[1], n)
-
-
 def stratified_split(
-    df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42
+    df: DataFrame, key: str, label: str, test_share: float = 0.2, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
-    """(train, test), random and independent inside every class, without a shuffle.
+    """(train, test): in every class, exactly the rounded share of the rows is drawn for the test.
 
-    The row's key decides, so a recomputed task gives the same split.
+    The draw is the order of md5(seed:key), so a recomputed task gives the same split. Classes and their counts
+    reach the driver; NULL is a class of its own.
     """
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000))
-    test = draw < int(test_share * 1_000_000)
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    drawn = df.select(F.col(label).alias("_class"), draw.alias("_draw"), F.col(key).alias("_key"))
+    counts = {r["_class"]: r["n"] for r in drawn.groupBy("_class").agg(F.count("*").alias("n")).collect()}
+    ranked = Ranked(drawn, ["_class", "_draw", "_key"])
+    last, start = {}, 0
+    for value in sorted(counts, key=lambda v: (v is not None, v)):
+        wanted = int(counts[value] * test_share + 0.5)
+        if wanted:
+            last[value] = start + wanted - 1
+        start += counts[value]
+    cuts = ranked.at(last.values())
+    test: Column = F.lit(False)
+    for value, position in last.items():
+        _, cut, cut_key = cuts[position]
+        upto = (draw < cut) | ((draw == cut) & (F.col(key) <= cut_key))
+        test = test | (F.col(label).eqNullSafe(F.lit(value)) & upto)
     return df.filter(~test), df.filter(test)
 
 
-def _score_counts(frame: DataFrame, cls: int, score: str) -> DataFrame:
-    """Positives and negatives per distinct score, with the score's range.
+def _cumulated(frame: DataFrame, cls: int, score: str) -> DataFrame:
+    """True and false positives at every distinct score and just above it, and the totals.
 
-    Ranges hold similar numbers of distinct scores; their bounds are sampled quantiles.
+    Distinct scores are ranged from the highest down; sums run inside a range and start from the range's offset.
     """
     hit = (F.col("actual") == cls).cast("long")
-    counts = frame.groupBy(F.col(score).cast("double").alias("threshold")).agg(
-        F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg")
-    )
-    rows, low = counts.agg(F.count("*"), F.min("threshold")).first()
-    if rows <= SMALL:
-        return counts.withColumn("_b", F.lit(0))
-    ranges = min(MAX_RANGES, max(2, rows // 1_000_000))
-    return counts.withColumn("_b", _bucket(F.col("threshold"), _quantiles(counts, F.col("threshold"), low, ranges)))
-
-
-def _cumulated(counts: DataFrame) -> DataFrame:
-    """True and false positives at every score and just above it, and the totals.
-
-    Sums run inside a range; each range starts from one offset, so no task orders
-    all scores.
-    """
-    per_range = counts.groupBy("_b").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
-    above = Window.partitionBy().orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    offsets = per_range.select(
-        "_b",
-        F.coalesce(F.sum("p").over(above), F.lit(0)).alias("_p0"),
-        F.coalesce(F.sum("q").over(above), F.lit(0)).alias("_q0"),
-        F.sum("p").over(whole).alias("_p"), F.sum("q").over(whole).alias("_q"),
-    )
-    inside = Window.partitionBy("_b").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    summed = counts.withColumns({"_tp": F.sum("pos").over(inside), "_fp": F.sum("neg").over(inside)})
-    # At most one offset row per range.
-    return summed.join(F.broadcast(offsets), "_b").withColumns(
-        {"_tp": F.col("_tp") + F.col("_p0"), "_fp": F.col("_fp") + F.col("_q0")}
-    )
+    counts = frame.groupBy((-F.col(score).cast("double")).alias("_down")).agg(
+        F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg"))
+    ranked = Ranked(counts, ["_down"]).rows
+    # One row of sums per range.
+    sums = sorted(ranked.groupBy("_range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q")).collect())
+    offsets, p, q = [], 0, 0
+    for row in sums:
+        offsets.append((row["_range"], p, q))
+        p, q = p + row["p"], q + row["q"]
+    table = frame.sparkSession.createDataFrame(offsets or [(0, 0, 0)], "_range long, _p0 long, _q0 long")
+    inside = Window.partitionBy("_range").orderBy("_down").rowsBetween(Window.unboundedPreceding, 0)
+    return ranked.withColumns({"_tp": F.sum("pos").over(inside), "_fp": F.sum("neg").over(inside)}).join(
+        F.broadcast(table), "_range").select(
+        (-F.col("_down")).alias("threshold"), "pos", "neg", (F.col("_tp") + F.col("_p0")).alias("_tp"),
+        (F.col("_fp") + F.col("_q0")).alias("_fp"), F.lit(p).alias("_p"), F.lit(q).alias("_q"))
 
 
 def roc_curve(frame: DataFrame, cls: int, score: str) -> DataFrame:
     """One-vs-rest curve: a point per distinct score, from the highest down."""
-    return _cumulated(_score_counts(frame, cls, score)).select(
+    return _cumulated(frame, cls, score).select(
         "threshold", F.col("_tp").alias("true_positives"), F.col("_fp").alias("false_positives"),
         (F.col("_tp") / F.col("_p")).alias("true_positive_rate"),
         (F.col("_fp") / F.col("_q")).alias("false_positive_rate"),
@@ -327,7 +250,7 @@ def roc_curve(frame: DataFrame, cls: int, score: str) -> DataFrame:
 
 def roc_auc(frame: DataFrame, cls: int, score: str) -> DataFrame:
     """Share of (positive, negative) pairs ranked right, ties half: the area under the curve."""
-    points = _cumulated(_score_counts(frame, cls, score))
+    points = _cumulated(frame, cls, score)
     area = F.col("neg") * (2 * F.col("_tp") - F.col("pos")) / 2.0
     return points.agg((F.sum(area) / F.max("_p") / F.max("_q")).alias("auc"))
 

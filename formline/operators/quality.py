@@ -10,7 +10,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_LISTED = 100
 
 
 class ContractError(ValueError):
@@ -174,18 +173,19 @@ def enforce_for_table(df: DataFrame, schema_name: str, table_name: str) -> None:
         enforce(df, contract)
 
 
+# The fields of a prediction result. The probabilities are named by the caller.
 PREDICTION_REQUIRED = (
-    "home_team", "away_team", "predicted_class", "predicted_outcome", "class_probabilities_json",
-    "neutral", "feature_source", "model_artifact_path",
+    "home_team", "away_team", "predicted_class", "predicted_outcome", "neutral",
+    "feature_snapshot_dates", "feature_source", "model_artifact_path",
 )
 
 
 def prediction_violations(predictions: DataFrame, probabilities: str = "class_probabilities_json") -> DataFrame:
-    """Rows whose probabilities are missing or do not sum to 1 within 0.01.
+    """Rows whose probabilities are missing, empty or do not sum to 1 within 0.01.
 
     Missing columns and wrong optional types raise, as they concern every row.
     """
-    missing = missing_columns(predictions, (probabilities,))
+    missing = missing_columns(predictions, (*PREDICTION_REQUIRED, probabilities))
     if missing:
         raise ContractError(f"prediction_result: missing columns {missing}")
     types = {f.name: f.dataType.typeName() for f in predictions.schema.fields}

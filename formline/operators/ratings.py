@@ -19,7 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from formline.operators.hotkeys import finest_unit
+from formline.operators.components import components
+from formline.operators.ordered import Ranked
 from formline.sources.folders import shared_folder
 
 # Fixed values of the rating scheme.
@@ -30,7 +31,6 @@ DECAY_RATE = 0.97
 DECAY_DAYS = 90.0
 
 ROWS_PER_STEP = 1_000_000
-MAX_MATCHES_PER_PERIOD = 4
 
 
 def expected_score(own: Column, other: Column) -> Column:
@@ -95,45 +95,46 @@ def _fold(decay: bool):
     return run
 
 
-def _prepared(matches: DataFrame, pool: list[str]) -> DataFrame:
-    key = F.concat_ws("|", *[F.col(c).cast("string") for c in pool]) if pool else F.lit("all")
+def _prepared(matches: DataFrame, pool: list[str], *more: Column) -> DataFrame:
+    """Scored matches with a text key of the pool columns; unscored ones move no rating."""
+    key = F.to_json(F.array(*[F.col(c).cast("string") for c in pool]))
     points = (
         F.when(F.col("home_goals") > F.col("away_goals"), 1.0)
         .when(F.col("home_goals") < F.col("away_goals"), 0.0)
         .otherwise(0.5)
     )
-    return matches.select(
+    scored = matches.filter(F.col("home_goals").isNotNull() & F.col("away_goals").isNotNull())
+    return scored.select(
         key.alias("pool"), "match_id", "kickoff_ts", "home_team", "away_team",
-        F.unix_date("match_date").alias("day"), points.alias("points"),
+        F.unix_date("match_date").alias("day"), points.alias("points"), *more,
     )
 
 
+def with_components(rows: DataFrame) -> DataFrame:
+    """Replaces `pool` by the component of the team graph: teams connected through opponents.
+
+    Ratings of different components never meet, so they can be folded side by side. One
+    connected component stays sequential in time; that is what the recurrence means.
+    """
+    pairs = rows.select(
+        F.least("home_team", "away_team").alias("a"), F.greatest("home_team", "away_team").alias("b")).distinct()
+    teams = components(pairs).select(F.col("node").alias("home_team"), F.col("root").alias("pool"))
+    return rows.drop("pool").join(teams, "home_team")
+
+
 def _steps(rows: DataFrame, rows_per_step: int) -> tuple[DataFrame, int]:
     """Adds the step number of each row and returns the number of steps.
 
-    Steps end at unit boundaries. The counts behind them are one row per pool and unit.
+    A step is `rows_per_step` consecutive rows of a pool by (kickoff_ts, match_id), so it may end
+    inside an instant.
     """
     biggest = rows.groupBy("pool").count().agg(F.max("count")).first()[0] or 0
     if biggest <= rows_per_step:
         return rows, 1
-    unit_start = F.date_trunc(finest_unit(rows, ["pool"], "kickoff_ts", rows_per_step), "kickoff_ts")
-    per_unit = rows.groupBy("pool", unit_start.alias("_unit")).count()
-    largest = per_unit.agg(F.max("count")).first()[0]
-    if largest > rows_per_step:
-        raise ValueError(
-            f"{largest} matches of one pool share one instant (limit {rows_per_step}): split the pool"
-        )
-    upto = Window.partitionBy("pool").orderBy("_unit").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = per_unit.select(
-        "pool", "_unit",
-        F.floor(F.coalesce(F.sum("count").over(upto), F.lit(0)) / rows_per_step).alias("raw_step"),
-    )
-    # Consecutive numbers: a unit as large as a step may skip some.
-    dense = Window.partitionBy("pool").orderBy("raw_step")
-    numbered = numbered.select("pool", "_unit", (F.dense_rank().over(dense) - 1).alias("step"))
-    last = numbered.agg(F.max("step")).first()[0]
-    stepped = rows.withColumn("_unit", unit_start).join(numbered, ["pool", "_unit"]).drop("_unit")
-    return stepped, int(last) + 1
+    placed = Ranked(rows, ["pool", "kickoff_ts", "match_id"]).positions("_position")
+    starts = placed.groupBy("pool").agg(F.min("_position").alias("_first"))
+    step = F.floor((F.col("_position") - F.col("_first")) / rows_per_step).cast("int")
+    return placed.join(starts, "pool").withColumn("step", step).drop("_position", "_first"), -(-biggest // rows_per_step)
 
 
 def exact_ratings(
@@ -143,9 +144,13 @@ def exact_ratings(
     rows_per_step: int = ROWS_PER_STEP,
     checkpoint_folder: str | None = None,
 ) -> DataFrame:
-    """Adds elo_home and elo_away, the ratings before the match."""
+    """Adds elo_home and elo_away, the ratings before the match (NULL for matches without a score).
+
+    Without `pool` columns the pools are the components of the team graph.
+    """
     spark = matches.sparkSession
-    rows, steps = _steps(_prepared(matches, pool or []), rows_per_step)
+    prepared = _prepared(matches, pool or [])
+    rows, steps = _steps(prepared if pool else with_components(prepared), rows_per_step)
     fold = _fold(decay)
     if steps == 1:
         nobody = pd.DataFrame({"team": [], "rating": [], "last_day": []})
@@ -164,7 +169,7 @@ def exact_ratings(
             state = done.filter("kind = 'team'").select("pool", "team", "rating", "last_day")
         folded = spark.read.parquet(f"{folder}/folded")
     rated = folded.filter("kind = 'match'").select("match_id", "elo_home", "elo_away")
-    return matches.join(rated, "match_id")
+    return matches.join(rated, "match_id", "left")
 
 
 def rate_period(state: DataFrame, rows: DataFrame, decay: bool = True) -> DataFrame:
@@ -208,41 +213,28 @@ def next_state(state: DataFrame, rated: DataFrame, decay: bool = True) -> DataFr
     return state.join(change, "team", "full").select(
         "team",
         F.coalesce(moved, "rating").alias("rating"),
-        F.coalesce("day", "last_day").alias("last_day"),
+        # A late batch never moves the last match day backwards.
+        F.greatest("day", "last_day").alias("last_day"),
     )
 
 
 def prepared_periods(matches: DataFrame, period: Column) -> DataFrame:
-    rows = _prepared(matches.withColumn("_period", period), ["_period"])
-    return rows.withColumnRenamed("pool", "period")
-
-
-def busiest(rows: DataFrame, period: str) -> int:
-    """Largest number of matches of one team in one period."""
-    teams = rows.select(period, F.explode(F.array("home_team", "away_team")).alias("team"))
-    return teams.groupBy("team", period).count().agg(F.max("count")).first()[0] or 0
+    return _prepared(matches, [], period.alias("period")).drop("pool")
 
 
 def period_ratings(
     matches: DataFrame,
     period: Column,
     decay: bool = True,
-    max_matches: int = MAX_MATCHES_PER_PERIOD,
     checkpoint_folder: str | None = None,
 ) -> DataFrame:
     """Adds elo_home and elo_away in period mode.
 
-    `period` is a column whose values sort in time. Refuses periods in which a team
-    plays more than `max_matches` times, where the scheme is not stable.
+    `period` is a column whose values sort in time. All matches of a period start from the ratings
+    at its start, however many a team plays; the shorter the periods, the closer to the exact mode.
     """
     spark = matches.sparkSession
     rows = prepared_periods(matches, period)
-    worst = busiest(rows, "period")
-    if worst > max_matches:
-        raise ValueError(
-            f"a team plays {worst} times in one period (limit {max_matches}): use shorter periods "
-            "or exact ratings"
-        )
     folder = shared_folder(spark, checkpoint_folder)
     rows.hint("rebalance", "period").write.partitionBy("period").parquet(f"{folder}/rows")
     stored = spark.read.schema(rows.schema).parquet(f"{folder}/rows")
@@ -256,4 +248,4 @@ def period_ratings(
         next_state(state, rated, decay).write.parquet(f"{folder}/state/n={number}")
         state = spark.read.parquet(f"{folder}/state/n={number}")
     rated = spark.read.parquet(f"{folder}/rated").select("match_id", "elo_home", "elo_away")
-    return matches.join(rated, "match_id")
+    return matches.join(rated, "match_id", "left")

@@ -96,13 +96,13 @@ class RatingStream:
 
     Every batch is cut into periods and applied with the period update. The state after
     batch n is the folder state/n, and the ratings of its matches rated/n; a repeated batch
-    overwrites the same folders from the same input state, so a restart changes nothing.
+    overwrites the same folders from the same input state, so a restart changes nothing. Late
+    matches are rated from the state they meet; they cause no decay and leave the last match day.
     """
 
     def __init__(self, spark: SparkSession, folder: str, period: str = "match_date",
-                 decay: bool = True, max_matches: int = ratings.MAX_MATCHES_PER_PERIOD):
-        self.spark, self.folder, self.period = spark, folder, period
-        self.decay, self.max_matches = decay, max_matches
+                 decay: bool = True):
+        self.spark, self.folder, self.period, self.decay = spark, folder, period, decay
 
     def _state(self, batch_id: int) -> DataFrame:
         if batch_id == 0:
@@ -118,9 +118,6 @@ class RatingStream:
             state.write.mode("overwrite").parquet(f"{self.folder}/state/{batch_id}")
             return
         prepared = ratings.prepared_periods(rows, F.col(self.period).cast("string"))
-        worst = ratings.busiest(prepared, "period")
-        if worst > self.max_matches:
-            raise ValueError(f"a team plays {worst} times in one period: use a finer period column")
         values = sorted(r[0] for r in prepared.select("period").distinct().collect())
         for number, value in enumerate(values):
             part = prepared.filter(F.col("period") == value).drop("period")

@@ -35,8 +35,12 @@ def test_feature_contract(features):
 
 def test_prediction_contract(spark):
     df = spark.createDataFrame(
-        [(1, '{"a": 0.5, "b": 0.5}', None), (2, '{"a": 0.5}', "x"), (3, None, "x")], "id int, class_probabilities_json string, match_segment string")
-    assert {r["id"] for r in quality.prediction_violations(df).collect()} == {2, 3}
+        [(1, '{"a": 0.5, "b": 0.5}', None), (2, '{"a": 0.5}', "x"), (3, None, "x"), (4, "{}", None)],
+        "id int, class_probabilities_json string, match_segment string")
+    with pytest.raises(quality.ContractError, match="feature_snapshot_dates"):
+        quality.prediction_violations(df)
+    df = df.withColumns({c: F.lit("x") for c in quality.PREDICTION_REQUIRED})
+    assert {r["id"] for r in quality.prediction_violations(df).collect()} == {2, 3, 4}
     with pytest.raises(quality.ContractError):
         quality.prediction_violations(df.withColumn("match_segment", F.lit(1)))
 

@@ -60,16 +60,43 @@ def test_steps_equal_one_pass(sample, limit):
     assert all(whole[k] == pytest.approx(stepped[k], abs=1e-9) for k in whole)
 
 
-def test_one_big_pool_in_steps(sample):
-    whole = by_id(ratings.exact_ratings(sample), "elo_home")
-    stepped = by_id(ratings.exact_ratings(sample, rows_per_step=250), "elo_home")
-    assert all(whole[k] == pytest.approx(stepped[k], abs=1e-9) for k in whole)
+def test_pools_are_components_of_the_team_graph(sample, make_matches):
+    rows = ratings._prepared(sample, [])
+    found = ratings.with_components(rows).select("pool", "home_team", "away_team").distinct().collect()
+    assert len({r["pool"] for r in found}) > 1
+    by_team = {r["home_team"]: r["pool"] for r in found}
+    assert all(by_team[r["away_team"]] == r["pool"] for r in found if r["away_team"] in by_team)
+    pooled = by_id(ratings.exact_ratings(sample, ["pool_id"]), "elo_home")
+    own = by_id(ratings.exact_ratings(sample, rows_per_step=250), "elo_home")
+    assert all(pooled[k] == pytest.approx(own[k], abs=1e-9) for k in pooled)
+
+
+def test_steps_may_end_inside_an_instant(make_matches):
+    m = make_matches([(i, "2020-01-01", "AB"[i % 2], "BC"[i % 2], i % 3, 1) for i in range(9)])
+    whole = by_id(ratings.exact_ratings(m), "elo_home", "elo_away")
+    stepped = by_id(ratings.exact_ratings(m, rows_per_step=2), "elo_home", "elo_away")
+    assert all(whole[k] == pytest.approx(stepped[k]) for k in whole)
+
+
+def test_unscored_matches_move_no_rating(make_matches):
+    rows = [(0, "2020-01-01", "A", "B", 2, 0), (1, "2020-01-02", "A", "B", None, None), (2, "2020-01-02", "A", "B", 1, 1)]
+    got = by_id(ratings.exact_ratings(make_matches(rows)), "elo_home")
+    assert got[1] is None and got[2] == pytest.approx(by_id(ratings.exact_ratings(make_matches(rows[::2])), "elo_home")[2])
 
 
-def test_instant_larger_than_a_step_is_refused(make_matches):
-    m = make_matches([(i, "2020-01-01", f"A{i}", f"B{i}", 1, 0) for i in range(5)])
-    with pytest.raises(ValueError, match="share one instant"):
-        ratings.exact_ratings(m, rows_per_step=2)
+def test_pool_keys_do_not_merge(make_matches):
+    m = make_matches([(0, "2020-01-01", "A", "B", 1, 0), (1, "2020-01-02", "A", "B", 1, 0)])
+    pair = F.when(F.col("match_id") == 0, F.struct(F.lit("a|b").alias("p"), F.lit("c").alias("q"))).otherwise(
+        F.struct(F.lit("a").alias("p"), F.lit("b|c").alias("q")))
+    split = m.withColumn("pair", pair).select("*", "pair.p", "pair.q").drop("pair")
+    assert by_id(ratings.exact_ratings(split, ["p", "q"]), "elo_home")[1] == 1500
+
+
+def test_late_batch_keeps_the_last_day(spark):
+    state = spark.createDataFrame([("A", 1600.0, 18300), ("B", 1500.0, 18300)], "team string, rating double, last_day int")
+    late = spark.createDataFrame([(1, "A", "B", 18000, 1.0)], "match_id long, home_team string, away_team string, day int, points double")
+    after = ratings.next_state(state, ratings.rate_period(state, late)).collect()
+    assert {r["last_day"] for r in after} == {18300}
 
 
 def test_period_equals_exact_when_no_team_plays_twice(make_matches):
@@ -77,8 +104,3 @@ def test_period_equals_exact_when_no_team_plays_twice(make_matches):
     exact = by_id(ratings.exact_ratings(m), "elo_home", "elo_away")
     period = by_id(ratings.period_ratings(m, F.col("match_date").cast("string")), "elo_home", "elo_away")
     assert all(exact[k] == pytest.approx(period[k]) for k in exact)
-
-
-def test_dense_period_is_refused(sample):
-    with pytest.raises(ValueError, match="shorter periods"):
-        ratings.period_ratings(sample, F.date_format("match_date", "yyyy-MM"))
