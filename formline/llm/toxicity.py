@@ -140,6 +140,7 @@ def _threshold(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> fl
     """The cut with the least prior-corrected error, 2 p (missed positives) + (unlabelled above) - p. Among cuts
     that are worse by less than half a standard error, the highest, so that clean texts are left alone."""
     cuts = np.unique(np.r_[positive, unlabelled])
+    cuts = np.r_[cuts, cuts[-1] + 2.0]  # the last one calls no text toxic
     missed = np.searchsorted(np.sort(positive), cuts, side="left") / len(positive)
     above = 1 - np.searchsorted(np.sort(unlabelled), cuts, side="left") / len(unlabelled)
     error = 2 * prior * missed + above

@@ -297,10 +297,11 @@ def test_language_counts_equal_plain_bayes():
 
 def test_toxicity_on_held_out_rows(spark):
     rnd = random.Random(6)
+    vocabulary = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
     rows, labels = [], []
     for i in range(900):
         toxic = i % 6 == 0
-        words = sentence(rnd, 40, 200).split() + (["nasty", "vile"] if toxic else [])
+        words = [vocabulary[rnd.randrange(400)] for _ in range(40)] + (["nasty", "vile"] if toxic else [])
         rnd.shuffle(words)
         rows.append((i, " ".join(words)))
         if i % 2 or toxic:

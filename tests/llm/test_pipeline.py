@@ -8,7 +8,7 @@ from tests.conftest import SMALL
 
 
 def text(rnd, n=150):
-    return " ".join(f"w{rnd.randrange(900)}" for _ in range(n))
+    return " ".join("".join(chr(97 + int(d)) for d in str(rnd.randrange(900))) for _ in range(n))
 
 
 def test_stages_keep_clean_rows_and_act_on_the_others(spark, tmp_path):
@@ -20,7 +20,7 @@ def test_stages_keep_clean_rows_and_act_on_the_others(spark, tmp_path):
     toxic = list(range(300, 340))
     rows += [(i, text(rnd) + " " + " ".join(bad)) for i in toxic]
     labels += [(i, 1) for i in toxic[:30]]
-    copy, near = rows[0][1], rows[1][1].replace(" w", " w", 1).split()
+    copy, near = rows[0][1], rows[1][1].split()
     near[60] = "other"
     rows += [(400, copy), (401, copy), (402, " ".join(near)), (403, f"a {item} b"), (404, "token = abcdefghijklmnop"), (405, None), (406, "")]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows],
