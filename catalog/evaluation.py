@@ -360,15 +360,14 @@ def m15(spark, sf_dir):
 
 @add(
     "Q17_threshold_table",
-    """select * from (values ('friendlies', 1.4::double, 0.6::double), ('worldcup', 0.55, -0.1)) v(match_segment, uncertainty, conviction)""",
+    with_views("predictions", ctes=SEGMENTED_SQL, body="""select match_segment, uncertainty, conviction from (
+ select match_segment, round(2.4*avg(g_home),6) as uncertainty, round(avg(s_draw)-0.52,6) as conviction, count(*) as n from segmented where match_segment is not null group by 1)
+ where uncertainty not between 0 and 1 or conviction not between 0 and 1"""),
 )
 def q17(spark, sf_dir):
-    segments = _segmented(spark, sf_dir).filter("match_segment is not null").groupBy("match_segment").agg(
+    table = _segmented(spark, sf_dir).filter("match_segment is not null").groupBy("match_segment").agg(
+        r6(2.4 * F.avg("g_home")).alias("uncertainty"), r6(F.avg("s_draw") - 0.52).alias("conviction"),
         F.count("*").alias("min_samples"))
-    table = segments.withColumns({
-        "uncertainty": F.when(F.col("match_segment") == "friendlies", 1.4).otherwise(0.55),
-        "conviction": F.when(F.col("match_segment") == "worldcup", -0.1).otherwise(0.6),
-    })
     return thresholds.invalid_thresholds(table).drop("min_samples")
 
 
@@ -503,17 +502,19 @@ def m20(spark, sf_dir):
 @add(
     "J7_segment_comparison",
     with_views("predictions", ctes=REPORT_SQL + f""",
-rep1 as (select grp as segment_value, n, macro_f1, log_loss from {suite_sql("(select * from report_frame where competition_segment<>'Friendly')", 'competition_segment')}),
+rep1 as (select grp as segment_value, n, macro_f1, log_loss from {suite_sql("(select * replace (case when competition_segment='Friendly' then 'First only' else competition_segment end as competition_segment) from report_frame)", 'competition_segment')}),
 spec as (select * replace (s_away as p_away, s_draw as p_draw, s_home as p_home, greatest(s_away,s_draw,s_home) as conf,
   case when s_away>=s_draw and s_away>=s_home then -1 when s_draw>=s_home then 0 else 1 end as predicted,
   case when actual=-1 then s_away when actual=0 then s_draw else s_home end as p_true) from report_frame),
-rep2 as (select grp as segment_value, n, macro_f1, log_loss from {suite_sql("(select * from spec where competition_segment<>'Other')", 'competition_segment')})""",
+rep2 as (select grp as segment_value, n, macro_f1, log_loss from {suite_sql("(select * replace (case when competition_segment='Other' then 'Second only' else competition_segment end as competition_segment) from spec)", 'competition_segment')})""",
         body="""select segment_value, coalesce(a.n,0) as rows_v1, coalesce(b.n,0) as rows_v2, round(a.macro_f1,6) as macro_f1_v1, round(b.macro_f1,6) as macro_f1_v2,
  round(b.macro_f1-a.macro_f1,6) as delta_macro_f1, round(b.log_loss-a.log_loss,6) as delta_log_loss from rep1 a full join rep2 b using (segment_value)"""),
 )
 def j7(spark, sf_dir):
-    first = report_frame(spark, sf_dir).filter("competition_segment <> 'Friendly'")
-    second = report_frame(spark, sf_dir).filter("competition_segment <> 'Other'")
+    # One segment of each report has a name that the other lacks.
+    named = F.col("competition_segment")
+    first = report_frame(spark, sf_dir).withColumn("competition_segment", F.when(named == "Friendly", "First only").otherwise(named))
+    second = report_frame(spark, sf_dir).withColumn("competition_segment", F.when(named == "Other", "Second only").otherwise(named))
     row = [F.col(c) for c in thresholds.SPECIALIST]
     second = second.withColumns({"p_away": row[0], "p_draw": row[1], "p_home": row[2], "predicted": outcomes.argmax_class(*row)})
     out = report.compare_segments(
@@ -727,13 +728,16 @@ def f2(spark, sf_dir):
 
 @add(
     "P20_feature_columns",
-    "select * from (values (0::int,'neutral')) v(position, column_name)",
+    with_views("matches", body="""select 0::int as position, 'neutral' as column_name, count(neutral) as filled, count(*) filter (neutral) as total from matches
+ union all select 1::int, 'base_strength', count(*), sum(match_id%11) from matches"""),
 )
 def p20(spark, sf_dir):
-    m = standard.with_targets(views.matches(spark, sf_dir))
-    names = metrics.feature_columns(m)
-    listed = F.array(*[F.lit(n) for n in names])
-    return m.agg(F.count("*")).select(F.posexplode(listed).alias("position", "column_name"))
+    m = standard.with_targets(views.matches(spark, sf_dir)).withColumn("base_strength", F.col("match_id") % 11)
+    listed = F.array(*[
+        F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"), F.col(c).cast("long").alias("value"))
+        for i, c in enumerate(metrics.feature_columns(m))])
+    return m.select(F.inline(listed)).groupBy("position", "column_name").agg(
+        F.count("value").alias("filled"), F.sum("value").alias("total"))
 
 
 @add(

@@ -380,19 +380,18 @@ def j1(spark, sf_dir):
 
 
 def members(spark, sf_dir):
-    """(team, confederation) from nation and region; nations 20 up stay unlisted."""
+    """(team, confederation) from nation and region; nations 20 up play under no name of their own."""
     nation = views.read_table(spark, sf_dir, "nation")
     region = views.read_table(spark, sf_dir, "region")
     listed = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        F.col("n_name").alias("team"),
+        F.when(F.col("n_nationkey") < 20, F.col("n_name")).otherwise(F.concat(F.lit("FORMER "), "n_name")).alias("team"),
         F.when(F.col("n_nationkey") == 7, dims.REGIONAL).otherwise(F.col("r_name")).alias("confederation"),
-        "n_nationkey",
     )
-    return listed.filter("n_nationkey < 20").drop("n_nationkey")
+    return listed
 
 
-MEMBERS_SQL = """members as (select n_name as team, case when n_nationkey=7 then 'Regional/NonFIFA' else r_name end as confederation
- from nation join region on n_regionkey=r_regionkey where n_nationkey<20),
+MEMBERS_SQL = """members as (select case when n_nationkey<20 then n_name else 'FORMER '||n_name end as team, case when n_nationkey=7 then 'Regional/NonFIFA' else r_name end as confederation
+ from nation join region on n_regionkey=r_regionkey),
 sides as (select m.*, 'NATION_'||cast((match_id*7)%25 as varchar) as away_country from matches m),
 confed as (select s.*, coalesce(h.confederation,'Unknown') as home_confederation, coalesce(a.confederation,'Unknown') as away_confederation
  from sides s left join members h on h.team=s.country left join members a on a.team=s.away_country)"""
