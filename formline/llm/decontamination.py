@@ -18,12 +18,13 @@ and null ids keep their rows; empty tables give an empty result; only doc_id, it
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formline.llm.common import id_and_text
@@ -141,12 +142,17 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int,
     yield block
 
 
+def _shared(spark: SparkSession, number: int, block: list):
+    """A block as a broadcast with a name of its own; its size is bounded by the block's characters."""
+    return spark.sparkContext.broadcast(((uuid.uuid4().hex, number), block))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE,
                  block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, edits for every pair of a document row and an item row within the item's budget."""
     spark, texts, found = docs.sparkSession, id_and_text(docs), None
     for number, block in enumerate(_blocks(benchmark, block_chars)):
-        shared = spark.sparkContext.broadcast(((spark.sparkContext.applicationId, id(block), number), block))
+        shared = _shared(spark, number, block)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             matcher = _matcher(shared, share)
@@ -165,12 +171,14 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, share: float = SHARE,
     """The rows of `docs` without any item; block by block, so that texts are read in place and not joined."""
     spark = docs.sparkSession
     for number, block in enumerate(_blocks(benchmark, block_chars)):
-        shared = spark.sparkContext.broadcast(((spark.sparkContext.applicationId, id(block), number), block))
+        docs = docs.filter(_free_of(_shared(spark, number, block), share)(F.col("text")))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def free(texts: pd.Series, shared=shared) -> pd.Series:
-            matcher = _matcher(shared, share)
-            return texts.map(lambda text: not matcher.find(text)).astype(bool)
 
-        docs = docs.filter(free(F.col("text")))
-    return docs
+def _free_of(shared, share: float):
+    @F.pandas_udf("boolean")
+    def free(texts: pd.Series) -> pd.Series:
+        matcher = _matcher(shared, share)
+        return texts.map(lambda text: not matcher.find(text)).astype(bool)
+
+    return free

@@ -137,8 +137,9 @@ def _descend(p: _Rows, u: _Rows, prior: float, size: int, steps: int = 80, pace:
 
 
 def _threshold(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
-    """The cut with the least prior-corrected error, 2 p (missed positives) + (unlabelled above) - p. Among cuts
-    that are worse by less than half a standard error, the highest, so that clean texts are left alone."""
+    """The cut with the least prior-corrected error, 2 p (missed positives) + (unlabelled above) - p. Cuts
+    that are worse by less than half a standard error are as good; one well up
+    in their range is taken, so that clean texts are left alone."""
     cuts = np.unique(np.r_[positive, unlabelled])
     cuts = np.r_[cuts, cuts[-1] + 2.0]  # the last one calls no text toxic
     missed = np.searchsorted(np.sort(positive), cuts, side="left") / len(positive)
@@ -146,8 +147,8 @@ def _threshold(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> fl
     error = 2 * prior * missed + above
     best = int(np.argmin(error))
     spread = (2 * prior) ** 2 * missed * (1 - missed) / len(positive) + above * (1 - above) / len(unlabelled)
-    best = int(np.flatnonzero(error <= error[best] + 0.5 * np.sqrt(spread[best]))[-1])
-    return float((cuts[best] + cuts[max(best - 1, 0)]) / 2)
+    near = np.flatnonzero(error <= error[best] + 0.5 * np.sqrt(spread[best]))
+    return float(0.2 * cuts[max(near[0] - 1, 0)] + 0.8 * cuts[near[-1]])
 
 
 def _different(rows: list[np.ndarray]) -> list[np.ndarray]:
@@ -188,7 +189,8 @@ def scorer(spark: SparkSession, model: Model):
     def scored(texts: pd.Series) -> pd.Series:
         model = shared.value
         margins = np.array([model.margin(features(t)) for t in texts], float)
-        return pd.Series(1 / (1 + np.exp(-np.clip(margins, -700, 700))), dtype=float)
+        scores = 1 / (1 + np.exp(-np.clip(margins, -700, 700)))
+        return pd.Series(np.where(np.isneginf(margins), 0.0, scores), dtype=float)
 
     return scored
 
