@@ -256,11 +256,12 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, lanes: int = 1, budget: in
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     distinct = store(fps.groupBy("fp").agg(F.min(row).alias("first")), "distinct")
     keys = tables(distinct.count()) if tables else exact_tables(64 * lanes, budget)
-    members = components(links(distinct.select("fp"), budget, keys))
+    members = components(store(links(distinct.select("fp"), budget, keys), "links"))
     linked = members.join(distinct, members["node"] == distinct["fp"]).select("node", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     named = linked.join(least, "root").select(F.col("node").alias("fp"), "least")
-    ids = distinct.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("least"))
+    # Written, so that the last join reads both sides through exchanges of its own and a frequent one can be split.
+    ids = store(distinct.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("least")), "ids")
     return fps.join(ids, "fp").select(
         "doc_id", "text_hash", "fp", F.col("least.doc_id").alias("component_id"),
         F.col("least.text_hash").alias("first_hash"))
