@@ -9,23 +9,64 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formline.operators import quality, standard
+from formline.operators import ordered, quality, standard
 from formline.plans import build, training
 from formline.plans.models import Candidate
-from formline.sources import sinks
+from formline.sources import readers, sinks
 
 STAGES = ("ingest", "process", "train")
 
 
+def identified(rows: DataFrame) -> DataFrame:
+    """Adds what the feeds lack: `kickoff_ts` (midnight of the day) and `match_id`, the chronological position.
+
+    Rows must be free of duplicates, so that the deduplication key orders them completely.
+    """
+    if "kickoff_ts" not in rows.columns:
+        rows = rows.withColumn("kickoff_ts", F.col("match_date").cast("timestamp_ntz"))
+    if "match_id" not in rows.columns:
+        rows = ordered.with_row_index(rows, ["kickoff_ts", *standard.DEDUP_KEY], "match_id")
+    return rows
+
+
 def _ingest(historical: DataFrame, api: DataFrame | None, folder: str, era_start: date) -> None:
-    """Both feeds, scored matches of the era, without duplicates: the silver layer."""
-    quality.enforce(historical, quality.STANDARD_MATCHES)
+    """Both feeds as bronze layers; scored matches of the era, without duplicates, as the silver layer.
+
+    Fixtures without a score are no fault of a feed, so contracts are checked after they are dropped.
+    """
+    feeds = {"historical": historical} | ({"api": api} if api is not None else {})
+    scored = {}
+    for name, feed in feeds.items():
+        sinks.write_layer(feed, f"{folder}/bronze/{name}")
+        stored = feed.sparkSession.read.parquet(f"{folder}/bronze/{name}").drop("year")
+        scored[name] = standard.drop_unscored(stored)
+        quality.enforce(scored[name], quality.STANDARD_MATCHES)
     if api is not None:
-        rows = standard.deduplicate(standard.union_feeds(historical, api))
+        rows = standard.union_feeds(scored["historical"], scored["api"])
     else:
-        rows = standard.deduplicate(historical.withColumn("source_priority", F.lit(1)))
-    rows = standard.from_era(standard.drop_unscored(rows), era_start)
-    sinks.write_layer(rows, f"{folder}/silver")
+        rows = scored["historical"].withColumn("source_priority", F.lit(1))
+    tie = ("match_id",) if "match_id" in rows.columns else ("tournament", "city", "country")
+    rows = standard.from_era(standard.deduplicate(rows, order=("source_priority", *tie)), era_start)
+    sinks.write_layer(identified(rows), f"{folder}/silver")
+
+
+def from_sources(spark: SparkSession, historical_path: str, snapshots: str | None, folder: str, multi_line: bool = True,
+                 **options) -> DataFrame:
+    """`run` from the feeds' files: the historical CSV and landed match documents of the service.
+
+    Documents of national teams in international competitions are kept, and kept raw as a snapshot as well.
+    """
+    historical = standard.standardize_historical(readers.read_historical(spark, historical_path, keep_unscored=True))
+    api = None
+    if snapshots is not None:
+        documents = readers.match_documents(readers.read_snapshots(spark, snapshots, multi_line)).withColumns({
+            "competition_code": F.col("competition.code"), "home_team": F.col("homeTeam.name"),
+            "away_team": F.col("awayTeam.name")})
+        kept = standard.international_filter(documents).drop("competition_code", "home_team", "away_team")
+        raw = sinks.write_snapshot(kept, f"{folder}/raw")
+        stored = readers.match_documents(readers.read_snapshots(spark, raw, multi_line=False))
+        api = standard.standardize_documents(stored)
+    return run(spark, historical, api, folder, **options)
 
 
 def run(
@@ -81,7 +122,15 @@ def run(
         sinks.write_report(out["test_metrics"], f"{folder}/reports/test_metrics")
         sinks.write_report(out["ranking"], f"{folder}/reports/ranking")
         scored = out["test_metrics"].first()
-        return scored["n"], f"{out['summary']['selected_model_name']} macro_f1={scored['macro_f1']:.4f}"
+        about = out["summary"]
+        row = sinks.training_run_row(spark, {
+            "artifact_path": f"{folder}/models/production", "data_path": f"{folder}/gold",
+            "training_rows": gold.count() - scored["n"], "test_rows": scored["n"],
+            "feature_count": len(about["feature_columns"]), **about,
+            "metrics": {m: scored[m] for m in ("accuracy", "macro_f1", "weighted_f1", "log_loss")}}, run_id)
+        quality.enforce(row, quality.TRAINING_RUNS)
+        row.write.mode("append").parquet(f"{folder}/reports/training_runs")
+        return scored["n"], f"{about['selected_model_name']} macro_f1={scored['macro_f1']:.4f}"
 
     for name, work in (("ingest", ingest), ("process", process), ("train", train)):
         stage(name, work)

@@ -8,6 +8,7 @@ weights enter once, through `weightCol`.
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -15,6 +16,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
+    LogisticRegressionModel,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -27,7 +29,7 @@ from formline.functions import outcomes
 from formline.operators import metrics, thresholds
 
 SEED = 42
-MAX_ITER = 200
+MAX_ITER = 2500  # fixed value of the search space
 DRAW_CAP = 0.999
 SPECIALIST_MULTIPLIER = 4 / 3
 ROW = metrics.PROBABILITIES
@@ -145,11 +147,19 @@ def _fit_prior(candidate: Candidate, rows: DataFrame, columns: list[str], target
     return Fitted(candidate, columns, constants={"prior": prior})
 
 
+def _converged(model: PipelineModel, name: str) -> PipelineModel:
+    """Says so if a logistic fit ended at its iteration limit."""
+    last = model.stages[-1]
+    if isinstance(last, LogisticRegressionModel) and last.hasSummary and last.summary.totalIterations >= last.getMaxIter():
+        warnings.warn(f"{name}: stopped after {last.getMaxIter()} iterations", stacklevel=2)
+    return model
+
+
 def _fit_one(kind: str, scaled: bool, params: Callable[[dict, float], dict]):
     def run(candidate: Candidate, rows: DataFrame, columns: list[str], target: str) -> Fitted:
         total = rows.agg(F.sum("_weight")).first()[0]
         estimator = _classifier(kind, **params(candidate.params, total))
-        model = Pipeline(stages=[*preparation(columns, scaled), estimator]).fit(rows)
+        model = _converged(Pipeline(stages=[*preparation(columns, scaled), estimator]).fit(rows), candidate.name)
         return Fitted(candidate, columns, {"model": model})
 
     return run
@@ -171,7 +181,7 @@ def _fit_two_stage(candidate: Candidate, rows: DataFrame, columns: list[str], ta
             "logistic", family="binomial", regParam=_penalty(total, c),
             maxIter=candidate.params.get("max_iter", MAX_ITER),
         )
-        parts[name] = Pipeline(stages=[*preparation(columns, True), estimator]).fit(part)
+        parts[name] = _converged(Pipeline(stages=[*preparation(columns, True), estimator]).fit(part), candidate.name)
     return Fitted(candidate, columns, parts, {"scale": candidate.params.get("scale", 1.0)})
 
 

@@ -102,3 +102,22 @@ def test_both_feeds_meet_in_silver(spark, sample, tmp_path):
     out = job.run(spark, sample, api, str(tmp_path / "both"), ["pool_id"], skip=("process", "train")).first()
     keys = sample.select("match_date", "home_team", "away_team", "home_goals", "away_goals").distinct().count()
     assert out["rows"] == keys
+
+
+def test_job_from_the_feeds_files(spark, sample, tmp_path):
+    from formline.plans import job
+
+    text = sample.select(
+        F.col("match_date").cast("string").alias("date"), "home_team", "away_team",
+        F.when(F.col("match_id") % 10 == 0, "NA").otherwise(F.col("home_goals").cast("string")).alias("home_score"),
+        F.col("away_goals").cast("string").alias("away_score"), "tournament", F.lit("T").alias("city"), "country",
+        F.col("neutral").cast("string").alias("neutral"))
+    text.write.option("header", True).csv(str(tmp_path / "csv"))
+    folder = str(tmp_path / "layers")
+    out = job.from_sources(spark, str(tmp_path / "csv"), None, folder, skip=("train",)).collect()
+    scored = sample.filter("match_id % 10 <> 0").select("match_date", "home_team", "away_team", "home_goals", "away_goals").distinct().count()
+    assert [(r["stage"], r["status"], r["rows"]) for r in out] == [
+        ("ingest", "done", scored), ("process", "done", scored), ("train", "skipped", None)]
+    silver = spark.read.parquet(f"{folder}/silver")
+    assert silver.select("match_id").distinct().count() == scored
+    assert spark.read.parquet(f"{folder}/bronze/historical").count() == sample.count()
