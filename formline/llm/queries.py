@@ -72,12 +72,12 @@ def op10_token_counts(spark, sf_dir):
 
 OP6_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, x -> floor(1024 * x::double)::bigint) as v from embeddings
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
   where vec_id is not null and embedding is not null
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 pairs as (
   select q.vec_id as query_id, c.vec_id,
-         list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2]))::bigint as score
+         list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
   from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id)
 select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::integer as rank, vec_id, score
 from pairs qualify row_number() over (partition by query_id order by score desc, vec_id) <= 10
@@ -85,15 +85,15 @@ from pairs qualify row_number() over (partition by query_id order by score desc,
 
 OP9_SQL = r"""
 with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
-p as (select doc_id, words, unnest(range(1, len(words) + 1)) as at from d),
-w as (select doc_id, at, words[at] as word,
-             case when at + 34 <= len(words) then sha256(array_to_string(words[at:at + 34], ' ')) end as win from p),
-c as (select doc_id, at, word, win is not null and count(*) over (partition by win) > 1 as repeated from w),
-k as (select doc_id, at, word,
-             max(repeated::int) over (partition by doc_id order by at rows between 34 preceding and current row) as gone
+p as (select doc_id, words, unnest(range(1, len(words) + 1)) as i from d),
+w as (select doc_id, i, words[i] as word,
+             case when i + 34 <= len(words) then sha256(array_to_string(words[i:i + 34], ' ')) end as win from p),
+c as (select doc_id, i, word, win is not null and count(*) over (partition by win) > 1 as repeated from w),
+k as (select doc_id, i, word,
+             max(repeated::int) over (partition by doc_id order by i rows between 34 preceding and current row) as gone
       from c),
 s as (select doc_id, count(*) as n_words, sum(gone)::bigint as n_removed,
-             sha256(coalesce(string_agg(word, ' ' order by at) filter (gone = 0), '')) as kept_sha256
+             sha256(coalesce(string_agg(word, ' ' order by i) filter (gone = 0), '')) as kept_sha256
       from k group by doc_id)
 select d.doc_id, len(d.words)::bigint as n_words, coalesce(s.n_removed, 0)::bigint as n_removed,
        coalesce(s.kept_sha256, sha256('')) as kept_sha256
