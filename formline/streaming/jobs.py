@@ -41,26 +41,27 @@ def run_ingest(spark: SparkSession, folder: str, output: str, checkpoint: str) -
 
     A micro-batch is first deduplicated with a map-side combined minimum, so a match with
     very many copies does not meet in one state partition; then matches of earlier batches
-    are left out. The output is the state: one folder per batch, overwritten on a repeat,
-    and only the days of the batch are read back.
+    are left out. The output is the state: one folder per batch and day, a batch overwritten on a
+    repeat, and only folders of the batch's days are read back.
     """
     flat = stream_match_documents(spark, folder).drop("event_time")
     key = list(standard.DEDUP_KEY)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         fresh = standard.deduplicate(batch, tuple(key), order=tuple(batch.columns))
-        span = batch.agg(F.min("match_date"), F.max("match_date")).first()
-        if span[0] is None:
+        days = [r[0] for r in batch.select("match_date").distinct().collect()]
+        if not days:
             return
         if batch_id > 0:
             layout = T.StructType([*batch.schema.fields, T.StructField("batch", T.IntegerType())])
+            day = F.col("match_date")
+            asked = day.isin([d for d in days if d is not None])
             known = spark.read.schema(layout).parquet(output).filter(
-                (F.col("batch") < batch_id) & F.col("match_date").between(span[0], span[1])
-            )
+                (F.col("batch") < batch_id) & (asked | day.isNull() if None in days else asked))
             seen = known.select(*[F.col(c).alias(f"_{c}") for c in key])
             same = [fresh[c].eqNullSafe(seen[f"_{c}"]) for c in key]
             fresh = fresh.join(seen, reduce(and_, same), "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+        fresh.write.mode("overwrite").partitionBy("match_date").parquet(f"{output}/batch={batch_id}")
 
     query = (
         flat.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
