@@ -33,7 +33,7 @@ from formline.llm.common import id_and_text, store
 
 SIZE = 2048
 END_ID = 0
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 _memory: dict[str, dict] = {}
 _TAIL = ".,!?%&$*#|;"
 _other = re.compile("[^\x00-\u024f]|\u0130").search

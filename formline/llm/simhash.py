@@ -38,7 +38,7 @@ from formline.llm.components import components
 
 SEED = 42
 LEAF = 256
-CHUNK = 200_000
+CHUNK = 50_000
 # Odd multipliers that derive further 64-bit lanes from a shingle's hash.
 LANES = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -258,7 +258,7 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, lanes: int = 1, budget: in
     keys = tables(distinct.count()) if tables else exact_tables(64 * lanes, budget)
     members = components(store(links(distinct.select("fp"), budget, keys), "links"))
     linked = members.join(distinct, members["node"] == distinct["fp"]).select("node", "root", "first")
-    least = linked.groupBy("root").agg(F.min("first").alias("least"))
+    least = store(linked.groupBy("root").agg(F.min("first").alias("least")), "least")
     named = linked.join(least, "root").select(F.col("node").alias("fp"), "least")
     # Written, so that the last join reads both sides through exchanges of its own and a frequent one can be split.
     ids = store(distinct.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("least")), "ids")
