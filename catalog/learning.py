@@ -163,7 +163,7 @@ def m13(spark, sf_dir):
 )
 def m16(spark, sf_dir):
     rows = feature_rows(spark, sf_dir)
-    out = training.train_and_select(rows, [Candidate("prior", "dummy"), LOGISTIC], splits=3)
+    out = training.train_and_select(rows, [Candidate("prior", "dummy"), LOGISTIC], splits=3, calibration_size=0.25)
     return out["test_metrics"].select("n", (F.col("accuracy").between(0, 1) & (F.col("log_loss") > 0)).alias("in_range"))
 
 
@@ -171,7 +171,7 @@ def m16(spark, sf_dir):
 def m17(spark, sf_dir):
     rows = feature_rows(spark, sf_dir)
     folder = shared_folder(spark)
-    training.train_and_select(learned_from(rows), [Candidate("prior", "dummy"), SEGMENTED], splits=3, model_folder=folder, tag="v1")
+    training.train_and_select(learned_from(rows), [Candidate("prior", "dummy"), SEGMENTED], splits=3, calibration_size=0.25, model_folder=folder, tag="v1")
     shadow, _, about = models.load(f"{folder}/shadow", spark)
     return _row_sums(shadow.score(rows)).select("match_id", "probability_sum", F.lit(about["model"]["name"]).alias("model_name"))
 
@@ -251,5 +251,5 @@ def m25(spark, sf_dir):
     documents.select(F.array(F.struct(*documents.columns)).alias("matches")).write.json(f"{folder}/json")
     stages = job.from_sources(
         spark, f"{folder}/csv", f"{folder}/json", f"{folder}/layers", multi_line=False,
-        candidates=[Candidate("prior", "dummy"), TWO_STAGE], splits=3, run_id="run-25")
+        candidates=[Candidate("prior", "dummy"), TWO_STAGE], splits=3, calibration_size=0.25, run_id="run-25")
     return stages.select("stage", "status", "rows")
