@@ -12,8 +12,10 @@ With pigeonhole tables (`exact_tables`) the join is exact: `budget` differing bi
 `sampled_tables` serve wide fingerprints with a large budget; there a link is found with the stated
 probability.
 
-Only components are wanted, so pairs of nodes whose fingerprints are connected already are skipped and
-each task returns a star per component: never more rows than it has read.
+`simhash_groups` only wants components, so pairs of nodes whose fingerprints are connected already are skipped
+and each task returns a star per component: never more rows than it has read.
+
+No task holds a key of more than CHUNK rows: it is cut into sub-nodes, and pairs of these are searched as groups of their own.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; texts with fewer
 words than a shingle count as one shingle; null ids keep their row and never become a component's id
@@ -107,17 +109,25 @@ def _keys(bits: np.ndarray, key: list[int]) -> np.ndarray:
     return np.packbits(padded, axis=1).view(">u8").ravel().astype(np.int64)
 
 
-def _dealt(distinct: DataFrame, tables: list[list[int]]) -> DataFrame:
+def _dealt(rows: DataFrame, tables: list[list[int]]) -> DataFrame:
+    """table_no, key and the columns of `rows` for every table; keys come from the first bits of fp."""
+    width = -(-(max(map(max, tables)) + 1) // 8)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
-            raw = np.frombuffer(b"".join(batch["fp"]), np.uint8).reshape(len(batch), -1)
-            bits = np.unpackbits(raw, axis=1)
+            bits = np.unpackbits(_raw(batch["fp"], width), axis=1)
             for number, key in enumerate(tables):
-                yield pd.DataFrame({"table_no": np.int32(number), "key": _keys(bits, key), "fp": batch["fp"]})
+                yield batch.assign(table_no=np.int32(number), key=_keys(bits, key))[["table_no", "key", *batch.columns]]
+
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInPandas(run, f"table_no int, key long, {columns}")
 
-    return distinct.mapInPandas(run, "table_no int, key long, fp binary")
+
+def _raw(fps: pd.Series, width: int) -> np.ndarray:
+    """The first `width` bytes of each."""
+    return np.ascontiguousarray(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1)[:, :width])
 
 
 def _find(parent: dict, x):
@@ -126,25 +136,13 @@ def _find(parent: dict, x):
     return x
 
 
-def trie_components(raw: np.ndarray, group: np.ndarray, budget: int) -> np.ndarray:
-    """For fingerprints (rows of bytes, distinct within a group; groups adjacent): for each row the
-    index of the first row of its component among the rows of its group."""
+def _near(raw: np.ndarray, first: np.ndarray, budget: int, label: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """i, j, distance of all rows of different labels within the budget below pairs of sorted ranges (columns of `first`:
+    two starts and ends, and the differences so far). Node pairs of one label are skipped."""
     bits = np.unpackbits(raw, axis=1)
-    order = np.lexsort((*raw.T[::-1], group))
-    raw, bits, group = raw[order], bits[order], group[order]
-    n, depth_end = bits.shape
     words = raw.view(">u8").astype(np.uint64)
-    distance = lambda i, j: np.bitwise_count(words[i] ^ words[j]).sum(axis=1)
-    # Neighbours in trie order first: runs of links. A pair inside one run needs no visit.
-    breaks = np.ones(n, bool)
-    step = np.arange(n - 1)
-    breaks[1:] = (group[1:] != group[:-1]) | (distance(step, step + 1) > budget)
-    runs = np.cumsum(breaks) - 1
-    edges: set[tuple[int, int]] = set()
-    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    stops = np.r_[starts[1:], n]
-    wide = runs[starts] != runs[stops - 1]
-    first = np.stack([starts[wide], stops[wide], starts[wide], stops[wide], np.zeros(wide.sum(), int)])
+    depth_end = bits.shape[1]
+    same_label = np.cumsum(np.r_[False, label[1:] != label[:-1]])
     ones: dict[int, np.ndarray] = {}
 
     def split(depth, lo, hi):
@@ -159,10 +157,11 @@ def trie_components(raw: np.ndarray, group: np.ndarray, budget: int) -> np.ndarr
         small = ((a1 - a0) * (b1 - b0) <= LEAF) | (depth == depth_end)
         for chunk in _slices(pairs[:, small]):
             i, j = _leaf_pairs(chunk)
-            different = runs[i] != runs[j]
+            different = label[i] != label[j]
             i, j = i[different], j[different]
-            near = distance(i, j) <= budget
-            edges.update(zip(runs[i[near]].tolist(), runs[j[near]].tolist()))
+            distance = _distance(words, i, j)
+            near = distance <= budget
+            yield i[near], j[near], distance[near]
         if small.all():
             continue
         a0, a1, b0, b1, diff = pairs[:, ~small]
@@ -173,22 +172,62 @@ def trie_components(raw: np.ndarray, group: np.ndarray, budget: int) -> np.ndarr
             np.stack([a0, am, b0, bm, diff]), np.stack([am, a1, bm, b1, diff]),
             np.stack([a0, am, bm, b1, diff + 1]), cross], axis=1)
         a0, a1, b0, b1, diff = made
-        keep = (a0 < a1) & (b0 < b1) & (diff <= budget)
-        made = made[:, keep]
+        made = made[:, (a0 < a1) & (b0 < b1) & (diff <= budget)]
         a0, a1, b0, b1, diff = made
-        joined = (runs[a0] == runs[b1 - 1]) & (runs[a1 - 1] == runs[b0]) & (runs[a0] == runs[a1 - 1])
+        joined = (same_label[a0] == same_label[a1 - 1]) & (same_label[b0] == same_label[b1 - 1]) & (label[a0] == label[b0])
         made = made[:, ~joined]
         stack += [(depth + 1, part) for part in _slices(made, 500_000)]
+
+
+def _distance(words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64)
+
+
+def trie_forest(raw: np.ndarray, group: np.ndarray, budget: int,
+                side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For fingerprints (rows of bytes; groups adjacent): indices of pairs within the budget, each a real link,
+    that connect what the group's links connect. A group with both sides 0 and 1 only has to connect across."""
+    side = np.zeros(len(raw), np.int64) if side is None else side.astype(np.int64)
+    order = np.lexsort((*raw.T[::-1], side, group))
+    raw, group, side = raw[order], group[order], side[order]
+    n = len(raw)
+    if not n:
+        return order, order
+    # Neighbours in trie order first: runs of links. A pair inside one run needs no visit.
+    breaks = np.ones(n, bool)
+    step = np.arange(n - 1)
+    breaks[1:] = (group[1:] != group[:-1]) | (_distance(raw.view(">u8").astype(np.uint64), step, step + 1) > budget)
+    runs = np.cumsum(breaks) - 1
+    left = [step[~breaks[1:]]]
+    right = [left[0] + 1]
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    stops = np.r_[starts[1:], n]
+    second = np.add.reduceat(side, starts)
+    both = (second > 0) & (second < stops - starts)
+    first = np.stack([starts, np.where(both, stops - second, stops), np.where(both, stops - second, starts), stops,
+                      np.zeros(len(starts), int)])[:, runs[starts] != runs[stops - 1]]
+    parent: dict[int, int] = {}
+    for i, j, _ in _near(raw, first, budget, runs):
+        _, once = np.unique(runs[i] * n + runs[j], return_index=True)
+        for x, y in zip(i[once].tolist(), j[once].tolist()):
+            a, b = _find(parent, int(runs[x])), _find(parent, int(runs[y]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                left.append(np.array([x]))
+                right.append(np.array([y]))
+    return order[np.concatenate(left)], order[np.concatenate(right)]
+
+
+def trie_components(raw: np.ndarray, group: np.ndarray, budget: int, side: np.ndarray | None = None) -> np.ndarray:
+    """For each row the index of the first row of its component among the rows of its group."""
     parent: dict[int, int] = {}
-    for a, b in edges:
+    for a, b in zip(*(x.tolist() for x in trie_forest(raw, group, budget, side))):
         a, b = _find(parent, a), _find(parent, b)
-        parent[max(a, b)] = min(a, b)
-    run_root = np.arange(runs[-1] + 1 if n else 0)
-    for run in list(parent):
-        run_root[run] = _find(parent, run)
-    first_of_run = np.flatnonzero(breaks)
-    root = np.empty(n, np.int64)
-    root[order] = order[first_of_run[run_root[runs]]]
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    root = np.arange(len(raw))
+    for x in list(parent):
+        root[x] = _find(parent, x)
     return root
 
 
@@ -208,38 +247,112 @@ def _leaf_pairs(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i[upper], j[upper]
 
 
-def _star_rows(rows: pd.DataFrame, budget: int) -> pd.DataFrame:
-    group = rows.groupby(["table_no", "key"], sort=False).ngroup().to_numpy()
-    raw = np.frombuffer(b"".join(rows["fp"]), np.uint8).reshape(len(rows), -1)
-    root = trie_components(raw, group, budget)
+def _stars(rows: pd.DataFrame, group: np.ndarray, side: np.ndarray, width: int, budget: int) -> pd.DataFrame:
+    root = trie_components(_raw(rows["fp"], width), group, budget, side)
     far = root != np.arange(len(rows))
     fps = rows["fp"].to_numpy()
     return pd.DataFrame({"a": fps[root[far]], "b": fps[far]})
 
 
-def links(distinct: DataFrame, budget: int, tables: list[list[int]]) -> DataFrame:
-    """Edges (a, b) that connect exactly the fingerprints that the tables' links connect."""
-    dealt = _dealt(distinct, tables).repartition(partitions(distinct.sparkSession), "table_no", "key")
-
+def _looked(rows: DataFrame, by: list[str], look: Callable, schema: str) -> DataFrame:
+    """`look` (rows, group numbers, sides) on whole groups of `rows`, about CHUNK rows at a time."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Rows come sorted by (table, key): whole keys are handled in pieces of about CHUNK rows.
+        def found(held: pd.DataFrame) -> pd.DataFrame:
+            group = held.groupby(by, sort=False).ngroup().to_numpy()
+            return look(held, group, held["side"].to_numpy() if "side" in held else np.zeros(len(held), np.int64))
+
         held, size = [], 0
         for batch in batches:
             if not len(batch):
                 continue
             held.append(batch)
             size += len(batch)
-            last = batch[["table_no", "key"]].iloc[-1]
             if size >= CHUNK:
                 rows = pd.concat(held, ignore_index=True)
-                open_key = ((rows["table_no"] == last["table_no"]) & (rows["key"] == last["key"])).to_numpy()
-                if not open_key.all():
-                    yield _star_rows(rows[~open_key].reset_index(drop=True), budget)
-                held, size = [rows[open_key]], int(open_key.sum())
+                open_group = (rows[by] == rows[by].iloc[-1]).all(axis=1).to_numpy()
+                if not open_group.all():
+                    yield found(rows[~open_group].reset_index(drop=True))
+                held, size = [rows[open_group]], int(open_group.sum())
         if held:
-            yield _star_rows(pd.concat(held, ignore_index=True), budget)
+            yield found(pd.concat(held, ignore_index=True))
+
+    dealt = rows.repartition(partitions(rows.sparkSession), *by)
+    return dealt.sortWithinPartitions(*by).mapInPandas(run, schema)
+
+
+def _apart(width: int, budget: int):
+    """Whether the trie nodes of two ranges (first and last fingerprint each) differ in more than `budget` bits."""
+    def one(*ends: bytes) -> bool:
+        a, b, c, d = (int.from_bytes(x[:width], "big") for x in ends)
+        below = max((a ^ b).bit_length(), (c ^ d).bit_length())
+        return ((a >> below) ^ (c >> below)).bit_count() > budget
+
+    @F.pandas_udf("boolean")
+    def far(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series([one(*ends) for ends in zip(a, b, c, d)], dtype=bool)
+
+    return far
 
-    return dealt.sortWithinPartitions("table_no", "key").mapInPandas(run, "a binary, b binary").distinct()
+
+def _sub_nodes(dealt: DataFrame, rows: int) -> DataFrame:
+    """`dealt` with `sub`, a number for each stretch of at most `rows` rows of a key in trie order."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+        base, sub, size, last = TaskContext.get().partitionId() << 32, 0, 0, None
+        for batch in batches:
+            subs = np.empty(len(batch), np.int64)
+            for at, key in enumerate(zip(batch["table_no"], batch["key"])):
+                if key != last or size == rows:
+                    sub, size, last = sub + 1, 0, key
+                size += 1
+                subs[at] = base + sub
+            yield batch.assign(sub=subs)
+
+    order = ["table_no", "key", "fp"]
+    spread = dealt.repartitionByRange(partitions(dealt.sparkSession), *order).sortWithinPartitions(*order)
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema)
+    return spread.mapInPandas(run, f"{columns}, sub long")
+
+
+def _searched(rows: DataFrame, width: int, budget: int, tables: list[list[int]], look: Callable, schema: str,
+              bound: int) -> DataFrame:
+    """What `look` finds in all tables. `rows` has fp (its first `width` bytes are the bits) and maybe label.
+
+    A key with more than `bound` rows is cut into sub-nodes of at most half of that. Each is searched with itself and with
+    every other within the budget, as a Spark group of its own. Two sub-nodes whose rows all have one label, or
+    without labels are all connected by then, are not searched."""
+    dealt, by = _dealt(rows, tables), ["table_no", "key"]
+    heavy = store(dealt.groupBy(*by).count().filter(F.col("count") > bound).select(*by), "heavy")
+    if not heavy.take(1):
+        return _looked(dealt, by, look, schema)
+    # At most one heavy key for each `bound` dealt rows.
+    light = dealt.join(F.broadcast(heavy), by, "left_anti")
+    subs = store(_sub_nodes(dealt.join(F.broadcast(heavy), by, "left_semi"), max(1, bound // 2)), "subs")
+    inside = store(_looked(light, by, look, schema).union(_looked(subs, ["sub"], look, schema)), "inside")
+    if "label" in rows.columns:
+        labelled = subs
+    else:
+        roots = components(inside.select("a", "b")).withColumnsRenamed({"node": "fp", "root": "label"})
+        labelled = subs.join(roots, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    ends = store(labelled.groupBy(*by, "sub").agg(
+        F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.min("label").alias("one"), F.max("label").alias("two")), "ends")
+    left, right = (ends.select(*by, *(F.col(c).alias(f"{c}_{n}") for c in ("sub", "lo", "hi", "one", "two"))) for n in "ab")
+    joined = (F.col("one_a") == F.col("two_a")) & (F.col("one_a") == F.col("one_b")) & (F.col("one_a") == F.col("two_b"))
+    pairs = store(
+        left.join(right, by).filter((F.col("sub_a") < F.col("sub_b")) & ~joined)
+        .filter(~_apart(width, budget)("lo_a", "hi_a", "lo_b", "hi_b")).select("sub_a", "sub_b"), "pairs")
+    sides = [subs.drop(*by).withColumnRenamed("sub", name).join(pairs, name).withColumn("side", F.lit(number))
+             for number, name in enumerate(("sub_a", "sub_b"))]
+    across = _looked(sides[0].unionByName(sides[1]), ["sub_a", "sub_b"], look, schema)
+    return inside.union(across)
+
+
+def links(distinct: DataFrame, budget: int, tables: list[list[int]], width: int = 8, bound: int = CHUNK) -> DataFrame:
+    """Edges (a, b) that connect exactly the fingerprints (`width` bytes) that the tables' links connect."""
+    def look(rows, group, side):
+        return _stars(rows, group, side, width, budget)
+
+    return _searched(distinct, width, budget, tables, look, "a binary, b binary", bound).distinct()
 
 
 def text_hash(column) -> Column:
@@ -253,10 +366,17 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, lanes: int = 1, budget: in
     doc_id, text_hash, fp (binary), component_id (smallest doc_id of the component), first_hash (the text hash
     of the component's first row by id, nulls last, and hash) for every row of `docs`."""
     fps = store(fingerprints(docs, shingle, lanes), "fingerprints")
-    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    distinct = store(fps.groupBy("fp").agg(F.min(row).alias("first")), "distinct")
+    distinct = _distinct(fps)
     keys = tables(distinct.count()) if tables else exact_tables(64 * lanes, budget)
-    members = components(store(links(distinct.select("fp"), budget, keys), "links"))
+    return _groups(fps, distinct, components(store(links(distinct.select("fp"), budget, keys, 8 * lanes), "links")))
+
+
+def _distinct(fps: DataFrame) -> DataFrame:
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    return store(fps.groupBy("fp").agg(F.min(row).alias("first")), "distinct")
+
+
+def _groups(fps: DataFrame, distinct: DataFrame, members: DataFrame) -> DataFrame:
     linked = members.join(distinct, members["node"] == distinct["fp"]).select("node", "root", "first")
     least = store(linked.groupBy("root").agg(F.min("first").alias("least")), "least")
     named = linked.join(least, "root").select(F.col("node").alias("fp"), "least")

@@ -162,6 +162,29 @@ def test_exact_tables_miss_no_link():
         assert any(not flipped & set(key) for key in tables)
 
 
+def test_no_group_exceeds_the_row_bound(spark, monkeypatch):
+    """One key holds a third of the rows as near copies; it is cut into sub-nodes and no link is lost."""
+    rnd = random.Random(8)
+    center, apart = rnd.getrandbits(64), rnd.getrandbits(64)
+    values = {center ^ sum(1 << b for b in rnd.sample(range(48), rnd.randint(0, 3))) for _ in range(150)}
+    values |= {apart ^ sum(1 << b for b in rnd.sample(range(48), 6)) for _ in range(150)}
+    values = sorted(values | {rnd.getrandbits(64) for _ in range(100)})
+    frame = spark.createDataFrame([(bytearray(v.to_bytes(8, "big")),) for v in values], "fp binary")
+    tables = simhash.exact_tables(64, 4)
+    bound, whole = 40, simhash._stars
+
+    def bounded(rows, group, side, width, budget):
+        assert np.bincount(group).max() <= bound
+        return whole(rows, group, side, width, budget)
+
+    monkeypatch.setattr(simhash, "_stars", bounded)
+    members = {int.from_bytes(r["node"], "big"): int.from_bytes(r["root"], "big")
+               for r in components.components(simhash.links(frame, 4, tables, bound=bound)).collect()}
+    want = plain_components(values, 4)
+    got = [members.get(v, v) for v in values]
+    assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
+
+
 def test_keep_first_leaves_one_of_each_group(spark, corpus):
     docs = make(spark, corpus)
     groups = simhash.simhash_groups(docs)
