@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from formline.llm import decontamination, packing, secrets, simhash, toxicity
 from formline.llm.common import shared_folder, table
 
-# Near-copies: 256 fingerprint bits of five-word shingles. At a similarity of 0.8 about 39 bits differ, at 0.5
-# about 68, and unrelated texts differ in 128 or so. A pair at the whole budget is missed with probability MISSED.
+# Near-copies: a five-word similarity of LEAST (a fraction) or more. Candidates by 256 fingerprint bits: at 0.8 about
+# 39 bits differ, at 0.5 about 68, and unrelated texts differ in 128 or so. A pair at the whole budget is missed with
+# probability MISSED.
 SHINGLE, LANES, BUDGET, MISSED = 5, 4, 52, 0.02
+LEAST = 4, 5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies stays, that with the smallest id."""
-    groups = simhash.simhash_groups(
-        docs, SHINGLE, LANES, BUDGET, lambda rows: simhash.sampled_tables(64 * LANES, BUDGET, MISSED, rows))
+    groups = simhash.near_copy_groups(
+        docs, SHINGLE, LANES, BUDGET, lambda rows: simhash.sampled_tables(64 * LANES, BUDGET, MISSED, rows), LEAST)
     return simhash.keep_first(docs, groups)
 
 

@@ -13,7 +13,8 @@ With pigeonhole tables (`exact_tables`) the join is exact: `budget` differing bi
 probability.
 
 `simhash_groups` only wants components, so pairs of nodes whose fingerprints are connected already are skipped
-and each task returns a star per component: never more rows than it has read.
+and each task returns a star per component: never more rows than it has read. `near_copy_groups` takes
+links for candidates only, and confirms them by the shingles themselves.
 
 No task holds a key of more than CHUNK rows: it is cut into sub-nodes, and pairs of these are searched as groups of their own.
 
@@ -231,6 +232,61 @@ def trie_components(raw: np.ndarray, group: np.ndarray, budget: int, side: np.nd
     return root
 
 
+def nearest_others(raw: np.ndarray, group: np.ndarray, label: np.ndarray, budget: int, most: int,
+                   side: np.ndarray | None = None, allowed: Callable | None = None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Indices of pairs of different labels within the budget: those among the `most` nearest of one of their rows,
+    and whether pairs were left out. `allowed` (i, j) is a further condition on pairs."""
+    side = np.zeros(len(raw), np.int64) if side is None else side.astype(np.int64)
+    # The group's most frequent label apart: its rows need not be compared with each other.
+    counts = pd.DataFrame({"group": group, "label": label}).value_counts(sort=False).rename("n").reset_index()
+    top = counts.sort_values("n").drop_duplicates("group", keep="last").set_index("group")["label"]
+    usual = (pd.Series(group).map(top).to_numpy() == label).astype(np.int64)
+    several = pd.Series(group).map(counts["group"].value_counts()).to_numpy() > 1
+    order = np.lexsort((*raw.T[::-1], usual, side, group))
+    order = order[several[order]]
+    none = np.empty(0, np.int64)
+    if not len(order):
+        return none, none, False
+    part = np.stack([group, side, usual])[:, order]
+    starts = np.flatnonzero(np.r_[True, (part[:, 1:] != part[:, :-1]).any(axis=0)])
+    stops = np.r_[starts[1:], len(order)]
+    ranges: dict[int, list] = {}
+    for lo, hi in zip(starts.tolist(), stops.tolist()):
+        ranges.setdefault(int(part[0, lo]), []).append((lo, hi, int(part[1, lo]), int(part[2, lo])))
+    first = []
+    for some in ranges.values():
+        across = len({s for _, _, s, _ in some}) > 1
+        for one, two in itertools.combinations_with_replacement(some, 2):
+            if not (one[3] and two[3]) and not (across and one[2] == two[2]):
+                first.append((*one[:2], *two[:2], 0))
+    held, size, cut = [np.empty((3, 0), np.int64)], 0, False
+    first = np.array(first, np.int64).reshape(-1, 5).T
+    for i, j, distance in _near(raw[order], first, budget, label[order]):
+        i, j = order[i], order[j]
+        good = allowed(i, j) if allowed else np.ones(len(i), bool)
+        held.append(np.stack([i, j, distance])[:, good])
+        size += int(good.sum())
+        if size >= 1_000_000:
+            every = np.concatenate(held, axis=1)
+            held, size = [_most(every, most)], 0
+            cut |= held[0].shape[1] < every.shape[1]
+    every = np.concatenate(held, axis=1)
+    kept = _most(every, most)
+    return kept[0], kept[1], bool(cut or kept.shape[1] < every.shape[1])
+
+
+def _most(pairs: np.ndarray, most: int) -> np.ndarray:
+    """Pairs (i, j, distance) that are among the `most` nearest of i or of j."""
+    n = pairs.shape[1]
+    row, at = np.r_[pairs[0], pairs[1]], np.tile(np.arange(n), 2)
+    other = np.r_[pairs[1], pairs[0]]
+    order = np.lexsort((other, np.tile(pairs[2], 2), row))
+    row, at = row[order], at[order]
+    starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if n else np.empty(0, np.int64)
+    place = np.arange(2 * n) - np.repeat(starts, np.diff(np.r_[starts, 2 * n]))
+    return pairs[:, np.unique(at[place < most])]
+
+
 def _slices(pairs: np.ndarray, width: int = 4096) -> list[np.ndarray]:
     return [pairs[:, at:at + width] for at in range(0, pairs.shape[1], width)]
 
@@ -371,6 +427,110 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, lanes: int = 1, budget: in
     return _groups(fps, distinct, components(store(links(distinct.select("fp"), budget, keys, 8 * lanes), "links")))
 
 
+def set_nodes(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
+    """doc_id, text_hash, fp for every row, where fp names the set of shingles: the fingerprint of the distinct
+    shingles, their number (4 bytes) and a digest of them (8 bytes)."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            fps = [_node(np.unique(shingle_hashes(text, shingle)), lanes) for text in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "fp": fps})
+
+    rows = id_and_text(docs).select("doc_id", text_hash("text").alias("text_hash"), "text")
+    return rows.mapInPandas(run, "doc_id long, text_hash long, fp binary")
+
+
+def _node(hashes: np.ndarray, lanes: int) -> bytes:
+    return fingerprint(hashes, lanes) + len(hashes).to_bytes(4, "big") + xxhash.xxh64_digest(hashes.tobytes(), SEED)
+
+
+def _shingle_sets(docs: DataFrame, nodes: DataFrame, fps: DataFrame, shingle: int) -> DataFrame:
+    """node, hashes (its distinct shingles) for `nodes`, from one document each."""
+    one = fps.join(nodes, fps["fp"] == nodes["node"]).groupBy("node").agg(F.min("text_hash").alias("text_hash"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 200):
+                part = batch.iloc[at:at + 200]
+                hashes = [np.unique(shingle_hashes(text, shingle)).view(np.int64) for text in part["text"]]
+                yield pd.DataFrame({"node": part["node"], "hashes": hashes})
+
+    texts = id_and_text(docs).select(text_hash("text").alias("text_hash"), "text").dropDuplicates(["text_hash"])
+    return texts.join(one, "text_hash").select("node", "text").mapInPandas(run, "node binary, hashes array<long>")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) whose sets have a Jaccard similarity of at least least[0] / least[1]."""
+    above, below = least
+    first, second = (sets.select(F.col("node").alias(n), F.col("hashes").alias(f"hashes_{n}")) for n in "ab")
+    both = pairs.select("a", "b").join(first, "a").join(second, "b")
+    shared = F.size(F.array_intersect("hashes_a", "hashes_b")).cast("long")
+    either = F.size("hashes_a") + F.size("hashes_b") - shared
+    return both.filter(shared * below >= either * above).select("a", "b")
+
+
+def near_copy_groups(docs: DataFrame, shingle: int, lanes: int, budget: int,
+                     tables: Callable[[int], list[list[int]]], least: tuple[int, int] = (4, 5),
+                     most: int = 4, bound: int = CHUNK) -> DataFrame:
+    """Columns as `simhash_groups`; components of the pairs that the trie self-join finds (`budget` bits of the
+    distinct shingles' fingerprints) and whose sets of shingles have a Jaccard similarity of least[0] / least[1] or more.
+
+    A group of n near copies has n * n candidates, so they are confirmed in rounds. First come a spanning forest's links, for
+    each row the nearest one. In later rounds only pairs of rows that are not connected by confirmed pairs
+    are candidates, for each row the `most` nearest of a task, four times as many each round. Rounds end when no
+    task has left out a candidate, so each found pair is either confirmed, refused or within a component."""
+    above, below = least
+    width = 8 * lanes
+    fps = store(set_nodes(docs, shingle, lanes), "fingerprints")
+    distinct = _distinct(fps)
+    keys = tables(distinct.count())
+
+    def forest(rows, group, side):
+        raw = _raw(rows["fp"], width)
+        i, j = trie_forest(raw, group, budget, side)
+        distance = np.bitwise_count(raw[i] ^ raw[j]).sum(axis=1, dtype=np.int32)
+        return _pairs(rows, i, j).assign(distance=distance)
+
+    found = store(_searched(distinct.select("fp"), width, budget, keys, forest, "a binary, b binary, distance int", bound), "forest")
+    ends = found.select(F.col("a").alias("node"), F.col("b").alias("other"), "distance").union(
+        found.select(F.col("b").alias("node"), F.col("a").alias("other"), "distance"))
+    nearest = store(ends.groupBy("node").agg(F.min(F.struct("distance", "other")).alias("to")), "nearest")
+    nodes = nearest.select("node")
+    sets = store(_shingle_sets(docs, nodes, fps, shingle), "sets")
+    to = F.col("to.other")
+    pairs = nearest.select(F.least("node", to).alias("a"), F.greatest("node", to).alias("b")).distinct()
+    confirmed = store(_confirmed(pairs, sets, least), "confirmed")
+    more = True
+    while more:
+        members = components(confirmed)
+        labelled = store(nodes.join(members, "node", "left").select(
+            F.col("node").alias("fp"), F.coalesce("root", "node").alias("label")), "labelled")
+
+        def others(rows, group, side, most=most):
+            raw, label = rows["fp"], pd.factorize(rows["label"])[0]
+            sizes = np.ascontiguousarray(_raw(raw, width + 4)[:, width:]).view(">u4").ravel().astype(np.int64)
+            i, j, cut = nearest_others(
+                _raw(raw, width), group, label, budget, most, side,
+                lambda i, j: np.minimum(sizes[i], sizes[j]) * below >= np.maximum(sizes[i], sizes[j]) * above)
+            return _pairs(rows, i, j).assign(cut=cut)
+
+        found = store(_searched(labelled, width, budget, keys, others, "a binary, b binary, cut boolean", bound), "others")
+        more = bool(found.filter("cut").take(1))
+        new = store(_confirmed(found.select("a", "b").distinct(), sets, least), "confirmed")
+        if not more and not new.take(1):
+            break
+        confirmed = confirmed.union(new)
+        most *= 4
+    else:
+        members = components(confirmed)
+    return _groups(fps, distinct, members)
+
+
+def _pairs(rows: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+    """Names of the pairs, the smaller first."""
+    fps = rows["fp"].to_numpy()
+    return pd.DataFrame({"a": np.minimum(fps[i], fps[j]), "b": np.maximum(fps[i], fps[j])})
+
+
 def _distinct(fps: DataFrame) -> DataFrame:
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     return store(fps.groupBy("fp").agg(F.min(row).alias("first")), "distinct")

@@ -185,6 +185,58 @@ def test_no_group_exceeds_the_row_bound(spark, monkeypatch):
     assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
 
 
+def plain_sets(texts, size=5):
+    words = [(t or "").lower().split() for t in texts]
+    return [{tuple(w[i:i + size]) for i in range(max(1, len(w) - size + 1))} if w else set() for w in words]
+
+
+def test_near_copies_have_the_required_similarity(spark):
+    """Pairs just below and above 0.8, pairs that share a frequent line, and a group of copies at all distances."""
+    rnd = random.Random(11)
+    def changed(text, count):
+        words = text.split()
+        for at in range(count):
+            words[7 + 10 * at] = f"new{rnd.randrange(10**6)}"
+        return " ".join(words)
+    # 296 shingles, each change makes 5 new ones: 6 leave 266 / 326 = 0.816, 7 leave 261 / 331 = 0.789.
+    base = [sentence(rnd, 300, 5000) for _ in range(6)]
+    texts = [*base, *(changed(t, 6) for t in base[:3]), *(changed(t, 7) for t in base[3:])]
+    line = "this line stands in very many documents of all kinds "
+    texts += [line * 40 + sentence(rnd, 20, 5000) for _ in range(4)]
+    start = sentence(rnd, 300, 5000)
+    texts += [changed(start, rnd.randrange(0, 12)) for _ in range(30)]
+    texts += [None, "", "a b", "A  b"]
+    sets = plain_sets(texts)
+    parent = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            old, new = max(parent[i], parent[j]), min(parent[i], parent[j])
+            parent = [new if p == old else p for p in parent]
+    # A budget and keys that miss none of these pairs: what is left out is left out by the similarity.
+    groups = simhash.near_copy_groups(make(spark, list(enumerate(texts))), 5, 4, 80, lambda rows: [[0], [1], *([k] for k in range(2, 40))],
+                                      most=1, bound=20)
+    assert {r["doc_id"]: r["component_id"] for r in groups.collect()} == dict(enumerate(parent))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_nearest_others_are_all_pairs_of_different_labels(seed):
+    rnd = random.Random(seed)
+    values = [rnd.getrandbits(64)]
+    values += [values[0] ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(1, 6))) for _ in range(99)]
+    group = np.repeat([0, 1], 50)
+    side = np.tile([0, 1], 50) * group
+    label = np.array([0 if rnd.random() < 0.6 else rnd.randrange(9) for _ in values])
+    raw = np.frombuffer(b"".join(v.to_bytes(8, "big") for v in values), np.uint8).reshape(-1, 8)
+    want = {(i, j) for i, j in itertools.combinations(range(100), 2)
+            if (values[i] ^ values[j]).bit_count() <= 5 and label[i] != label[j] and group[i] == group[j]
+            and (not group[i] or side[i] != side[j])}
+    i, j, cut = simhash.nearest_others(raw, group, label, 5, 100, side)
+    assert {(min(p), max(p)) for p in zip(i.tolist(), j.tolist())} == want and not cut
+    i, j, cut = simhash.nearest_others(raw, group, label, 5, 1, side)
+    some = {(min(p), max(p)) for p in zip(i.tolist(), j.tolist())}
+    assert some < want and cut and {x for p in some for x in p} == {x for p in want for x in p}
+
+
 def test_keep_first_leaves_one_of_each_group(spark, corpus):
     docs = make(spark, corpus)
     groups = simhash.simhash_groups(docs)
