@@ -21,9 +21,11 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see; a session that names none (tests) gets one of its own."""
+    """The folder all executors see. Only a local session that names none (tests) gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="formline-llm-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from formline.llm import (
     decontamination,
+    embedding_copies,
+    hard_negatives,
     languages,
     packing,
     search,
@@ -15,6 +17,7 @@ from formline.llm import (
     substrings,
     token_counts,
     toxicity,
+    whitening,
 )
 from formline.llm.common import table
 
@@ -70,6 +73,21 @@ def op10_token_counts(spark, sf_dir):
         table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_embedding_copies(spark, sf_dir):
+    return embedding_copies.near_copies(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.withColumn("label", changed)
+    return hard_negatives.hard_negatives(rows, rows.filter(F.col("vec_id") % 100 == 0))
+
+
 OP6_SQL = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
@@ -100,6 +118,43 @@ select d.doc_id, len(d.words)::bigint as n_words, coalesce(s.n_removed, 0)::bigi
 from d left join s on d.doc_id = s.doc_id
 """
 
+OP12_SQL = """
+with recursive v as (
+  select vec_id, embedding::double[] as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from v a join v b
+  on a.vec_id <> b.vec_id and list_cosine_similarity(a.v, b.v) >= 0.9),
+reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+n as (select a, count(*) as n_links from links group by a),
+c as (select a, min(b) as least from reach group by a)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, coalesce(least, vec_id) as component_id,
+       coalesce(least, vec_id) = vec_id as kept
+from embeddings left join n on vec_id = n.a left join c on vec_id = c.a
+"""
+
+OP13_SQL = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same,
+         list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::bigint as score
+  from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id,
+       (row_number() over (partition by anchor_id, positive_id order by score desc, vec_id))::integer as rank,
+       vec_id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id)
+where not same and 80 * positive_score <= 100 * score and score <= positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) <= 5
+"""
+
 QUERIES = {
     "op1_toxicity": (op1_toxicity, None),
     "op2_packing": (op2_packing, None),
@@ -111,4 +166,7 @@ QUERIES = {
     "op8_simhash": (op8_simhash, None),
     "op9_substrings": (op9_substrings, OP9_SQL),
     "op10_token_counts": (op10_token_counts, None),
+    "op11_whitening": (op11_whitening, None),
+    "op12_embedding_copies": (op12_embedding_copies, OP12_SQL),
+    "op13_hard_negatives": (op13_hard_negatives, OP13_SQL),
 }
