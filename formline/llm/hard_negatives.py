@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from formline.llm.common import partitions, store
 from formline.llm.vectors import id_and_vector, is_finite, longest, matrix, scaled_integers
+from formline.operators.ordered import with_row_index
 
 BLOCK_ROWS, GROUP_BLOCKS, SLICE_ROWS, ZONE_ROWS = 1024, 8, 2048, 1024
 BITS = 2
@@ -310,9 +311,9 @@ def hard_negatives(vectors: DataFrame, anchors: DataFrame, positives: int = 5, n
     # Anchors that lie together on the curve need the same blocks.
     place = blocks.select(F.col("vec_id").alias("anchor_id"), "curve").join(one.select("anchor_id"), "anchor_id", "left_semi")
     place = place.groupBy("anchor_id").agg(F.min("curve").alias("curve"))
-    one = store(one.join(place, "anchor_id", "left"), "asked")
-    slices = max(1, -(-one.count() // slice_rows))
-    asked = store(one.repartitionByRange(slices, "curve", "anchor_id").withColumn("slice", F.spark_partition_id()).drop("curve"), "anchors")
+    placed = with_row_index(one.join(place, "anchor_id", "left"), ["curve", "anchor_id"], "place")
+    asked = store(placed.select(
+        F.floor(F.col("place") / slice_rows).cast("int").alias("slice"), "anchor_id", "label", "v"), "anchors")
 
     everything = asked.withColumns({"low": F.array(F.lit(int(LONG.min))), "high": F.array(F.lit(int(LONG.max)))})
     near = first_in_windows(everything, blocks, zones, dims, scale, True, positives).select(
