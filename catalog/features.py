@@ -198,6 +198,38 @@ def w6(spark, sf_dir):
     return out.select("match_id", r6("elo_home").alias("elo_home"), r6("elo_away").alias("elo_away"))
 
 
+# One team graph: the away side of every match comes from the next pool, so all teams are connected.
+_ONE_GRAPH_SQL = """g as materialized (select match_id, kickoff_ts, match_date, home_goals, away_goals, home_team,
+ concat('TEAM_', cast((cast(replace(away_team,'TEAM_','') as int)+12)%96 as varchar)) as away_team from matches),
+m as materialized (select match_id, match_date, home_goals, away_goals,
+ cast(replace(home_team,'TEAM_','') as int)+1 as h, cast(replace(away_team,'TEAM_','') as int)+1 as a,
+ row_number() over (order by kickoff_ts, match_id) as seq from g),
+fold as (
+ select cast(0 as bigint) as seq, list_transform(range(96), lambda x: 1500.0::double) as rt, list_transform(range(96), lambda x: null::date) as ld,
+  null::bigint as match_id, null::double as eh, null::double as ea
+ union all
+ select seq,
+  list_transform(rt,lambda v,i: case when i=h then eh+20*(sc-ex) when i=a then ea-20*(sc-ex) else v end),
+  list_transform(ld,lambda v,i: case when i=h or i=a then match_date else v end), match_id, eh, ea
+ from (select *, 1/(1+pow(10,(ea-eh)/400)) as ex from (
+  select m.seq,r.rt,r.ld,m.h,m.a,m.match_date,m.match_id,
+   case when home_goals>away_goals then 1.0 when home_goals<away_goals then 0.0 else 0.5 end::double as sc,
+   """ + _DECAYED.format(s="h") + " as eh, " + _DECAYED.format(s="a") + """ as ea
+  from fold r join m on m.seq=r.seq+1) x) y)"""
+
+
+@add(
+    "W6_ratings_by_levels",
+    with_views("matches", recursive=True, ctes=_ONE_GRAPH_SQL,
+               body="select match_id, round(eh,6) as elo_home, round(ea,6) as elo_away from fold where seq>0"),
+)
+def w6_levels(spark, sf_dir):
+    away = F.concat(F.lit("TEAM_"), ((F.substring_index("away_team", "_", -1).cast("int") + 12) % 96).cast("string"))
+    graph = views.matches(spark, sf_dir).withColumn("away_team", away)
+    out = ratings.exact_ratings(graph, rows_per_step=2000)
+    return out.select("match_id", r6("elo_home").alias("elo_home"), r6("elo_away").alias("elo_away"))
+
+
 @add(
     "P17_pair_features",
     with_views("matches", recursive=True, ctes=RATED_DECAY_SQL, body="""select match_id, round(elo_home-elo_away,6) as elo_diff, round(elo_away,6) as home_opponent_elo,

@@ -6,7 +6,10 @@ connected through opponents form one chain in time. Two modes:
 * exact: matches are folded in order inside each pool (teams never meet across
   pools). Pools run in parallel. A pool with more rows than `rows_per_step` is cut
   into consecutive steps, so that no task ever holds more than one step of one
-  pool; the ratings between steps are written to the checkpoint folder.
+  pool; the ratings between steps are written to the checkpoint folder. Without
+  pool columns and with a connected graph above that size, steps follow dependency
+  levels: matches of one level share no team, so a level above `rows_per_step` rows is one
+  joined update spread over all tasks, and shorter levels run together in one fold.
 * period: all matches of a period start from the ratings at the start of the
   period; one join and one grouped sum per period, spread over all teams. Equal
   to exact when no team plays twice in a period.
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from formline.operators.components import components
 from formline.operators.ordered import Ranked
-from formline.sources.folders import shared_folder
+from formline.sources.folders import shared_folder, stored
 
 # Fixed values of the rating scheme.
 START_RATING = 1500.0
@@ -31,6 +34,7 @@ DECAY_RATE = 0.97
 DECAY_DAYS = 90.0
 
 ROWS_PER_STEP = 1_000_000
+ROUNDS_PER_WRITE = 2
 
 
 def expected_score(own: Column, other: Column) -> Column:
@@ -113,8 +117,7 @@ def _prepared(matches: DataFrame, pool: list[str], *more: Column) -> DataFrame:
 def with_components(rows: DataFrame) -> DataFrame:
     """Replaces `pool` by the component of the team graph: teams connected through opponents.
 
-    Ratings of different components never meet, so they can be folded side by side. One
-    connected component stays sequential in time; that is what the recurrence means.
+    Ratings of different components never meet, so they can be folded side by side.
     """
     pairs = rows.select(
         F.least("home_team", "away_team").alias("a"), F.greatest("home_team", "away_team").alias("b")).distinct()
@@ -137,6 +140,79 @@ def _steps(rows: DataFrame, rows_per_step: int) -> tuple[DataFrame, int]:
     return placed.join(starts, "pool").withColumn("step", step).drop("_position", "_first"), -(-biggest // rows_per_step)
 
 
+def dependency_levels(rows: DataFrame) -> DataFrame:
+    """Adds `level`: 1 for a match whose teams have no earlier match that day, else one more than the higher level of
+    either team's match before it. Matches of one (day, level) share no team, and (day, level) order keeps
+    every team's matches in time order.
+
+    Levels are the least fixed point: along a team's day they rise by at least one a match, so that a round is a
+    running maximum for each team and the larger of both sides for each match. Rounds are bounded by the longest chain of
+    one day, and the days are independent keys.
+    """
+    order = Window.partitionBy("day", "team").orderBy("kickoff_ts", "match_id")
+    before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    teams = rows.select("match_id", "day", "kickoff_ts", F.explode(F.array_distinct(F.array("home_team", "away_team"))).alias("team"))
+    sides = stored(teams.withColumn("nth", F.row_number().over(order)))
+    levels = sides.groupBy("match_id").agg(F.max("nth").alias("level"))
+    total = None
+    while True:
+        levels = stored(levels)
+        # One number a round reaches the driver; levels only rise.
+        reached = levels.agg(F.sum("level")).first()[0]
+        if reached == total:
+            return rows.join(levels, "match_id")
+        total = reached
+        least = F.col("nth") + F.max(F.col("level") - F.col("nth")).over(before)
+        for _ in range(ROUNDS_PER_WRITE):
+            levels = sides.join(levels, "match_id").withColumn("least", least).groupBy("match_id").agg(F.max("least").alias("level"))
+
+
+def _level_steps(levelled: DataFrame, rows_per_step: int) -> tuple[list[tuple[int, int, int]], list[bool]]:
+    """(day, level, step) of every level, and for each step whether it is one level above the row limit."""
+    sizes = levelled.groupBy("day", "level").count().orderBy("day", "level")
+    levels, steps, held = [], [], 0
+    # One row for each level.
+    for day, level, count in sizes.toLocalIterator():
+        wide = count > rows_per_step
+        if steps and not wide and not steps[-1] and held + count <= rows_per_step:
+            held += count
+        else:
+            steps.append(wide)
+            held = count
+        levels.append((day, level, len(steps) - 1))
+    return levels, steps
+
+
+def _by_levels(rows: DataFrame, decay: bool, rows_per_step: int, folder: str) -> DataFrame:
+    """match_id, elo_home, elo_away of prepared rows with `pool`."""
+    spark = rows.sparkSession
+    levelled = stored(dependency_levels(rows), folder)
+    levels, steps = _level_steps(levelled, rows_per_step)
+    numbers = spark.createDataFrame(levels, "day int, level int, step int")
+    levelled.join(numbers, ["day", "level"]).hint("rebalance", "step").write.partitionBy("step").parquet(f"{folder}/rows")
+    kept = spark.read.parquet(f"{folder}/rows")
+    pools = stored(rows.select("pool", F.explode(F.array("home_team", "away_team")).alias("team")).distinct(), folder)
+    state = spark.createDataFrame([], f"pool string, {_STATE}")
+    fold, columns = _fold(decay), ["pool", *[field.split()[0] for field in _STATE.split(", ")]]
+    for number, wide in enumerate(steps):
+        part = kept.filter(F.col("step") == number).drop("step", "level")
+        path = f"{folder}/folded/step={number}"
+        if wide:
+            rate_period(state.drop("pool"), part, decay).write.parquet(path)
+            rated = spark.read.parquet(path)
+            moved = next_state(state.drop("pool"), rated, decay).join(pools, "team")
+        else:
+            fold_rows = part.groupBy("pool").cogroup(state.groupBy("pool")).applyInPandas(fold, _OUT)
+            fold_rows.write.parquet(path)
+            done = spark.read.parquet(path).filter("kind = 'team'")
+            # Pools without a match in this step keep their state.
+            moved = state.join(done, "team", "left_anti").select(*columns).union(done.select(*columns))
+        moved.select(*columns).write.parquet(f"{folder}/state/step={number}")
+        state = spark.read.parquet(f"{folder}/state/step={number}")
+    folded = spark.read.schema("kind string, match_id long, elo_home double, elo_away double").parquet(f"{folder}/folded")
+    return folded.filter("match_id is not null").select("match_id", "elo_home", "elo_away")
+
+
 def exact_ratings(
     matches: DataFrame,
     pool: list[str] | None = None,
@@ -146,11 +222,20 @@ def exact_ratings(
 ) -> DataFrame:
     """Adds elo_home and elo_away, the ratings before the match (NULL for matches without a score).
 
-    Without `pool` columns the pools are the components of the team graph.
+    Without `pool` columns the pools are the components of the team graph, and one with more than `rows_per_step`
+    rows goes by dependency levels.
     """
     spark = matches.sparkSession
     prepared = _prepared(matches, pool or [])
-    rows, steps = _steps(prepared if pool else with_components(prepared), rows_per_step)
+    if not pool:
+        rows = stored(with_components(prepared), checkpoint_folder)
+        biggest = rows.groupBy("pool").count().agg(F.max("count")).first()[0] or 0
+        if biggest > rows_per_step:
+            rated = _by_levels(rows, decay, rows_per_step, shared_folder(spark, checkpoint_folder))
+            return matches.join(rated, "match_id", "left")
+    else:
+        rows = prepared
+    rows, steps = _steps(rows, rows_per_step)
     fold = _fold(decay)
     if steps == 1:
         nobody = pd.DataFrame({"team": [], "rating": [], "last_day": []})
@@ -159,10 +244,10 @@ def exact_ratings(
         folder = shared_folder(spark, checkpoint_folder)
         # Rebalanced, so that a step is a few files and not one per input task.
         rows.hint("rebalance", "step").write.partitionBy("step").parquet(f"{folder}/rows")
-        stored = spark.read.parquet(f"{folder}/rows")
+        kept = spark.read.parquet(f"{folder}/rows")
         state = spark.createDataFrame([], f"pool string, {_STATE}")
         for step in range(steps):
-            part = stored.filter(F.col("step") == step).drop("step")
+            part = kept.filter(F.col("step") == step).drop("step")
             out = part.groupBy("pool").cogroup(state.groupBy("pool")).applyInPandas(fold, _OUT)
             out.write.parquet(f"{folder}/folded/step={step}")
             done = spark.read.parquet(f"{folder}/folded/step={step}")
@@ -237,12 +322,12 @@ def period_ratings(
     rows = prepared_periods(matches, period)
     folder = shared_folder(spark, checkpoint_folder)
     rows.hint("rebalance", "period").write.partitionBy("period").parquet(f"{folder}/rows")
-    stored = spark.read.schema(rows.schema).parquet(f"{folder}/rows")
+    kept = spark.read.schema(rows.schema).parquet(f"{folder}/rows")
     # One value per period reaches the driver, which runs two jobs per period.
     periods = sorted(r[0] for r in rows.select("period").distinct().collect())
     state = spark.createDataFrame([], _STATE)
     for number, value in enumerate(periods):
-        part = stored.filter(F.col("period") == value).drop("period")
+        part = kept.filter(F.col("period") == value).drop("period")
         rate_period(state, part, decay).write.parquet(f"{folder}/rated/n={number}")
         rated = spark.read.parquet(f"{folder}/rated/n={number}")
         next_state(state, rated, decay).write.parquet(f"{folder}/state/n={number}")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +106,44 @@ def test_period_equals_exact_when_no_team_plays_twice(make_matches):
     exact = by_id(ratings.exact_ratings(m), "elo_home", "elo_away")
     period = by_id(ratings.period_ratings(m, F.col("match_date").cast("string")), "elo_home", "elo_away")
     assert all(exact[k] == pytest.approx(period[k]) for k in exact)
+
+
+def one_graph(rnd, teams, days, per_day):
+    """Matches of one connected graph; a team may play several times a day."""
+    rows = []
+    for day in range(days):
+        for _ in range(per_day):
+            home, away = rnd.sample(range(teams), 2)
+            rows.append((len(rows), f"2020-{1 + day // 28:02d}-{1 + day % 28:02d}", f"T{home}", f"T{away}", rnd.randrange(3), rnd.randrange(3)))
+    return rows
+
+
+@pytest.mark.parametrize("limit", [7, 25])
+def test_levels_equal_one_pass(make_matches, limit):
+    rows = one_graph(random.Random(limit), teams=24, days=2, per_day=24)
+    matches = make_matches(rows)
+    got = by_id(ratings.exact_ratings(matches, rows_per_step=limit), "elo_home", "elo_away")
+    want = sequential(rows)
+    assert set(got) == set(want)
+    for match, pair in want.items():
+        assert got[match] == pytest.approx(pair, abs=1e-9)
+
+
+def test_levels_are_the_longest_chains(make_matches):
+    rows = one_graph(random.Random(1), teams=10, days=3, per_day=25)
+    prepared = ratings._prepared(make_matches(rows), [])
+    got = {r["match_id"]: r["level"] for r in ratings.dependency_levels(prepared).collect()}
+    last, want = {}, {}
+    for match, day, home, away, *_ in rows:
+        want[match] = 1 + max(last.get((day, home), 0), last.get((day, away), 0))
+        last[day, home] = last[day, away] = want[match]
+    assert got == want
+
+
+def test_idle_pools_keep_their_ratings_between_levels(make_matches):
+    rows = [(0, "2020-01-01", "X", "Y", 1, 0)]
+    rows += [(1 + i, "2020-01-02", *pair, 2, 1) for i, pair in enumerate([("A", "B"), ("B", "C"), ("C", "A"), ("A", "C")] * 2)]
+    rows += [(40, "2020-02-01", "Y", "X", 0, 0)]
+    got = by_id(ratings.exact_ratings(make_matches(rows), rows_per_step=3), "elo_home", "elo_away")
+    for match, pair in sequential(rows).items():
+        assert got[match] == pytest.approx(pair, abs=1e-9)
