@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.common import Registry, day, r6, with_views
 from catalog.evaluation import SEGMENTED_SQL, frame
 from catalog.features import FEATURES_SQL, HISTORY_SQL, LATEST_SQL, featured, history
 from formline import views
-from formline.operators import metrics, ordered, snapshots, standard, thresholds
-from formline.plans import build, models, scoring, training
+from formline.operators import metrics, snapshots, standard, thresholds
+from formline.plans import build, formulas, models, scoring, training
 from formline.plans.models import Candidate
 from formline.sources.folders import shared_folder, stored
 
@@ -66,6 +67,30 @@ def _row_sums(scored):
     return scored.select("match_id", r6(p[0] + p[1] + p[2]).alias("probability_sum"), largest.alias("label_is_largest"))
 
 
+def _saved_and_loaded(spark, candidate, rows):
+    """A fitted model, and the same read back from its folder."""
+    folder = shared_folder(spark)
+    model = fitted(candidate, rows)
+    models.save(model, folder, spark)
+    return model, models.load(folder, spark)[0], folder
+
+
+def _formula_query(name, candidate):
+    """Every score equals the formula over the saved values (and rows are what row sums demand)."""
+    sql = with_views("matches", body="select match_id, true as equals_formula, 1.0::double as probability_sum, true as label_is_largest from matches")
+
+    @add(name, sql)
+    def query(spark, sf_dir):
+        rows = feature_rows(spark, sf_dir)
+        model, loaded, folder = _saved_and_loaded(spark, candidate, rows)
+        scored = stored(model.score(rows))
+        if candidate.family == "forest":
+            expected = formulas.forest_scores(formulas.node_table(spark, f"{folder}/model/model"), loaded, rows)
+        else:
+            expected = formulas.scores(loaded, rows)
+        return formulas.same_scores(scored, expected).join(_row_sums(scored), "match_id")
+
+
 def _fit_query(name, candidate):
     @add(name, _ROW_SUMS_SQL)
     def query(spark, sf_dir):
@@ -83,13 +108,14 @@ _IMPUTED = ("home_win_rate_last5", "away_win_rate_last5", "elo_diff")
 )
 def m1(spark, sf_dir):
     rows = feature_rows(spark, sf_dir)
-    medians = ordered.exact_quantiles(rows, list(_IMPUTED), [0.5])
-    return rows.fillna({c: v[0] for c, v in medians.items()}).select("match_id", *[r6(c).alias(c) for c in _IMPUTED])
+    filled = Pipeline(stages=models.preparation(list(_IMPUTED), False)).fit(rows).transform(rows)
+    values = vector_to_array("_features")
+    return filled.select("match_id", *[r6(values[i]).alias(c) for i, c in enumerate(_IMPUTED)])
 
 
 @add(
     "M2_standard_scaling",
-    with_views("predictions", body="""select match_id, round((g_home-avg(g_home) over ())/stddev_samp(g_home) over (),6) as g_home, round((g_draw-avg(g_draw) over ())/stddev_samp(g_draw) over (),6) as g_draw from predictions"""),
+    with_views("predictions", body="""select match_id, round((g_home-avg(g_home) over ())/stddev_pop(g_home) over (),6) as g_home, round((g_draw-avg(g_draw) over ())/stddev_pop(g_draw) over (),6) as g_draw from predictions"""),
 )
 def m2(spark, sf_dir):
     p = views.predictions(spark, sf_dir)
@@ -125,10 +151,10 @@ def m4(spark, sf_dir):
         F.round(F.sum("mass") / F.sum("w"), 3).alias("share"), F.count("*").alias("rows"))
 
 
-_fit_query("M5_random_forest", FOREST)
+_formula_query("M5_random_forest", FOREST)
 _fit_query("M6_gradient_boosting", BOOSTED)
-_fit_query("M7_two_stage_draw_model", TWO_STAGE)
-_fit_query("M9_fitted_segment_ensemble", SEGMENTED)
+_formula_query("M7_two_stage_draw_model", TWO_STAGE)
+_formula_query("M9_fitted_segment_ensemble", SEGMENTED)
 _fit_query("M21_stacking", Candidate("stack", "stacking", {"bases": [Candidate("prior", "dummy"), LOGISTIC], "folds": 5}))
 
 
@@ -141,8 +167,45 @@ def _calibrated(method):
     return query
 
 
-add("M10_sigmoid_calibration")(_calibrated("sigmoid"))
-add("M11_isotonic_calibration")(_calibrated("isotonic"))
+# Distinct scores of every class with their hits.
+_COUNTS_SQL = """counts as materialized (select class, score, sum(hit)::double as hits, count(*)::double as n from (
+ select 'away' as class, g_away as score, (actual=-1)::int as hit from predictions union all
+ select 'draw', g_draw, (actual=0)::int from predictions union all
+ select 'home', g_home, (actual=1)::int from predictions) group by 1, 2)"""
+_MAPPED_SQL = """mapped as (select match_id, {away} as a, {draw} as d, {home} as h from predictions p{joins}),
+normal as (select match_id, a/(a+d+h) as p_away, d/(a+d+h) as p_draw, h/(a+d+h) as p_home from mapped)"""
+_ROW_SQL = """select match_id, case when p_away>=p_draw and p_away>=p_home then -1 when p_draw>=p_home then 0 else 1 end as predicted,
+ round(p_away,6) as p_away, round(p_draw,6) as p_draw, round(p_home,6) as p_home from normal"""
+
+
+def _newton_sql(steps: int) -> str:
+    """Newton steps written out one by one."""
+    ctes = [_COUNTS_SQL, """aims as (select class, (sum(hits)+1)/(sum(hits)+2) as hi, 1/(sum(n)-sum(hits)+2) as lo,
+ 0::double as a0, ln((sum(hits)+1)/(sum(n)-sum(hits)+1)) as b0 from counts group by class)""",
+            "s0 as materialized (select class, a0 as a, b0 as b from aims)"]
+    for k in range(steps):
+        ctes.append(f"""s{k + 1} as materialized (select class, a+(h00*g1-h01*g0)/(h00*h11-h01*h01) as a, b+(h11*g0-h01*g1)/(h00*h11-h01*h01) as b from (
+ select class, any_value(a) as a, any_value(b) as b, sum(r) as g0, sum(r*score) as g1, sum(w) as h00, sum(w*score) as h01, sum(w*score*score) as h11 from (
+  select class, a, b, score, hits*hi+(n-hits)*lo-n*p as r, n*p*(1-p) as w from (
+   select class, a, b, hi, lo, score, hits, n, 1/(1+exp(-(a*score+b))) as p from counts join aims using (class) join s{k} using (class)))
+ group by class))""")
+    last = "(select {v} from s%d where class='{c}')" % steps
+    terms = {c: f"1/(1+exp(-({last.format(v='a', c=c)}*g_{c}+{last.format(v='b', c=c)})))" for c in ("away", "draw", "home")}
+    return ",\n".join([*ctes, _MAPPED_SQL.format(joins="", **terms)])
+
+
+# Max-min formula: the largest over starts of the least mean of any stretch that holds the score.
+_ISOTONIC_SQL = _COUNTS_SQL + """,
+run as materialized (select class, score, row_number() over w as i, sum(hits) over w as h, sum(n) over w as m, hits, n from counts window w as (partition by class order by score)),
+means as (select j.class, j.i as j, k.i as k, (k.h-j.h+j.hits)/(k.m-j.m+j.n) as mean from run j join run k on j.class=k.class and j.i<=k.i),
+least as (select class, j, k as i, min(mean) over (partition by class, j order by k desc) as v from means),
+fit as materialized (select class, i, max(v) as v from least group by 1, 2),
+points as materialized (select run.class, run.score, fit.v from run join fit using (class, i)),
+""" + _MAPPED_SQL.format(away="x.v", draw="y.v", home="z.v", joins="""
+ join points x on x.class='away' and x.score=p.g_away join points y on y.class='draw' and y.score=p.g_draw join points z on z.class='home' and z.score=p.g_home""")
+
+add("M10_sigmoid_calibration", with_views("predictions", ctes=_newton_sql(12), body=_ROW_SQL))(_calibrated("sigmoid"))
+add("M11_isotonic_calibration", with_views("predictions", ctes=_ISOTONIC_SQL, body=_ROW_SQL))(_calibrated("isotonic"))
 
 
 @add(
@@ -216,10 +279,23 @@ def m23(spark, sf_dir):
     return training.complete_cases(feature_rows(spark, sf_dir), ["home_avg_goals_last5", "away_avg_goals_last5"]).select("match_id")
 
 
-@add("T7_feature_importances")
+@add(
+    "T7_feature_importances",
+    # Every listed importance equals the one from the saved trees, and the list is the first 15 of those in order.
+    "select r::int as rank, true as equals_node_table from range(1, 16) t(r)",
+)
 def t7(spark, sf_dir):
     rows = feature_rows(spark, sf_dir)
-    return models.feature_importances(fitted(FOREST, rows), spark)
+    model, _, folder = _saved_and_loaded(spark, FOREST, rows)
+    nodes = formulas.node_table(spark, f"{folder}/model/model")
+    wanted = formulas.importances(nodes, model.features).withColumn(
+        "rank", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))
+    listed = models.feature_importances(model, spark).withColumn(
+        "listed_rank", F.row_number().over(Window.orderBy(F.desc("importance"), "feature"))).withColumnRenamed("importance", "listed")
+    # Features whose importances agree to 1e-12 may change places.
+    value = wanted.select("rank", F.col("importance").alias("at_rank"))
+    return listed.join(wanted.drop("rank"), "feature").join(value, F.col("rank") == F.col("listed_rank")).select(
+        "rank", ((F.abs(F.col("listed") - F.col("importance")) < 1e-9) & (F.abs(F.col("listed") - F.col("at_rank")) < 1e-9)).alias("equals_node_table"))
 
 
 @add(

@@ -19,14 +19,14 @@ from pyspark.ml.classification import (
     LogisticRegressionModel,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formline.functions import outcomes
 from formline.operators import metrics, thresholds
+from formline.plans.calibration import Calibrator, calibrate
+from formline.plans.preparation import InputPreparation
 
 SEED = 42
 MAX_ITER = 2500  # fixed value of the search space
@@ -81,23 +81,12 @@ def as_doubles(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def preparation(columns: list[str], scaled: bool) -> list:
-    """Median imputation, assembly and, for linear models, standardisation.
+    """Exact median imputation and, for linear models, standardisation by the population deviation."""
+    return [InputPreparation(inputCols=columns, outputCol="_features", scaled=scaled)]
 
-    The scaler divides by the sample deviation, a factor sqrt(n/(n-1)) below the
-    population form.
-    """
-    filled = [f"_in_{c}" for c in columns]
-    stages = [
-        Imputer(inputCols=columns, outputCols=filled, strategy="median", relativeError=1e-4),
-        VectorAssembler(inputCols=filled, outputCol="_plain" if scaled else "_features"),
-    ]
-    if scaled:
-        stages.append(StandardScaler(inputCol="_plain", outputCol="_features", withMean=True))
-    return stages
 
-
-def _drop_work(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.drop("_plain", *WORK, *[f"_in_{c}" for c in columns])
+def _drop_work(df: DataFrame) -> DataFrame:
+    return df.drop(*WORK)
 
 
 def _classifier(kind: str, **params):
@@ -269,7 +258,7 @@ _FIT = {
 
 def _array_of(model: PipelineModel, df: DataFrame, columns: list[str], output: str) -> DataFrame:
     out = model.transform(as_doubles(df, columns))
-    return _drop_work(out.withColumn(output, vector_to_array(F.col("_probability"))), columns)
+    return _drop_work(out.withColumn(output, vector_to_array(F.col("_probability"))))
 
 
 def _row_of(fitted: Fitted, df: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -324,54 +313,6 @@ def _score_hybrid(fitted: Fitted, df: DataFrame) -> DataFrame:
     return blended.drop(*thresholds.GENERALIST, *thresholds.SPECIALIST, "uncertainty", "conviction")
 
 
-# ---- calibration ------------------------------------------------------------
-
-
-@dataclass
-class Calibrator:
-    """One-vs-rest calibration of the three columns, fitted on a later window."""
-
-    method: str
-    parts: dict[str, object]
-
-    def apply(self, scored: DataFrame) -> DataFrame:
-        out = scored
-        for name in ROW:
-            model = self.parts[name]
-            if self.method == "sigmoid":
-                vector = array_to_vector(F.array(F.col(name)))
-                out = model.transform(out.withColumn("_features", vector))
-                out = out.withColumn(f"_new_{name}", vector_to_array(F.col("_probability"))[1])
-            else:
-                out = model.transform(out.withColumn("_features", F.col(name)))
-                out = out.withColumn(f"_new_{name}", F.col("_prediction"))
-            out = out.drop(*WORK)
-        row = outcomes.normalise(*[F.col(f"_new_{n}") for n in ROW])
-        out = out.withColumns(dict(zip(ROW, row))).drop(*[f"_new_{n}" for n in ROW])
-        return out.withColumn("predicted", outcomes.argmax_class(*[F.col(c) for c in ROW]))
-
-
-def calibrate(scored: DataFrame, method: str, target: str = "target_multiclass") -> Calibrator:
-    """`sigmoid` or `isotonic`, per class on that class's probability."""
-    parts = {}
-    for cls, name in zip(outcomes.CLASSES, ROW):
-        label = (F.col(target) == cls).cast("double")
-        rows = scored.select(F.col(name).alias("_score"), label.alias("_label"))
-        if method == "sigmoid":
-            rows = rows.withColumn("_features", array_to_vector(F.array("_score")))
-            estimator = LogisticRegression(
-                featuresCol="_features", labelCol="_label", probabilityCol="_probability",
-                rawPredictionCol="_raw", predictionCol="_prediction", family="binomial", maxIter=MAX_ITER,
-            )
-        elif method == "isotonic":
-            rows = rows.withColumn("_features", F.col("_score"))
-            estimator = IsotonicRegression(featuresCol="_features", labelCol="_label", predictionCol="_prediction")
-        else:
-            raise ValueError(f"unknown calibration method {method!r}")
-        parts[name] = estimator.fit(rows)
-    return Calibrator(method, parts)
-
-
 # ---- candidate list ---------------------------------------------------------
 
 
@@ -447,10 +388,8 @@ def _save_parts(fitted: Fitted, path: str) -> None:
 def save(fitted: Fitted, path: str, spark: SparkSession, calibrator: Calibrator | None = None, **facts) -> None:
     """Models below `path`, the description as one JSON line in path/about."""
     _save_parts(fitted, f"{path}/model")
-    about = {"model": _describe(fitted), "calibration": calibrator.method if calibrator else None, **facts}
-    if calibrator is not None:
-        for name, part in calibrator.parts.items():
-            part.write().overwrite().save(f"{path}/calibration/{name}")
+    values = {"method": calibrator.method, "parts": calibrator.parts} if calibrator else None
+    about = {"model": _describe(fitted), "calibration": values, **facts}
     spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
 
@@ -470,16 +409,9 @@ def _load_parts(about: dict, path: str) -> Fitted:
 
 
 def load(path: str, spark: SparkSession) -> tuple[Fitted, Calibrator | None, dict]:
-    from pyspark.ml.classification import LogisticRegressionModel
-    from pyspark.ml.regression import IsotonicRegressionModel
-
     about = json.loads(spark.read.text(f"{path}/about").first()[0])
     fitted = _load_parts(about["model"], f"{path}/model")
-    calibrator = None
-    if about["calibration"]:
-        reader = LogisticRegressionModel if about["calibration"] == "sigmoid" else IsotonicRegressionModel
-        calibrator = Calibrator(about["calibration"], {n: reader.load(f"{path}/calibration/{n}") for n in ROW})
-    return fitted, calibrator, about
+    return fitted, Calibrator(**about["calibration"]) if about["calibration"] else None, about
 
 
 def feature_importances(fitted: Fitted, spark: SparkSession, limit: int = 15) -> DataFrame:

@@ -1,8 +1,12 @@
+import random
+
+import numpy as np
 import pytest
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from formline.operators import metrics, snapshots
-from formline.plans import models, scoring, training
+from formline.plans import calibration, formulas, models, scoring, training
 from formline.plans.models import Candidate
 
 COLUMNS = ["elo_diff", "home_win_rate_last5", "away_win_rate_last5"]
@@ -121,3 +125,69 @@ def test_job_from_the_feeds_files(spark, sample, tmp_path):
     silver = spark.read.parquet(f"{folder}/silver")
     assert silver.select("match_id").distinct().count() == scored
     assert spark.read.parquet(f"{folder}/bronze/historical").count() == sample.count()
+
+
+def max_min(hits, n):
+    """Isotonic fit by the max-min formula."""
+    m = len(hits)
+    return [max(min(sum(hits[j:k + 1]) / sum(n[j:k + 1]) for k in range(i, m)) for j in range(i + 1)) for i in range(m)]
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 40])
+def test_isotonic_equals_the_max_min_formula(spark, ranges):
+    rnd = random.Random(ranges)
+    counts = [("p_away", i / 50, float(rnd.randrange(3)), 2.0 + rnd.randrange(3)) for i in range(50)] + [("p_draw", 0.5, 1.0, 4.0)]
+    knots = calibration.isotonic(spark.createDataFrame(counts, "class string, score double, hits double, n double"), ranges)
+    want = max_min([c[2] for c in counts[:50]], [c[3] for c in counts[:50]])
+    got = np.interp([c[1] for c in counts[:50]], knots["p_away"]["x"], knots["p_away"]["y"])
+    assert np.allclose(got, want)
+    assert knots["p_draw"] == {"x": [0.5], "y": [0.25]}
+
+
+def test_sigmoid_is_a_stationary_point(spark):
+    rnd = random.Random(2)
+    rows = [("p_away", i / 40, float(rnd.random() < i / 40), 1.0) for i in range(40)]
+    fit = calibration.sigmoid(spark.createDataFrame(rows, "class string, score double, hits double, n double"))["p_away"]
+    hits = sum(r[2] for r in rows)
+    aims = [(hits + 1) / (hits + 2) if r[2] else 1 / (40 - hits + 2) for r in rows]
+    rest = [t - 1 / (1 + np.exp(-(fit["slope"] * r[1] + fit["offset"]))) for r, t in zip(rows, aims)]
+    assert abs(sum(rest)) < 1e-9 and abs(sum(e * r[1] for e, r in zip(rest, rows))) < 1e-9
+    # Separated scores and a single score still give finite values.
+    for some in ([("p_away", 0.1, 0.0, 9.0), ("p_away", 0.9, 9.0, 9.0)], [("p_away", 0.4, 3.0, 9.0)]):
+        fit = calibration.sigmoid(spark.createDataFrame(some, "class string, score double, hits double, n double"))["p_away"]
+        assert np.isfinite([fit["slope"], fit["offset"]]).all()
+
+
+def test_saved_calibrators_map_the_same(spark, features, fitted, tmp_path):
+    scored = fitted["forest"].score(features)
+    for method in ("sigmoid", "isotonic"):
+        calibrator = models.calibrate(scored, method)
+        models.save(fitted["forest"], str(tmp_path / method), spark, calibrator)
+        model, loaded, _ = models.load(str(tmp_path / method), spark)
+        left, right = (c.apply(m.score(features)).select("match_id", *models.ROW) for c, m in ((calibrator, fitted["forest"]), (loaded, model)))
+        assert left.exceptAll(right).isEmpty()
+        assert left.filter("abs(p_away + p_draw + p_home - 1) > 1e-9").isEmpty()
+
+
+def test_preparation_is_exact_and_survives_saving(spark, tmp_path):
+    rows = [(1.0, None, 5.0), (2.0, 4.0, 5.0), (10.0, 8.0, None), (None, None, 5.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    model = Pipeline(stages=models.preparation(["a", "b", "c"], True)).fit(df)
+    model.write().save(str(tmp_path / "prepared"))
+    for fitted in (model, PipelineModel.load(str(tmp_path / "prepared"))):
+        got = np.array([r["_features"].toArray() for r in fitted.transform(df).collect()])
+        filled = np.array([[1, 6, 5], [2, 4, 5], [10, 8, 5], [2, 6, 5]], float)
+        deviation = filled.std(axis=0)
+        assert np.allclose(got, (filled - filled.mean(axis=0)) / np.where(deviation > 0, deviation, 1))
+
+
+def test_a_changed_coefficient_shows(spark, features, fitted):
+    model = fitted["seg"]
+    assert formulas.same_scores(model.score(features), formulas.scores(model, features)).filter("not equals_formula").isEmpty()
+    stage = model.parts["generalist"].parts["model"].stages[0]
+    means = stage.getOrDefault(stage.means)
+    changed = stage.copy()._set(means=[means[0] + 0.01, *means[1:]])
+    part = model.parts["generalist"]
+    other = models.Fitted(part.candidate, part.features, {"model": PipelineModel([changed, part.parts["model"].stages[1]])})
+    wrong = models.Fitted(model.candidate, model.features, {**model.parts, "generalist": other})
+    assert not formulas.same_scores(model.score(features), formulas.scores(wrong, features)).filter("not equals_formula").isEmpty()
