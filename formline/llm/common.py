@@ -31,14 +31,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows once to the shared folder and go on from there, which cuts the lineage."""
+def store(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Write the rows once to the shared folder (below `folder`, if given) and go on from there, which cuts the lineage."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the shared one, for tables that nothing needs once a result is written."""
+    return f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of the shared store with its tables."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -9,8 +9,8 @@ all below it. Small nodes are compared leaf by leaf.
 
 With pigeonhole tables (`exact_tables`) the join is exact: `budget` differing bits touch at most
 `budget` of `budget + 2` blocks, so two blocks are equal and some table has both as its key.
-`sampled_tables` serve wide fingerprints with a large budget; there a link is found with the stated
-probability.
+For near copies by similarity, whose fingerprints differ in many bits, a table's key is two least hashes of the
+set of shingles (`least_hash_keys`): sets of similarity s share a key with probability s * s, at any number of rows.
 
 `simhash_groups` only wants components, so pairs of nodes whose fingerprints are connected already are skipped
 and each task returns a star per component: never more rows than it has read. `near_copy_groups` takes
@@ -36,14 +36,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from formline.llm.common import NO_ID, id_and_text, partitions, store
-from formline.llm.components import components
+from formline.llm.common import NO_ID, drop_folder, id_and_text, partitions, scratch, store
+from formline.operators.components import components
 
 SEED = 42
 LEAF = 256
 CHUNK = 50_000
 # Odd multipliers that derive further 64-bit lanes from a shingle's hash.
 LANES = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+_MIX = np.random.default_rng(5).integers(0, 2**63, size=64, dtype=np.uint64) | np.uint64(1)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -94,14 +95,16 @@ def exact_tables(bits: int, budget: int) -> list[list[int]]:
     return [[*map(int, one), *map(int, two)] for one, two in itertools.combinations(blocks, 2)]
 
 
-def sampled_tables(bits: int, budget: int, missed: float, rows: int, seed: int = 7) -> list[list[int]]:
-    """So many random keys that a pair at the whole budget shares none with probability `missed`. Keys are as
-    long as leaves about 64 of `rows` unrelated fingerprints to a key."""
-    key_bits = max(8, min(bits // 4, (max(rows, 1) // 64).bit_length()))
-    agree = (1 - budget / bits) ** key_bits
-    count = int(np.ceil(np.log(missed) / np.log1p(-agree)))
-    draw = random.Random(seed)
-    return [draw.sample(range(bits), key_bits) for _ in range(count)]
+def least_hash_keys(hashes: np.ndarray, tables: int) -> list[int]:
+    """A key for each table: the two least values of the shingles' hashes under two further hash functions."""
+    if not len(hashes):
+        return [0] * tables
+    with np.errstate(over="ignore"):
+        mixed = hashes[None, :] * _MIX[:2 * tables, None]
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(LANES[1])
+        mixed ^= mixed >> np.uint64(29)
+        least = mixed.min(axis=1)
+        return (least[0::2] * np.uint64(LANES[2]) + least[1::2]).astype(np.int64).tolist()
 
 
 def _keys(bits: np.ndarray, key: list[int]) -> np.ndarray:
@@ -233,9 +236,9 @@ def trie_components(raw: np.ndarray, group: np.ndarray, budget: int, side: np.nd
 
 
 def nearest_others(raw: np.ndarray, group: np.ndarray, label: np.ndarray, budget: int, most: int,
-                   side: np.ndarray | None = None, allowed: Callable | None = None) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Indices of pairs of different labels within the budget: those among the `most` nearest of one of their rows,
-    and whether pairs were left out. `allowed` (i, j) is a further condition on pairs."""
+                   side: np.ndarray | None = None, allowed: Callable | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Indices and distances of pairs of different labels within the budget: those among the `most` nearest of one of their
+    rows. The last array has a row for each pair that was left out. `allowed` (i, j) is a further condition on pairs."""
     side = np.zeros(len(raw), np.int64) if side is None else side.astype(np.int64)
     # The group's most frequent label apart: its rows need not be compared with each other.
     counts = pd.DataFrame({"group": group, "label": label}).value_counts(sort=False).rename("n").reset_index()
@@ -246,7 +249,7 @@ def nearest_others(raw: np.ndarray, group: np.ndarray, label: np.ndarray, budget
     order = order[several[order]]
     none = np.empty(0, np.int64)
     if not len(order):
-        return none, none, False
+        return none, none, none, none
     part = np.stack([group, side, usual])[:, order]
     starts = np.flatnonzero(np.r_[True, (part[:, 1:] != part[:, :-1]).any(axis=0)])
     stops = np.r_[starts[1:], len(order)]
@@ -259,7 +262,7 @@ def nearest_others(raw: np.ndarray, group: np.ndarray, label: np.ndarray, budget
         for one, two in itertools.combinations_with_replacement(some, 2):
             if not (one[3] and two[3]) and not (across and one[2] == two[2]):
                 first.append((*one[:2], *two[:2], 0))
-    held, size, cut = [np.empty((3, 0), np.int64)], 0, False
+    held, size, cut = [np.empty((3, 0), np.int64)], 0, [none]
     first = np.array(first, np.int64).reshape(-1, 5).T
     for i, j, distance in _near(raw[order], first, budget, label[order]):
         i, j = order[i], order[j]
@@ -267,16 +270,15 @@ def nearest_others(raw: np.ndarray, group: np.ndarray, label: np.ndarray, budget
         held.append(np.stack([i, j, distance])[:, good])
         size += int(good.sum())
         if size >= 1_000_000:
-            every = np.concatenate(held, axis=1)
-            held, size = [_most(every, most)], 0
-            cut |= held[0].shape[1] < every.shape[1]
-    every = np.concatenate(held, axis=1)
-    kept = _most(every, most)
-    return kept[0], kept[1], bool(cut or kept.shape[1] < every.shape[1])
+            kept, left_out = _most(np.concatenate(held, axis=1), most)
+            held, size = [kept], 0
+            cut.append(np.unique(left_out))
+    kept, left_out = _most(np.concatenate(held, axis=1), most)
+    return *kept, np.concatenate([*cut, left_out])
 
 
-def _most(pairs: np.ndarray, most: int) -> np.ndarray:
-    """Pairs (i, j, distance) that are among the `most` nearest of i or of j."""
+def _most(pairs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j, distance) that are among the `most` nearest of i or of j, and i of the others."""
     n = pairs.shape[1]
     row, at = np.r_[pairs[0], pairs[1]], np.tile(np.arange(n), 2)
     other = np.r_[pairs[1], pairs[0]]
@@ -284,7 +286,9 @@ def _most(pairs: np.ndarray, most: int) -> np.ndarray:
     row, at = row[order], at[order]
     starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if n else np.empty(0, np.int64)
     place = np.arange(2 * n) - np.repeat(starts, np.diff(np.r_[starts, 2 * n]))
-    return pairs[:, np.unique(at[place < most])]
+    near = np.zeros(n, bool)
+    near[at[place < most]] = True
+    return pairs[:, near], pairs[0, ~near]
 
 
 def _slices(pairs: np.ndarray, width: int = 4096) -> list[np.ndarray]:
@@ -370,83 +374,91 @@ def _sub_nodes(dealt: DataFrame, rows: int) -> DataFrame:
     return spread.mapInPandas(run, f"{columns}, sub long")
 
 
-def _searched(rows: DataFrame, width: int, budget: int, tables: list[list[int]], look: Callable, schema: str,
-              bound: int) -> DataFrame:
-    """What `look` finds in all tables. `rows` has fp (its first `width` bytes are the bits) and maybe label.
+def _searched(dealt: DataFrame, width: int, budget: int, look: Callable, schema: str, bound: int,
+              folder: str | None = None) -> DataFrame:
+    """What `look` finds in all keys. `dealt` has table_no, key, fp (its first `width` bytes are the bits) and maybe label.
 
     A key with more than `bound` rows is cut into sub-nodes of at most half of that. Each is searched with itself and with
     every other within the budget, as a Spark group of its own. Two sub-nodes whose rows all have one label, or
     without labels are all connected by then, are not searched."""
-    dealt, by = _dealt(rows, tables), ["table_no", "key"]
-    heavy = store(dealt.groupBy(*by).count().filter(F.col("count") > bound).select(*by), "heavy")
+    by = ["table_no", "key"]
+    heavy = store(dealt.groupBy(*by).count().filter(F.col("count") > bound).select(*by), "heavy", folder)
     if not heavy.take(1):
         return _looked(dealt, by, look, schema)
-    # At most one heavy key for each `bound` dealt rows.
-    light = dealt.join(F.broadcast(heavy), by, "left_anti")
-    subs = store(_sub_nodes(dealt.join(F.broadcast(heavy), by, "left_semi"), max(1, bound // 2)), "subs")
-    inside = store(_looked(light, by, look, schema).union(_looked(subs, ["sub"], look, schema)), "inside")
-    if "label" in rows.columns:
+    # One row for each heavy key, that is at most one for each `bound` dealt rows.
+    light = dealt.join(heavy, by, "left_anti")
+    subs = store(_sub_nodes(dealt.join(heavy, by, "left_semi"), max(1, bound // 2)), "subs", folder)
+    inside = store(_looked(light, by, look, schema).union(_looked(subs, ["sub"], look, schema)), "inside", folder)
+    if "label" in dealt.columns:
         labelled = subs
     else:
-        roots = components(inside.select("a", "b")).withColumnsRenamed({"node": "fp", "root": "label"})
+        roots = components(inside.select("a", "b"), folder).withColumnsRenamed({"node": "fp", "root": "label"})
         labelled = subs.join(roots, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     ends = store(labelled.groupBy(*by, "sub").agg(
-        F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.min("label").alias("one"), F.max("label").alias("two")), "ends")
+        F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.min("label").alias("one"), F.max("label").alias("two")), "ends", folder)
     left, right = (ends.select(*by, *(F.col(c).alias(f"{c}_{n}") for c in ("sub", "lo", "hi", "one", "two"))) for n in "ab")
     joined = (F.col("one_a") == F.col("two_a")) & (F.col("one_a") == F.col("one_b")) & (F.col("one_a") == F.col("two_b"))
     pairs = store(
         left.join(right, by).filter((F.col("sub_a") < F.col("sub_b")) & ~joined)
-        .filter(~_apart(width, budget)("lo_a", "hi_a", "lo_b", "hi_b")).select("sub_a", "sub_b"), "pairs")
-    sides = [subs.drop(*by).withColumnRenamed("sub", name).join(pairs, name).withColumn("side", F.lit(number))
+        .filter(~_apart(width, budget)("lo_a", "hi_a", "lo_b", "hi_b")).select("sub_a", "sub_b"), "pairs", folder)
+    sides = [subs.withColumnRenamed("sub", name).join(pairs, name).withColumn("side", F.lit(number))
              for number, name in enumerate(("sub_a", "sub_b"))]
     across = _looked(sides[0].unionByName(sides[1]), ["sub_a", "sub_b"], look, schema)
     return inside.union(across)
 
 
-def links(distinct: DataFrame, budget: int, tables: list[list[int]], width: int = 8, bound: int = CHUNK) -> DataFrame:
+def links(distinct: DataFrame, budget: int, tables: list[list[int]], width: int = 8, bound: int = CHUNK,
+          folder: str | None = None) -> DataFrame:
     """Edges (a, b) that connect exactly the fingerprints (`width` bytes) that the tables' links connect."""
     def look(rows, group, side):
         return _stars(rows, group, side, width, budget)
 
-    return _searched(distinct, width, budget, tables, look, "a binary, b binary", bound).distinct()
+    return _searched(_dealt(distinct, tables), width, budget, look, "a binary, b binary", bound, folder).distinct()
 
 
 def text_hash(column) -> Column:
     return F.xxhash64(column)
 
 
-def simhash_groups(docs: DataFrame, shingle: int = 4, lanes: int = 1, budget: int = 4,
-                   tables: Callable[[int], list[list[int]]] | None = None) -> DataFrame:
-    """`tables` gives the key bits for a number of distinct fingerprints (none: the exact tables).
-
-    doc_id, text_hash, fp (binary), component_id (smallest doc_id of the component), first_hash (the text hash
+def simhash_groups(docs: DataFrame, shingle: int = 4, lanes: int = 1, budget: int = 4) -> DataFrame:
+    """doc_id, text_hash, fp (binary), component_id (smallest doc_id of the component), first_hash (the text hash
     of the component's first row by id, nulls last, and hash) for every row of `docs`."""
+    spark = docs.sparkSession
+    folder = scratch(spark)
     fps = store(fingerprints(docs, shingle, lanes), "fingerprints")
-    distinct = _distinct(fps)
-    keys = tables(distinct.count()) if tables else exact_tables(64 * lanes, budget)
-    return _groups(fps, distinct, components(store(links(distinct.select("fp"), budget, keys, 8 * lanes), "links")))
+    distinct = _distinct(fps, folder)
+    found = store(links(distinct.select("fp"), budget, exact_tables(64 * lanes, budget), 8 * lanes, folder=folder), "links", folder)
+    groups = _groups(fps, distinct, components(found, folder), folder)
+    drop_folder(spark, folder)
+    return groups
 
 
-def set_nodes(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
-    """doc_id, text_hash, fp for every row, where fp names the set of shingles: the fingerprint of the distinct
+def set_nodes(docs: DataFrame, shingle: int, lanes: int, tables: int) -> DataFrame:
+    """doc_id, text_hash, fp and key_0, key_1 ... for every row. fp names the set of shingles: the fingerprint of the distinct
     shingles, their number (4 bytes) and a digest of them (8 bytes)."""
+    names = [f"key_{t}" for t in range(tables)]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fps = [_node(np.unique(shingle_hashes(text, shingle)), lanes) for text in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "fp": fps})
+            fps, keys = [], []
+            for text in batch["text"]:
+                hashes = np.unique(shingle_hashes(text, shingle))
+                fps.append(_node(hashes, lanes))
+                keys.append(least_hash_keys(hashes, tables))
+            out = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "fp": fps})
+            out[names] = np.array(keys, np.int64).reshape(-1, tables)
+            yield out
 
     rows = id_and_text(docs).select("doc_id", text_hash("text").alias("text_hash"), "text")
-    return rows.mapInPandas(run, "doc_id long, text_hash long, fp binary")
+    return rows.mapInPandas(run, "doc_id long, text_hash long, fp binary, " + ", ".join(f"{n} long" for n in names))
 
 
 def _node(hashes: np.ndarray, lanes: int) -> bytes:
     return fingerprint(hashes, lanes) + len(hashes).to_bytes(4, "big") + xxhash.xxh64_digest(hashes.tobytes(), SEED)
 
 
-def _shingle_sets(docs: DataFrame, nodes: DataFrame, fps: DataFrame, shingle: int) -> DataFrame:
-    """node, hashes (its distinct shingles) for `nodes`, from one document each."""
-    one = fps.join(nodes, fps["fp"] == nodes["node"]).groupBy("node").agg(F.min("text_hash").alias("text_hash"))
-
+def _shingle_sets(docs: DataFrame, firsts: DataFrame, shingle: int) -> DataFrame:
+    """node, hashes (its distinct shingles) for each of `firsts` (node, first), from its first document."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 200):
@@ -454,35 +466,53 @@ def _shingle_sets(docs: DataFrame, nodes: DataFrame, fps: DataFrame, shingle: in
                 hashes = [np.unique(shingle_hashes(text, shingle)).view(np.int64) for text in part["text"]]
                 yield pd.DataFrame({"node": part["node"], "hashes": hashes})
 
-    texts = id_and_text(docs).select(text_hash("text").alias("text_hash"), "text").dropDuplicates(["text_hash"])
-    return texts.join(one, "text_hash").select("node", "text").mapInPandas(run, "node binary, hashes array<long>")
+    wanted = firsts.select("node", F.coalesce("first.doc_id", F.lit(NO_ID)).alias("k"), F.col("first.text_hash").alias("h"))
+    texts = id_and_text(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), text_hash("text").alias("h"), "text")
+    # Only wanted texts are dealt out; repeated rows of one document give one text.
+    found = texts.join(wanted, ["k", "h"]).dropDuplicates(["node"])
+    return found.select("node", "text").mapInPandas(run, "node binary, hashes array<long>")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) whose sets have a Jaccard similarity of at least least[0] / least[1]."""
+def _compared(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """a, b, near: whether the sets have a Jaccard similarity of at least least[0] / least[1]."""
     above, below = least
     first, second = (sets.select(F.col("node").alias(n), F.col("hashes").alias(f"hashes_{n}")) for n in "ab")
     both = pairs.select("a", "b").join(first, "a").join(second, "b")
     shared = F.size(F.array_intersect("hashes_a", "hashes_b")).cast("long")
     either = F.size("hashes_a") + F.size("hashes_b") - shared
-    return both.filter(shared * below >= either * above).select("a", "b")
+    return both.select("a", "b", (shared * below >= either * above).alias("near"))
 
 
-def near_copy_groups(docs: DataFrame, shingle: int, lanes: int, budget: int,
-                     tables: Callable[[int], list[list[int]]], least: tuple[int, int] = (4, 5),
-                     most: int = 4, bound: int = CHUNK) -> DataFrame:
-    """Columns as `simhash_groups`; components of the pairs that the trie self-join finds (`budget` bits of the
-    distinct shingles' fingerprints) and whose sets of shingles have a Jaccard similarity of least[0] / least[1] or more.
+def _per_row(found: DataFrame, most: int) -> DataFrame:
+    """Distinct pairs a, b, distance with kept: whether the pair is among the `most` nearest of one of its rows."""
+    pairs = found.groupBy("a", "b").agg(F.min("distance").alias("distance"))
+    ends = pairs.select("a", "b", "distance", F.explode(F.array("a", "b")).alias("row"))
+    nth = F.row_number().over(Window.partitionBy("row").orderBy("distance", "a", "b"))
+    return ends.withColumn("nth", nth).groupBy("a", "b").agg((F.min("nth") <= most).alias("kept"))
+
 
-    A group of n near copies has n * n candidates, so they are confirmed in rounds. First come a spanning forest's links, for
-    each row the nearest one. In later rounds only pairs of rows that are not connected by confirmed pairs
-    are candidates, for each row the `most` nearest of a task, four times as many each round. Rounds end when no
-    task has left out a candidate, so each found pair is either confirmed, refused or within a component."""
+def near_copy_groups(docs: DataFrame, shingle: int = 5, lanes: int = 4, budget: int = 52, tables: int = 6,
+                     least: tuple[int, int] = (4, 5), most: int = 4, bound: int = CHUNK) -> DataFrame:
+    """Columns as `simhash_groups`; components of the pairs that the trie self-join finds (`budget` bits of the
+    distinct shingles' fingerprints, in groups by least hashes) and whose sets of shingles have a Jaccard similarity of
+    least[0] / least[1] or more.
+
+    A group of n near copies has n * n candidates, so they are compared in rounds. First come a spanning forest's links, for
+    each row the nearest one. In later rounds only pairs of rows that are not connected by then are
+    candidates, for each row the `most` nearest over all tables, four times as many each round; pairs once refused are not
+    compared again, and only keys that left a candidate out are searched again. Rounds end when none is left out, so
+    each found pair is confirmed, refused or within a component."""
     above, below = least
     width = 8 * lanes
-    fps = store(set_nodes(docs, shingle, lanes), "fingerprints")
-    distinct = _distinct(fps)
-    keys = tables(distinct.count())
+    spark = docs.sparkSession
+    folder = scratch(spark)
+    names = [f"key_{t}" for t in range(tables)]
+    fps = store(set_nodes(docs, shingle, lanes, tables), "fingerprints")
+    distinct = _distinct(fps, folder, *names)
+    dealt = distinct.select("fp", F.posexplode(F.array(*names)).alias("table_no", "key")).select("table_no", "key", "fp")
+    shared = dealt.groupBy("table_no", "key").count().filter("count > 1").select("table_no", "key")
+    # Rows that are alone with their key have no candidate there.
+    dealt = store(dealt.join(shared, ["table_no", "key"]), "dealt", folder)
 
     def forest(rows, group, side):
         raw = _raw(rows["fp"], width)
@@ -490,39 +520,50 @@ def near_copy_groups(docs: DataFrame, shingle: int, lanes: int, budget: int,
         distance = np.bitwise_count(raw[i] ^ raw[j]).sum(axis=1, dtype=np.int32)
         return _pairs(rows, i, j).assign(distance=distance)
 
-    found = store(_searched(distinct.select("fp"), width, budget, keys, forest, "a binary, b binary, distance int", bound), "forest")
+    found = store(_searched(dealt, width, budget, forest, "a binary, b binary, distance int", bound, folder), "forest", folder)
     ends = found.select(F.col("a").alias("node"), F.col("b").alias("other"), "distance").union(
         found.select(F.col("b").alias("node"), F.col("a").alias("other"), "distance"))
-    nearest = store(ends.groupBy("node").agg(F.min(F.struct("distance", "other")).alias("to")), "nearest")
+    nearest = store(ends.groupBy("node").agg(F.min(F.struct("distance", "other")).alias("to")), "nearest", folder)
+    # Every row with a candidate has an end in the forest.
     nodes = nearest.select("node")
-    sets = store(_shingle_sets(docs, nodes, fps, shingle), "sets")
+    firsts = nodes.join(distinct.select(F.col("fp").alias("node"), "first"), "node")
+    sets = store(_shingle_sets(docs, firsts, shingle), "sets", folder)
     to = F.col("to.other")
     pairs = nearest.select(F.least("node", to).alias("a"), F.greatest("node", to).alias("b")).distinct()
-    confirmed = store(_confirmed(pairs, sets, least), "confirmed")
-    more = True
-    while more:
-        members = components(confirmed)
-        labelled = store(nodes.join(members, "node", "left").select(
-            F.col("node").alias("fp"), F.coalesce("root", "node").alias("label")), "labelled")
+    compared = store(_compared(pairs, sets, least), "compared", folder)
+    search = dealt.join(nodes.select(F.col("node").alias("fp")), "fp", "left_semi")
+    while True:
+        members = components(compared.filter("near").select("a", "b"), folder)
+        labels = members.select(F.col("node").alias("fp"), F.col("root").alias("label"))
+        labelled = store(search.join(labels, "fp", "left").select(
+            "table_no", "key", "fp", F.coalesce("label", "fp").alias("label")), "labelled", folder)
 
         def others(rows, group, side, most=most):
             raw, label = rows["fp"], pd.factorize(rows["label"])[0]
             sizes = np.ascontiguousarray(_raw(raw, width + 4)[:, width:]).view(">u4").ravel().astype(np.int64)
-            i, j, cut = nearest_others(
+            i, j, distance, left_out = nearest_others(
                 _raw(raw, width), group, label, budget, most, side,
                 lambda i, j: np.minimum(sizes[i], sizes[j]) * below >= np.maximum(sizes[i], sizes[j]) * above)
-            return _pairs(rows, i, j).assign(cut=cut)
-
-        found = store(_searched(labelled, width, budget, keys, others, "a binary, b binary, cut boolean", bound), "others")
-        more = bool(found.filter("cut").take(1))
-        new = store(_confirmed(found.select("a", "b").distinct(), sets, least), "confirmed")
-        if not more and not new.take(1):
+            cut = np.isin(group, np.unique(group[left_out]))
+            return _pairs(rows, i, j).assign(
+                distance=distance.astype(np.int32), table_no=rows["table_no"].to_numpy()[i], key=rows["key"].to_numpy()[i], cut=cut[i])
+
+        found = store(_searched(labelled, width, budget, others,
+                                "a binary, b binary, distance int, table_no int, key long, cut boolean", bound, folder), "others", folder)
+        fresh = store(_per_row(found.join(compared, ["a", "b"], "left_anti"), most), "fresh", folder)
+        new = store(_compared(fresh.filter("kept"), sets, least), "compared", folder)
+        # Keys with a pair that waits: left out by a task, or beyond the nearest of both its rows.
+        waiting = found.filter("cut").select("table_no", "key").union(
+            found.join(fresh.filter("not kept"), ["a", "b"], "left_semi").select("table_no", "key")).distinct()
+        waiting = store(waiting, "waiting", folder)
+        compared = compared.union(new)
+        if not waiting.take(1):
             break
-        confirmed = confirmed.union(new)
+        search = dealt.join(waiting, ["table_no", "key"], "left_semi")
         most *= 4
-    else:
-        members = components(confirmed)
-    return _groups(fps, distinct, members)
+    groups = _groups(fps, distinct, components(compared.filter("near").select("a", "b"), folder), folder)
+    drop_folder(spark, folder)
+    return groups
 
 
 def _pairs(rows: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
@@ -531,14 +572,15 @@ def _pairs(rows: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(fps[i], fps[j]), "b": np.maximum(fps[i], fps[j])})
 
 
-def _distinct(fps: DataFrame) -> DataFrame:
+def _distinct(fps: DataFrame, folder: str, *keys: str) -> DataFrame:
+    """fp, first (its first row by id, nulls last, and text hash) and the keys, which are those of every row of the fingerprint."""
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    return store(fps.groupBy("fp").agg(F.min(row).alias("first")), "distinct")
+    return store(fps.groupBy("fp").agg(F.min(row).alias("first"), *[F.min(k).alias(k) for k in keys]), "distinct", folder)
 
 
-def _groups(fps: DataFrame, distinct: DataFrame, members: DataFrame) -> DataFrame:
+def _groups(fps: DataFrame, distinct: DataFrame, members: DataFrame, folder: str) -> DataFrame:
     linked = members.join(distinct, members["node"] == distinct["fp"]).select("node", "root", "first")
-    least = store(linked.groupBy("root").agg(F.min("first").alias("least")), "least")
+    least = store(linked.groupBy("root").agg(F.min("first").alias("least")), "least", folder)
     named = linked.join(least, "root").select(F.col("node").alias("fp"), "least")
     # Written, so that the last join reads both sides through exchanges of its own and a frequent one can be split.
     ids = store(distinct.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("least")), "ids")
@@ -548,11 +590,12 @@ def _groups(fps: DataFrame, distinct: DataFrame, members: DataFrame) -> DataFram
 
 
 def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row of `docs` for each component of `groups`: its first by id (nulls last) and text hash."""
+    """One row of `docs` for each component of `groups`: its first by id (nulls last) and text hash. Columns of `docs`
+    keep names and values, whatever they are called."""
     chosen = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash")))
-    key = [F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("_k1"), F.col("text_hash").alias("_k2")]
-    rows = docs.withColumns({"_k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_k2": text_hash("text")})
-    kept = rows.join(chosen.select(*key).distinct(), ["_k1", "_k2"], "left_semi")
+    chosen = chosen.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("text_hash").alias("hash")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
+                       text_hash("text").alias("hash"))
     # Rows equal in id and text are repeats of one document.
-    nth = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_k1"))
-    return kept.withColumn("_nth", nth).filter("_nth = 1").select(*docs.columns)
+    nth = F.row_number().over(Window.partitionBy("id", "hash").orderBy("id"))
+    return rows.join(chosen, ["id", "hash"], "left_semi").withColumn("nth", nth).filter("nth = 1").select("row.*")

@@ -14,7 +14,6 @@ import xxhash
 from pyspark.sql import functions as F
 
 from formline.llm import (
-    components,
     decontamination,
     languages,
     packing,
@@ -26,6 +25,7 @@ from formline.llm import (
     token_counts,
     toxicity,
 )
+from formline.operators.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, spans int, piece string"
 BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -179,7 +179,7 @@ def test_no_group_exceeds_the_row_bound(spark, monkeypatch):
 
     monkeypatch.setattr(simhash, "_stars", bounded)
     members = {int.from_bytes(r["node"], "big"): int.from_bytes(r["root"], "big")
-               for r in components.components(simhash.links(frame, 4, tables, bound=bound)).collect()}
+               for r in components(simhash.links(frame, 4, tables, bound=bound)).collect()}
     want = plain_components(values, 4)
     got = [members.get(v, v) for v in values]
     assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
@@ -213,11 +213,23 @@ def test_near_copies_have_the_required_similarity(spark):
             old, new = max(parent[i], parent[j]), min(parent[i], parent[j])
             parent = [new if p == old else p for p in parent]
     # A budget and keys that miss none of these pairs: what is left out is left out by the similarity.
-    groups = simhash.near_copy_groups(make(spark, list(enumerate(texts))), 5, 4, 80, lambda rows: [[0], [1], *([k] for k in range(2, 40))],
-                                      most=1, bound=20)
+    groups = simhash.near_copy_groups(make(spark, list(enumerate(texts))), 5, 4, 80, 24, most=1, bound=20)
     assert {r["doc_id"]: r["component_id"] for r in groups.collect()} == dict(enumerate(parent))
 
 
+def test_least_hash_keys_follow_the_similarity():
+    rnd = np.random.default_rng(1)
+    for share, low, high in ((0.8, 0.55, 0.73), (0.3, 0.03, 0.16)):
+        met = 0
+        for _ in range(60):
+            both = rnd.integers(0, 2**63, size=int(200 * share), dtype=np.uint64)
+            rest = rnd.integers(0, 2**63, size=(2, (200 - len(both)) // 2), dtype=np.uint64)
+            one, two = (simhash.least_hash_keys(np.unique(np.concatenate([both, r])), 6) for r in rest)
+            met += sum(a == b for a, b in zip(one, two))
+        assert low < met / 360 < high
+    assert simhash.least_hash_keys(np.empty(0, np.uint64), 3) == [0, 0, 0]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_nearest_others_are_all_pairs_of_different_labels(seed):
     rnd = random.Random(seed)
@@ -230,11 +242,11 @@ def test_nearest_others_are_all_pairs_of_different_labels(seed):
     want = {(i, j) for i, j in itertools.combinations(range(100), 2)
             if (values[i] ^ values[j]).bit_count() <= 5 and label[i] != label[j] and group[i] == group[j]
             and (not group[i] or side[i] != side[j])}
-    i, j, cut = simhash.nearest_others(raw, group, label, 5, 100, side)
-    assert {(min(p), max(p)) for p in zip(i.tolist(), j.tolist())} == want and not cut
-    i, j, cut = simhash.nearest_others(raw, group, label, 5, 1, side)
+    i, j, _, cut = simhash.nearest_others(raw, group, label, 5, 100, side)
+    assert {(min(p), max(p)) for p in zip(i.tolist(), j.tolist())} == want and not len(cut)
+    i, j, _, cut = simhash.nearest_others(raw, group, label, 5, 1, side)
     some = {(min(p), max(p)) for p in zip(i.tolist(), j.tolist())}
-    assert some < want and cut and {x for p in some for x in p} == {x for p in want for x in p}
+    assert some < want and len(cut) and {x for p in some for x in p} == {x for p in want for x in p}
 
 
 def test_keep_first_leaves_one_of_each_group(spark, corpus):
@@ -248,7 +260,7 @@ def test_keep_first_leaves_one_of_each_group(spark, corpus):
 def test_components_of_a_long_path(spark):
     n = 300
     edges = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    rows = components.components(edges.union(spark.createDataFrame([(1000, 1001)], "a long, b long"))).collect()
+    rows = components(edges.union(spark.createDataFrame([(1000, 1001)], "a long, b long"))).collect()
     assert {r["node"]: r["root"] for r in rows} == {**dict.fromkeys(range(n + 1), 0), 1000: 1000, 1001: 1000}
 
 

@@ -57,3 +57,35 @@ def test_run_is_the_stages_in_order(spark):
     packed = corpus_pipeline.run(spark, SMALL)
     assert packed.groupBy("sequence_id").sum("length").filter("`sum(length)` > 2048").count() == 0
     assert packed.select("doc_id").distinct().count() > 0
+
+
+def test_stages_with_hard_cases(spark, tmp_path):
+    """Clashing column names, null ids, repeated rows, a very long text and an empty table."""
+    rnd = random.Random(9)
+    clash = "doc_id long, text string, n_chars int, _before string, _k1 int, _nth string, id string, hash int, row string, key_0 long"
+    long_text = text(rnd, 30_000)
+    rows = [(i, text(rnd)) for i in range(30)] + [(None, text(rnd)), (None, None), (50, None), (3, None), (60, long_text), (61, long_text)]
+    rows += [rows[2], rows[2], (70, "api_key = abcdefghijklmnop and more words here " + text(rnd))]
+    docs = spark.createDataFrame([(i, t, len(t or ""), f"b{i}", 1, "n", "x", 2, "r", 5) for i, t in rows], clash)
+    spark.createDataFrame([(i, 0) for i in range(20)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for source in (docs, docs.limit(0)):
+        seen = source
+        for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            result = stage(spark, seen, str(tmp_path))
+            path = f"{tmp_path}/hard{number}-{source is docs}"
+            result.write.parquet(path)
+            seen = spark.read.parquet(path)
+            if number == 3:
+                assert seen.columns == docs.columns
+                kept = seen.collect()
+                if source is docs:
+                    # One of three empty texts, one of two long copies, one of three repeats.
+                    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted([*range(30), 3, 60, 70])
+                    assert sum(r["doc_id"] is None for r in kept) == 1
+                    assert all(r["_before"] == f"b{r['doc_id']}" and (r["_k1"], r["_nth"], r["id"], r["hash"], r["row"]) == (1, "n", "x", 2, "r") for r in kept)
+                    secret = next(r for r in kept if r["doc_id"] == 70)
+                    assert "abcdefghijklmnop" not in secret["text"] and secret["n_chars"] == len(secret["text"])
+                else:
+                    assert kept == []
