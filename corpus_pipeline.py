@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of `docs` and returns a DataFrame; the result is
 written and read again before the next stage. All stages but the last return the columns of `docs`.
+
+Defined cases: a null text is scored, compared and packed as an empty one and stays null; rows without an id are
+documents of their own, except that rows equal in id and text are repeats of one document and leave the near-copy stage once;
+very long texts are read whole; further columns of any name pass unchanged, but n_chars follows a redacted text;
+empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -12,12 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formline.llm import decontamination, packing, secrets, simhash, toxicity
-from formline.llm.common import shared_folder, table
+from formline.llm.common import drop_folder, shared_folder, table
 
 # Near-copies: a five-word similarity of LEAST (a fraction) or more. Candidates by 256 fingerprint bits: at 0.8 about
-# 39 bits differ, at 0.5 about 68, and unrelated texts differ in 128 or so. A pair at the whole budget is missed with
-# probability MISSED.
-SHINGLE, LANES, BUDGET, MISSED = 5, 4, 52, 0.02
+# 39 bits differ, at 0.5 about 68, and unrelated texts differ in 128 or so. Keys are TABLES pairs of least hashes, of
+# which a pair at 0.8 shares none with a probability of 0.36 to the power of TABLES.
+SHINGLE, LANES, BUDGET, TABLES = 5, 4, 52, 6
 LEAST = 4, 5
 
 
@@ -29,8 +34,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies stays, that with the smallest id."""
-    groups = simhash.near_copy_groups(
-        docs, SHINGLE, LANES, BUDGET, lambda rows: simhash.sampled_tables(64 * LANES, BUDGET, MISSED, rows), LEAST)
+    groups = simhash.near_copy_groups(docs, SHINGLE, LANES, BUDGET, TABLES, LEAST)
     return simhash.keep_first(docs, groups)
 
 
@@ -40,13 +44,13 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the text; n_chars follows where a text has changed."""
-    before = F.length("text")
-    cleaned = secrets.redact(docs.withColumn("_before", before))
+    """Secrets are replaced in the text; n_chars follows where a text has changed. Columns of any other name stay."""
+    before = next(name for name in iter(lambda: f"before_{uuid.uuid4().hex}", None) if name not in docs.columns)
+    cleaned = secrets.redact(docs.withColumn(before, F.length("text")))
     if "n_chars" in docs.columns:
         after = F.length("text")
         cleaned = cleaned.withColumn(
-            "n_chars", F.when(F.col("_before") == after, F.col("n_chars")).otherwise(after.cast(docs.schema["n_chars"].dataType)))
+            "n_chars", F.when(F.col(before) == after, F.col("n_chars")).otherwise(after.cast(docs.schema["n_chars"].dataType)))
     return cleaned.select(*docs.columns)
 
 
@@ -73,4 +77,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for number, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
         docs = spark.read.parquet(f"{folder}/{number}")
+        if number:
+            # Its rows have been written on by then.
+            drop_folder(spark, f"{folder}/{number - 1}")
     return docs
