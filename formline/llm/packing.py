@@ -33,7 +33,7 @@ from formline.llm.common import id_and_text, store
 
 SIZE = 2048
 END_ID = 0
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 _memory: dict[str, dict] = {}
 _TAIL = ".,!?%&$*#|;"
 _other = re.compile("[^\x00-\u024f]|\u0130").search
@@ -83,7 +83,8 @@ def encoder(path: str):
         bodies = {}
         for word in new:
             body = word.rstrip(_TAIL)
-            if body != word and body and body[-1].isalpha() and "<|" not in word:
+            # The last character after lower-casing: U+0130 becomes two, of which the second is no letter.
+            if body != word and body and body.lower()[-1].isalpha() and "<|" not in word:
                 bodies[word] = body
         needed = {*new.difference(bodies), *bodies.values(), *(w[len(b):] for w, b in bodies.items())}
         learn(list(needed.difference(memory)))

@@ -42,6 +42,8 @@ from formline.operators.components import components
 SEED = 42
 LEAF = 256
 CHUNK = 50_000
+# Rows of whole groups that a task looks at together, and pairs that it holds before it reduces them.
+HELD, HELD_PAIRS = 16_384, 200_000
 # Odd multipliers that derive further 64-bit lanes from a shingle's hash.
 LANES = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 _MIX = np.random.default_rng(5).integers(0, 2**63, size=64, dtype=np.uint64) | np.uint64(1)
@@ -180,7 +182,7 @@ def _near(raw: np.ndarray, first: np.ndarray, budget: int, label: np.ndarray) ->
         a0, a1, b0, b1, diff = made
         joined = (same_label[a0] == same_label[a1 - 1]) & (same_label[b0] == same_label[b1 - 1]) & (label[a0] == label[b0])
         made = made[:, ~joined]
-        stack += [(depth + 1, part) for part in _slices(made, 500_000)]
+        stack += [(depth + 1, part) for part in _slices(made, HELD_PAIRS)]
 
 
 def _distance(words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -269,7 +271,7 @@ def nearest_others(raw: np.ndarray, group: np.ndarray, label: np.ndarray, budget
         good = allowed(i, j) if allowed else np.ones(len(i), bool)
         held.append(np.stack([i, j, distance])[:, good])
         size += int(good.sum())
-        if size >= 1_000_000:
+        if size >= HELD_PAIRS:
             kept, left_out = _most(np.concatenate(held, axis=1), most)
             held, size = [kept], 0
             cut.append(np.unique(left_out))
@@ -291,7 +293,7 @@ def _most(pairs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, near], pairs[0, ~near]
 
 
-def _slices(pairs: np.ndarray, width: int = 4096) -> list[np.ndarray]:
+def _slices(pairs: np.ndarray, width: int = 1024) -> list[np.ndarray]:
     return [pairs[:, at:at + width] for at in range(0, pairs.shape[1], width)]
 
 
@@ -315,7 +317,7 @@ def _stars(rows: pd.DataFrame, group: np.ndarray, side: np.ndarray, width: int,
 
 
 def _looked(rows: DataFrame, by: list[str], look: Callable, schema: str) -> DataFrame:
-    """`look` (rows, group numbers, sides) on whole groups of `rows`, about CHUNK rows at a time."""
+    """`look` (rows, group numbers, sides) on whole groups of `rows`, about HELD rows at a time."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def found(held: pd.DataFrame) -> pd.DataFrame:
             group = held.groupby(by, sort=False).ngroup().to_numpy()
@@ -327,7 +329,7 @@ def _looked(rows: DataFrame, by: list[str], look: Callable, schema: str) -> Data
                 continue
             held.append(batch)
             size += len(batch)
-            if size >= CHUNK:
+            if size >= HELD:
                 rows = pd.concat(held, ignore_index=True)
                 open_group = (rows[by] == rows[by].iloc[-1]).all(axis=1).to_numpy()
                 if not open_group.all():

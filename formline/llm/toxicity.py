@@ -32,7 +32,7 @@ from formline.llm.common import id_and_text, remainder
 
 POSITIVES = 6_000
 UNLABELLED = 12_000
-REMEMBERED = 150_000
+REMEMBERED = 60_000
 LEAST_ROWS = 3
 _words = re.compile(r"[^\W\d_]+").findall
 _buckets: dict[str, int] = {}

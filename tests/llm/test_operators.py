@@ -553,3 +553,13 @@ def test_token_counts_equal_offsets(spark, corpus):
             crossing[home] += max(i for i, s in enumerate(starts) if s <= a) != max(i for i, s in enumerate(starts) if s < b or s == 0)
         assert sorted(got[doc_id]) == [(i, s, counts[i], crossing[i]) for i, s in enumerate(starts)], doc_id
     assert token_counts.token_counts(make(spark, []), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_words_that_end_in_a_dotted_capital_i():
+    """U+0130 becomes two characters in lower case, of which the second joins punctuation that follows."""
+    from tokenizers import Tokenizer
+    whole = Tokenizer.from_file(BPE)
+    rnd = random.Random(1)
+    texts = ["Dİ, x", "İ.", "aİ) İ", *("".join(rnd.choice("Dab İİé,.!)-'") for _ in range(rnd.randrange(12))) for _ in range(3000))]
+    for text, got in zip(texts, packing.encoder(BPE)(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
