@@ -44,6 +44,7 @@ LEAF = 256
 CHUNK = 50_000
 # Rows of whole groups that a task looks at together, and pairs that it holds before it reduces them.
 HELD, HELD_PAIRS = 16_384, 200_000
+GROWTH = 16
 # Odd multipliers that derive further 64-bit lanes from a shingle's hash.
 LANES = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 _MIX = np.random.default_rng(5).integers(0, 2**63, size=64, dtype=np.uint64) | np.uint64(1)
@@ -494,14 +495,14 @@ def _per_row(found: DataFrame, most: int) -> DataFrame:
 
 
 def near_copy_groups(docs: DataFrame, shingle: int = 5, lanes: int = 4, budget: int = 52, tables: int = 6,
-                     least: tuple[int, int] = (4, 5), most: int = 4, bound: int = CHUNK) -> DataFrame:
+                     least: tuple[int, int] = (4, 5), most: int = 8, bound: int = CHUNK) -> DataFrame:
     """Columns as `simhash_groups`; components of the pairs that the trie self-join finds (`budget` bits of the
     distinct shingles' fingerprints, in groups by least hashes) and whose sets of shingles have a Jaccard similarity of
     least[0] / least[1] or more.
 
     A group of n near copies has n * n candidates, so they are compared in rounds. First come a spanning forest's links, for
     each row the nearest one. In later rounds only pairs of rows that are not connected by then are
-    candidates, for each row the `most` nearest over all tables, four times as many each round; pairs once refused are not
+    candidates, for each row the `most` nearest over all tables, GROWTH times as many each round; pairs once refused are not
     compared again, and only keys that left a candidate out are searched again. Rounds end when none is left out, so
     each found pair is confirmed, refused or within a component."""
     above, below = least
@@ -562,7 +563,7 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, lanes: int = 4, budget:
         if not waiting.take(1):
             break
         search = dealt.join(waiting, ["table_no", "key"], "left_semi")
-        most *= 4
+        most *= GROWTH
     groups = _groups(fps, distinct, components(compared.filter("near").select("a", "b"), folder), folder)
     drop_folder(spark, folder)
     return groups
