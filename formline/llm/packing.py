@@ -33,13 +33,13 @@ from formline.llm.common import id_and_text, store
 
 SIZE = 2048
 END_ID = 0
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 _memory: dict[str, dict] = {}
 _TAIL = ".,!?%&$*#|;"
 _other = re.compile("[^\x00-\u024f]|\u0130").search
 
 
-def encoder(path: str):
+def encoder(path: str, remembered: int = REMEMBERED):
     """A function from texts to the bytes of their ids (little-endian, 32 bits), by the tokenizer file at `path`.
 
     The pre-tokenizer of this vocabulary never joins characters across white space, nor letters
@@ -75,7 +75,7 @@ def encoder(path: str):
         learn_each([word for word in words if not word.isalpha()])
 
     def encode(texts: list[str]) -> list[bytes]:
-        if len(memory) > REMEMBERED:
+        if len(memory) > remembered:
             memory.clear()
         # Lower-casing here is that of the tokenizer for the characters below U+0250 but one.
         split = [(text if _other(text) else text.lower()).replace("\n", " ").split(" ") for text in texts]
@@ -95,10 +95,11 @@ def encoder(path: str):
     return encode
 
 
-def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, with_ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, with_ids: bool = True,
+           remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, part, nth (and ids): nth counts a length within a part."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, remembered)
         part, seen = TaskContext.get().partitionId(), Counter()
         end = np.uint32(END_ID).tobytes()
         for batch in batches:
@@ -266,10 +267,11 @@ def runs(kinds: list[tuple]) -> pd.DataFrame:
         ["length", "number"], ignore_index=True)
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, with_ids: bool = True,
+           remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids) of every piece of every document."""
     spark = docs.sparkSession
-    cut = store(pieces(docs, tokenizer, size, with_ids), "pieces")
+    cut = store(pieces(docs, tokenizer, size, with_ids, remembered), "pieces")
     counts = store(cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = runs(plan(histogram, size))
