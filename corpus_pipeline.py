@@ -57,7 +57,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their sequences, places and token ids."""
     import public_tokenizers
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # Fewer words than a run of its own remembers: the workers of the stages before still hold memory.
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=120_000)
 
 
 STAGES = [
