@@ -49,7 +49,7 @@ def test_stages_keep_clean_rows_and_act_on_the_others(spark, tmp_path):
 
 def test_queries_are_registered():
     names = registry.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
