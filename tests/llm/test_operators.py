@@ -406,6 +406,69 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.held_out_scores(make(spark, []), frame.limit(0)).count() == 0
 
 
+def test_toxicity_features_against_plain_python(monkeypatch):
+    def plain(text):
+        runs = set()
+        for word in re.findall(r"[^\W_]+", (text or "").lower()):
+            padded = f" {word} "
+            runs |= {padded[a:a + n] for n in (4, 5, 6) for a in range(len(padded) - n + 1)}
+        return runs
+
+    texts = ["", None, "a", "Idiot! idiots,\tun-idiot", "Über_straße x9y2z café\u0000s", "\U0001F600 \U00020000\U00020001\U00020002"]
+    for text in texts:
+        assert len(toxicity.features(text)) == len(plain(text)), text
+    hashes = {run: toxicity.features(run.strip()) for run in (" idio", "idiot")}
+    assert set(hashes["idiot"]) & set(toxicity.features("an idiot's")) == set(hashes["idiot"])
+    long = " ".join(sentence(random.Random(4), 300) + ("x" * 50) for _ in range(3))
+    whole = toxicity.features(long).tolist()
+    monkeypatch.setattr(toxicity, "PIECE", 64)
+    assert toxicity.features(long).tolist() == whole
+
+
+def test_toxicity_risk_and_direction():
+    rnd = np.random.default_rng(3)
+    for prior, shift in ((0.1, 0.0), (0.4, 0.0), (0.9, 8.0)):
+        p, u = rnd.normal(shift, 2, 7), rnd.normal(-shift, 2, 11)
+        down = lambda m: np.mean(np.log(1 + np.exp(m)))
+        rest = down(u) - prior * down(p)
+        assert toxicity.risk(p, u, prior) == pytest.approx(prior * np.mean(np.log(1 + np.exp(-p))) + max(0, rest))
+        pull_p, pull_u = toxicity.pulls(p, u, prior)
+
+        def target(p, u, rest=rest, prior=prior):
+            part = down(u) - prior * down(p)
+            return prior * np.mean(np.log(1 + np.exp(-p))) + part if rest >= 0 else -part
+
+        for at in range(7):
+            step = np.eye(7)[at] * 1e-6
+            assert pull_p[at] == pytest.approx((target(p + step, u) - target(p - step, u)) / 2e-6, abs=1e-5)
+        for at in range(11):
+            step = np.eye(11)[at] * 1e-6
+            assert pull_u[at] == pytest.approx((target(p, u + step) - target(p, u - step)) / 2e-6, abs=1e-5)
+
+
+def test_toxicity_catches_rare_inflected_words(spark):
+    """Each toxic text holds forms of a few stems, most forms seen once."""
+    rnd = random.Random(11)
+    syllable = lambda: rnd.choice("bdfglmnprst") + rnd.choice("aeiou")
+    stems = ["vrok" + syllable(), "zhab" + syllable(), "quix" + syllable(), "wumph"]
+    rows, labels = [], []
+    for i in range(1500):
+        words = ["".join(syllable() for _ in range(rnd.randrange(1, 4))) for _ in range(60)]
+        toxic = i % 8 == 0
+        if toxic:
+            words += [rnd.choice(stems) + syllable() + syllable() for _ in range(3)]
+        rnd.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic), 1))
+    got = toxicity.held_out_scores(
+        make(spark, rows + rows[:40]), spark.createDataFrame(labels, "doc_id long, toxic int, quality int")).collect()
+    assert len(got) == 1540
+    held = [r for r in got if r["held_out"]]
+    caught = [r["predicted"] for r in held if r["doc_id"] % 8 == 0]
+    clean = [1 - r["predicted"] for r in held if r["doc_id"] % 8]
+    assert sum(caught) >= 0.95 * len(caught) and sum(clean) >= 0.98 * len(clean)
+
+
 # Secrets
 
 
