@@ -53,10 +53,13 @@ class Ranked:
         for position in wanted:
             number, start = [b for b in bounds if b[1] <= position][-1]
             places[number, position - start] = position
-        hit: Column = F.lit(False)
+        by_range: dict[int, list[int]] = {}
         for number, place in places:
-            hit = hit | ((F.col("_range") == number) & (F.col("_place") == place))
-        found = self.rows.filter(hit).collect()
+            by_range.setdefault(number, []).append(place)
+        hits = [(F.col("_range") == number) & F.col("_place").isin(spots) for number, spots in by_range.items()] or [F.lit(False)]
+        while len(hits) > 1:  # pairs of pairs, so that the expression stays shallow
+            hits = [hits[i] | hits[i + 1] if i + 1 < len(hits) else hits[i] for i in range(0, len(hits), 2)]
+        found = self.rows.filter(hits[0]).collect()
         return {places[r["_range"], r["_place"]]: tuple(r[c] for c in self.order) for r in found}
 
 

@@ -14,7 +14,6 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier,
     LogisticRegression,
     LogisticRegressionModel,
     RandomForestClassifier,
@@ -25,6 +24,7 @@ from pyspark.sql import functions as F
 
 from formline.functions import outcomes
 from formline.operators import metrics, thresholds
+from formline.plans import boosting
 from formline.plans.calibration import Calibrator, calibrate
 from formline.plans.preparation import InputPreparation
 
@@ -98,12 +98,7 @@ def _classifier(kind: str, **params):
         return LogisticRegression(
             **common, probabilityCol="_probability", standardization=False, **params
         )
-    if kind == "forest":
-        return RandomForestClassifier(**common, probabilityCol="_probability", seed=SEED, **params)
-    return GBTClassifier(
-        featuresCol="_features", labelCol="_label", weightCol="_weight", predictionCol="_prediction",
-        seed=SEED, **params,
-    ).setProbabilityCol("_probability").setRawPredictionCol("_raw")
+    return RandomForestClassifier(**common, probabilityCol="_probability", seed=SEED, **params)
 
 
 def _penalty(total_weight: float, c: float) -> float:
@@ -208,16 +203,13 @@ def _forest_params(p: dict, total: float) -> dict:
 
 
 def _fit_boosting(candidate: Candidate, rows: DataFrame, columns: list[str], target: str) -> Fitted:
-    """One boosted model per class against the rest (not a joint softmax)."""
+    """One joint softmax: three trees a round; the trees are part of the model's description."""
     p = candidate.params
-    parts = {}
-    for cls, name in zip(outcomes.CLASSES, ROW):
-        part = rows.withColumn("_label", (F.col(target) == cls).cast("double"))
-        trees = _classifier(
-            "boosting", maxIter=p["trees"], maxDepth=p["depth"], stepSize=p["rate"], subsamplingRate=0.9
-        )
-        parts[name] = Pipeline(stages=[*preparation(columns, False), trees]).fit(part)
-    return Fitted(candidate, columns, parts)
+    prepared = Pipeline(stages=preparation(columns, False)).fit(rows)
+    names = [f"_input{i}" for i in range(len(columns))]
+    filled = rows.select("_label", "_weight", *[v.alias(n) for v, n in zip(prepared.stages[0].values(), names)])
+    trees = boosting.learn(filled, names, "_label", "_weight", p["trees"], p["depth"], p["rate"], p.get("penalty", 1.0), seed=SEED)
+    return Fitted(candidate, columns, {"preparation": prepared}, {"boosting": trees})
 
 
 def _fit_stack(candidate: Candidate, rows: DataFrame, columns: list[str], target: str) -> Fitted:
@@ -283,11 +275,12 @@ def _row_of(fitted: Fitted, df: DataFrame, names: tuple[str, ...]) -> DataFrame:
         scored = _score_hybrid(fitted, df)
         return scored.withColumnsRenamed(dict(zip(ROW, names))).drop("predicted", "is_override")
     if family == "boosting":
-        scored = df
-        for name in ROW:
-            scored = _array_of(fitted.parts[name], scored, columns, f"_row_{name}")
-        cells = [F.col(f"_row_{name}")[1] for name in ROW]
-        return scored.withColumns(dict(zip(names, outcomes.normalise(*cells)))).drop(*[f"_row_{n}" for n in ROW])
+        # Columns of the frame keep their values: they go beside the doubles and come back.
+        wide = as_doubles(df.withColumn("_kept", F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)])), columns)
+        values = fitted.parts["preparation"].stages[0].values()
+        scored = wide.withColumn("_row", boosting.probabilities(df.sparkSession, fitted.constants["boosting"], values))
+        scored = scored.withColumns({c: F.col(f"_kept._{i}") for i, c in enumerate(columns)}).drop("_kept")
+        return scored.withColumns({n: F.col("_row")[k] for k, n in enumerate(names)}).drop("_row")
     scored = _array_of(fitted.parts["model"], df, columns, "_row")
     cells = [F.coalesce(F.try_element_at("_row", F.lit(k + 1)), F.lit(0.0)) for k in range(3)]
     return scored.withColumns(dict(zip(names, outcomes.normalise(*cells)))).drop("_row")
@@ -342,9 +335,9 @@ def candidate_list(tuned: dict[str, tuple[float, float]] | None = None) -> list[
     for trees, depth, leaf, boost in ((300, None, 2, 1.0), (400, 12, 2, 1.0), (300, 12, 4, 1.15)):
         name = _name("random_forest", n=trees, d=depth or "none", leaf=leaf, draw=boost)
         out.append(Candidate(name, "forest", {"trees": trees, "depth": depth, "leaf": leaf}, boost))
-    for trees, depth, rate, boost in ((300, 6, 0.05, 1.0), (350, 4, 0.05, 1.0), (400, 4, 0.03, 1.0), (350, 5, 0.05, 1.15)):
-        name = _name("boosting", n=trees, d=depth, lr=rate, draw=boost)
-        out.append(Candidate(name, "boosting", {"trees": trees, "depth": depth, "rate": rate}, boost))
+    for trees, depth, rate, penalty, boost in ((300, 6, 0.05, 1.0, 1.0), (350, 4, 0.05, 1.0, 1.0), (400, 4, 0.03, 2.0, 1.0), (350, 5, 0.05, 1.5, 1.15)):
+        name = _name("boosting", n=trees, d=depth, lr=rate, penalty=penalty, draw=boost)
+        out.append(Candidate(name, "boosting", {"trees": trees, "depth": depth, "rate": rate, "penalty": penalty}, boost))
     for first, second, boost, scale in ((2.0, 1.0, 1.6, 1.0), (2.0, 1.0, 1.8, 1.08), (1.0, 2.0, 2.0, 1.1)):
         name = _name("two_stage", s1c=first, s2c=second, draw=boost, scale=scale)
         out.append(Candidate(name, "two_stage", {"stage1_c": first, "stage2_c": second, "scale": scale}, boost))

@@ -31,3 +31,9 @@ def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     path = shared_folder(df.sparkSession, folder)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of working tables that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
