@@ -13,8 +13,9 @@ Vectors that remain are scored in full. The best k of each shard are merged.
 
 Defined cases: vectors that are null or hold null, NaN or infinite components take no part, nor do rows without an
 id; an empty vector scores 0; shorter vectors are filled with zeros; a query is never compared with rows of its
-own id; repeated ids are candidates each, and count as one query; integers are limited to +-2**26, so that
-sums stay exact; ties go to the smaller id; empty tables give an empty result; only the id and vector columns are read.
+own id; repeated ids are candidates each, and the one with the smallest vector (element by element) is the query; a group in
+which an integer or a sum of products may leave 64 bits counts with Python's integers, so every score within a long is exact,
+and one beyond it ends the job with an error; ties go to the smaller id; empty tables give an empty result; only the id and vector columns are read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LIMIT = 2**26
 SHARD_ROWS = 4096
 BLOCK_ROWS = 1024
 
@@ -35,7 +35,10 @@ def integers(vectors: DataFrame, scale: int = 1024, vector_id: str = "vec_id", v
     """vec_id, v (array of integers) of the rows that take part."""
     x = F.col(vector).cast("array<double>")
     whole = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    scaled = F.transform(x, lambda c: F.greatest(F.least(F.floor(c * scale), F.lit(LIMIT)), F.lit(-LIMIT)).cast("int"))
+    scaled = F.transform(x, lambda c: F.floor(c * scale).cast("long"))
+    # Products that a long cannot hold would be cut without a word: such a component ends the job.
+    fits = F.forall(x, lambda c: F.abs(c * scale) < F.lit(2.0**62))
+    scaled = F.when(fits, scaled).otherwise(F.raise_error(F.lit("a scaled component is beyond 64 bits")))
     return (vectors.select(F.col(vector_id).cast("long").alias("vec_id"), F.col(vector).alias(vector))
             .filter(F.col("vec_id").isNotNull() & F.col(vector).isNotNull() & whole).select("vec_id", scaled.alias("v")))
 
@@ -71,7 +74,7 @@ class Shard:
         threshold = np.partition(scores, -k)[-k] if len(scores) >= k else -np.iinfo(np.int64).max
         # Non-essential: their bounds together stay below the threshold.
         first = int(np.searchsorted(below, threshold, side="left"))
-        gathered = np.zeros(len(self.ids), np.int64)
+        gathered = np.zeros(len(self.ids), self.rows.dtype)
         if threshold <= 0:
             competing = np.arange(len(self.ids))  # a vector without any matching term may still be among the best
         else:
@@ -89,7 +92,7 @@ class Shard:
             gathered[competing] += np.maximum(self.columns[d][competing] * query[d], 0)
         competing = competing[gathered[competing] >= threshold]
         scores = self.rows[competing] @ query
-        best = np.lexsort((self.ids[competing], -scores))[:k]
+        best = np.lexsort((self.ids[competing], -scores.astype(np.int64)))[:k]
         return self.ids[competing[best]], scores[best]
 
     def _strong(self, dim: int, side: int, k: int) -> np.ndarray:
@@ -99,17 +102,21 @@ class Shard:
         return rows[np.argpartition(np.abs(self.columns[dim][rows]), -2 * k)[-2 * k:]]
 
 
-def _matrix(rows: pd.Series, dims: int) -> np.ndarray:
-    out = np.zeros((len(rows), dims), np.int64)
+def _matrix(rows: pd.Series, dims: int, kind=np.int64) -> np.ndarray:
+    out = np.zeros((len(rows), dims), kind)
     for at, row in enumerate(rows):
-        out[at, :len(row)] = row
+        out[at, :len(row)] = row if kind is np.int64 else [int(x) for x in row]
     return out
 
 
+def _largest(rows: pd.Series) -> int:
+    return max((int(np.abs(np.asarray(row, np.int64)).max(initial=0)) for row in rows), default=0)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10,
           shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score; both inputs are (vec_id, v) as from `integers`."""
-    queries = queries.dropDuplicates(["vec_id"])
+    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     shards = max(1, -(-vectors.count() // shard_rows))
     blocks = max(1, -(-queries.count() // block_rows))
     spread = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(shards)).cast("int")
@@ -124,11 +131,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10,
         if not len(rows) or not len(asked):
             return pd.DataFrame({n: np.empty(0, np.int64) for n in names})
         dims = int(max(rows["v"].map(len).max(), asked["v"].map(len).max()))
-        shard = Shard(rows["vec_id"].to_numpy(np.int64), _matrix(rows["v"], dims))
+        # The largest sum of products any pair of the group may have, as Python's integers.
+        kind = np.int64 if dims * _largest(rows["v"]) * _largest(asked["v"]) < 2**62 else object
+        shard = Shard(rows["vec_id"].to_numpy(np.int64), _matrix(rows["v"], dims, kind))
         out = []
-        for query_id, query in zip(asked["vec_id"], _matrix(asked["v"], dims)):
+        for query_id, query in zip(asked["vec_id"], _matrix(asked["v"], dims, kind)):
             ids, scores = shard.top(query_id, query, k)
-            out.append(np.stack([np.full(len(ids), query_id), ids, scores], axis=1))
+            # A score beyond a long raises here.
+            out.append(np.stack([np.full(len(ids), query_id), ids, scores.astype(np.int64)], axis=1))
         return pd.DataFrame(np.concatenate(out), columns=names)
 
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(

@@ -626,3 +626,28 @@ def test_words_that_end_in_a_dotted_capital_i():
     texts = ["Dİ, x", "İ.", "aİ) İ", *("".join(rnd.choice("Dab İİé,.!)-'") for _ in range(rnd.randrange(12))) for _ in range(3000))]
     for text, got in zip(texts, packing.encoder(BPE)(texts)):
         assert np.frombuffer(got, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_top_k_of_large_components_and_equal_query_ids(spark):
+    """Integers far above 2**26 next to small ones, and queries that share an id."""
+    rnd = random.Random(8)
+    rows = [(i, [rnd.choice((1.0, 1.0, 3e5, 2e6)) * rnd.uniform(-1, 1) for _ in range(6)]) for i in range(120)]
+    rows += [(0, [5.0] * 6), (0, [-2000.0] * 6), (7, rows[7][1])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    table = search.integers(frame)
+    whole = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows]
+    asked = {i: min(v for j, v in whole if j == i) for i in (0, 7, 14)}
+    wanted = []
+    for query_id, query in asked.items():
+        scored = sorted((-sum(a * b for a, b in zip(query, v)), i) for i, v in whole if i != query_id)[:10]
+        wanted += [(query_id, at + 1, i, -s) for at, (s, i) in enumerate(scored)]
+    got = search.top_k(table, table.filter("vec_id in (0, 7, 14)"), shard_rows=32).collect()
+    assert sorted(map(tuple, got)) == sorted(wanted)
+    # Beyond 62 bits in a sum: Python's integers as long as the score is a long.
+    big = spark.createDataFrame([(1, [2.0**30, 1.0]), (2, [2.0**10, 2.0**45]), (3, [-2.0**30, 2.0])], frame.schema)
+    table = search.integers(big, 1)
+    assert [tuple(r) for r in search.top_k(table, table.filter("vec_id = 1")).collect()] == [
+        (1, 1, 2, 2**40 + 2**45), (1, 2, 3, 2 - 2**60)]
+    huge = spark.createDataFrame([(1, [1e300])], frame.schema)
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        search.integers(huge).collect()
