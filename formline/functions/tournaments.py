@@ -33,6 +33,7 @@ CONTINENTAL_KEYWORDS = (
     "nations league",
 )
 
+# Segment and confederation names of the data, in the order reports use.
 SEGMENTS = ("worldcup", "friendlies", "qualifiers", "continental")
 COMPETITION_SEGMENTS = ("World Cup", "Qualifier", "Continental", "Friendly", "Other")
 CONFEDERATION_ORDER = ("UEFA", "AFC", "CAF", "CONCACAF", "CONMEBOL")

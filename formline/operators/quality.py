@@ -126,6 +126,7 @@ STANDARD_MATCHES = Contract(
     dates=("match_date",),
     minimum={"home_goals": 0, "away_goals": 0},
 )
+# The columns that the stored tables must have.
 FEATURE_DATASET = Contract(
     "feature_dataset",
     required=(*_MATCH_COLUMNS[:5], "elo_home", "elo_away", "elo_diff", "target_multiclass", "target"),
@@ -134,6 +135,7 @@ FEATURE_DATASET = Contract(
     minimum={"home_goals": 0, "away_goals": 0},
     allowed={"target_multiclass": (-1, 0, 1), "target": (0, 1)},
 )
+# Fixed values, as above.
 _RUN_REQUIRED = (
     "artifact_path", "data_path", "training_rows", "test_rows", "feature_count", "accuracy",
     "macro_f1", "weighted_f1", "log_loss", "trained_at_utc", "persisted_at_utc",
@@ -144,6 +146,7 @@ TRAINING_RUNS = Contract(
     non_null=_RUN_REQUIRED,
     dates=("trained_at_utc", "persisted_at_utc"),
 )
+# Fixed values, as above.
 TRAINING_SUMMARY = Contract(
     "training_summary",
     required=(
