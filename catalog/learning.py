@@ -7,17 +7,20 @@ row. Oracles check what a fit must give whatever its coefficients: rows, sums, c
 
 from __future__ import annotations
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalog.common import Registry, day, r6, with_views
-from catalog.evaluation import SEGMENTED_SQL, frame
+from catalog.evaluation import GRID_SQL, SEGMENTED_SQL, frame
 from catalog.features import FEATURES_SQL, HISTORY_SQL, LATEST_SQL, featured, history
 from formline import views
-from formline.operators import metrics, snapshots, standard, thresholds
-from formline.plans import build, formulas, models, scoring, training
+from formline.operators import metrics, ordered, snapshots, standard, thresholds
+from formline.plans import build, formulas, models, scoring, search, training
 from formline.plans.models import Candidate
 from formline.sources.folders import shared_folder, stored
 
@@ -224,33 +227,89 @@ add("M10_sigmoid_calibration", with_views("predictions", ctes=_newton_sql(12), b
 add("M11_isotonic_calibration", with_views("predictions", ctes=_ISOTONIC_SQL, body=_ROW_SQL))(_calibrated("isotonic"))
 
 
+# The search space without its forests and boosting, whose 300 to 400 trees take hours on one machine.
+SEARCHED = ("dummy", *search.LINEAR)
+
+
+def _searched():
+    return [c for c in models.candidate_list() if c.family in SEARCHED]
+
+
 @add(
     "M13_temporal_backtest",
-    with_views("matches", body="select model_name, true as in_range, count(*) // 4 as fold_rows from matches, (values ('logistic'), ('prior')) v(model_name) group by 1"),
+    with_views("matches", body="""select model_name, cast(fold as int) as fold, count(*) // 6 as fold_rows, true as in_range, true as settled, true as agrees_where_fitted_apart
+ from matches, range(1, 6) r(fold), (values """ + ", ".join(f"('{c.name}')" for c in _searched()) + """) v(model_name) group by 1, 2"""),
 )
 def m13(spark, sf_dir):
+    """Every linear candidate over five folds from shared fits. In the first fold, one of each ensemble family and every
+    other candidate are fitted apart by the library's own solver as well; its stopping rule leaves 0.002 of log loss."""
     rows = feature_rows(spark, sf_dir)
-    folds, ranking = training.backtest([Candidate("prior", "dummy"), LOGISTIC], rows, metrics.feature_columns(rows), splits=3)
-    sizes = folds.groupBy("model_name").agg(F.max("n").alias("fold_rows"))
-    return ranking.join(sizes, "model_name").select(
-        "model_name", F.col("macro_f1").between(0, 1).alias("in_range"), "fold_rows")
+    columns, candidates = metrics.feature_columns(rows), _searched()
+    scores = search.out_of_fold([c for c in candidates if search.shared(c)], rows, columns, TARGET, training.ORDER, 5)
+    folds, _ = training.backtest(candidates, rows, columns, 5, scores=scores)
+    past, valid = ordered.expanding_folds(rows, training.ORDER, 5)[0]
+    hybrids = [[c for c in candidates if c.family == f][0] for f in search.ENSEMBLES]
+    apart = [c for c in candidates if c.family not in search.ENSEMBLES] + hybrids
+    with ThreadPool(4) as pool:
+        parts = pool.map(lambda c: models.fit(c, past, columns).score(valid).select(
+            F.lit(c.name).alias("model_name"), F.col(TARGET).alias("actual"), "predicted", *metrics.PROBABILITIES), apart)
+    alone = metrics.evaluate(reduce(DataFrame.unionByName, parts), "model_name").select(
+        "model_name", F.lit(1).alias("fold"), F.col("log_loss").alias("alone"))
+    settled = all(f.gradient <= search.TOLERANCE for f in scores.learned)
+    return folds.join(alone, ["model_name", "fold"], "left").select(
+        "model_name", F.col("fold").cast("int").alias("fold"), F.col("n").alias("fold_rows"),
+        (F.col("macro_f1").between(0, 1) & (F.col("log_loss") > 0)).alias("in_range"), F.lit(settled).alias("settled"),
+        F.coalesce(F.abs(F.col("log_loss") - F.col("alone")) < 0.002, F.lit(True)).alias("agrees_where_fitted_apart"))
 
 
 @add(
     "M16_training_job",
-    with_views("matches", body="select cast(floor(count(*)*0.2) as bigint) as n, true as in_range from matches"),
+    with_views("matches", body="""select cast(floor(count(*)*0.2) as bigint) as n, true as in_range, 16::bigint as candidates, 5::bigint as folds,
+ true as chosen_is_first from matches"""),
 )
 def m16(spark, sf_dir):
+    """The job without given candidates: thresholds tuned from the out-of-fold table, then every candidate of SEARCHED."""
+    rows = feature_rows(spark, sf_dir)
+    out = training.train_and_select(rows, splits=5, calibration_size=0.25, families=SEARCHED)
+    tried = out["fold_metrics"].agg(F.count_distinct("model_name").alias("candidates"), F.count_distinct("fold").alias("folds"))
+    first = out["ranking"].filter("selection_rank = 1").select(
+        (F.col("model_name") == out["summary"]["selected_model_name"]).alias("chosen_is_first"))
+    return out["test_metrics"].select(
+        "n", (F.col("accuracy").between(0, 1) & (F.col("log_loss") > 0)).alias("in_range")).crossJoin(tried).crossJoin(first)
+
+
+@add(
+    "M15_tuned_segments",
+    with_views("matches", body="""select distinct match_segment, true as equals_sql, true as equals_job from (select case tournament when 'FIFA World Cup' then 'worldcup' when 'Friendly' then 'friendlies'
+ when 'FIFA World Cup qualification' then 'qualifiers' when 'UEFA Euro' then 'continental' end as match_segment from matches) where match_segment is not null"""),
+)
+def m15_tuned(spark, sf_dir):
+    """Thresholds of the standing log-loss budget from out-of-fold scores, next to plain SQL that tries every cell on every row."""
     rows = feature_rows(spark, sf_dir)
-    out = training.train_and_select(rows, [Candidate("prior", "dummy"), LOGISTIC], splits=3, calibration_size=0.25)
-    return out["test_metrics"].select("n", (F.col("accuracy").between(0, 1) & (F.col("log_loss") > 0)).alias("in_range"))
+    scores = search.out_of_fold([training.PROBE], rows, metrics.feature_columns(rows), TARGET, training.ORDER, 5)
+    pairs = stored(scores.pairs(training.PROBE))
+    pairs.createOrReplaceTempView("out_of_fold_pairs")
+    cells = GRID_SQL.replace(SEGMENTED_SQL, "segmented as (select * from out_of_fold_pairs)").replace("filter (", "filter (where ")
+    expected = spark.sql(f"""with {cells}, allowed as (select *, row_number() over (partition by match_segment order by draw_f1 desc, i, j) as rn
+ from scored_cells where overrides>0 and draw_f1>base_draw_f1 and log_loss<=base_log_loss+{thresholds.LOG_LOSS_BUDGET})
+select s.match_segment, coalesce(a.u,0.01d) as u, coalesce(a.c,0.99d) as c from (select distinct match_segment from scored_cells) s
+ left join (select * from allowed where rn=1) a using (match_segment)""")
+    job = thresholds.threshold_table(spark, training.tuned_segments(pairs)).withColumnsRenamed({"uncertainty": "ju", "conviction": "jc"})
+    best = thresholds.tune_thresholds(pairs)
+
+    def same(u, c):
+        return (F.abs(F.col("uncertainty") - F.col(u)) < 1e-9) & (F.abs(F.col("conviction") - F.col(c)) < 1e-9)
+
+    return best.join(expected, "match_segment").join(job, "match_segment").select(
+        "match_segment", same("u", "c").alias("equals_sql"), same("ju", "jc").alias("equals_job"))
 
 
 @add("M17_shadow_candidate", with_views("matches", body="select match_id, 1.0::double as probability_sum, 'segmented' as model_name from matches"))
 def m17(spark, sf_dir):
+    """The whole job, split to test, on every row."""
     rows = feature_rows(spark, sf_dir)
     folder = shared_folder(spark)
-    training.train_and_select(learned_from(rows), [Candidate("prior", "dummy"), SEGMENTED], splits=3, calibration_size=0.25, model_folder=folder, tag="v1")
+    training.train_and_select(rows, [Candidate("prior", "dummy"), SEGMENTED], splits=5, calibration_size=0.25, model_folder=folder, tag="v1")
     shadow, _, about = models.load(f"{folder}/shadow", spark)
     return _row_sums(shadow.score(rows)).select("match_id", "probability_sum", F.lit(about["model"]["name"]).alias("model_name"))
 
