@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from catalog.common import AS_OF, Registry, day, r6, with_views
 from formline import views
-from formline.operators import monitor, quality, report, snapshots
+from formline.operators import monitor, quality, report, rollups, snapshots
+from formline.sources.folders import shared_folder
 
 QUERIES = Registry()
 add = QUERIES.add
@@ -124,6 +125,36 @@ def a23(spark, sf_dir):
     return monitor.version_summary(recent(spark, sf_dir, days=7)).withColumn("avg_win_prob", r6("avg_win_prob"))
 
 
+# ---- the same from hourly states --------------------------------------------
+
+
+def _rolled(spark, sf_dir, days=30):
+    """States of the whole log, appended in three runs of which one is repeated, then the window."""
+    log, folder = views.inference_log(spark, sf_dir), shared_folder(spark)
+    for run in (0, 1, 2, 1):
+        rollups.append(log.filter(F.pmod("match_id", F.lit(3)) == run), folder, f"run-{run}")
+    return rollups.window(spark, folder, AS_OF, 24 * days)
+
+
+def _from_states(name, of, days, made, finish=lambda df: df):
+    @add(name, QUERIES[of][1])
+    def query(spark, sf_dir):
+        return finish(made(*_rolled(spark, sf_dir, days)))
+
+
+_from_states("A18_statistics_from_states", "A18_inference_statistics", 30, rollups.inference_statistics,
+             lambda df: df.withColumns({c: _stamp(F.col(c)) for c in ("earliest_request", "latest_request")}))
+_from_states("A19_shadow_from_states", "A19_segment_shadow_performance", 30, lambda s, _: rollups.segment_shadow_performance(s))
+_from_states("A20_hours_from_states", "A20_hourly_performance", 30, lambda s, _: rollups.hourly_performance(s), lambda df: df.withColumns({
+    "hour": _stamp(F.col("hour")), "match_segment": F.coalesce("match_segment", F.lit("none")),
+    **{c: r6(c) for c in ("avg_home_win_prob", "avg_draw_prob", "avg_away_win_prob")}}))
+_from_states("A21_outcomes_from_states", "A21_outcome_distribution", 30, lambda s, _: rollups.outcome_distribution(s),
+             lambda df: df.withColumn("match_segment", F.coalesce("match_segment", F.lit("none"))))
+_from_states("A22_matrix_from_states", "A22_shadow_matrix", 2, lambda s, _: rollups.shadow_matrix(s, "qualifiers"))
+_from_states("A23_versions_from_states", "A23_model_version_summary", 7, lambda s, _: rollups.version_summary(s),
+             lambda df: df.withColumn("avg_win_prob", r6("avg_win_prob")))
+
+
 @add(
     "D13_override_usage",
     with_views("inference_log", body="""select coalesce(match_segment,'none') as match_segment, is_override_triggered, predicted_outcome, count(*) as prediction_count from inference_log group by 1,2,3"""),
