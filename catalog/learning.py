@@ -7,6 +7,7 @@ row. Oracles check what a fit must give whatever its coefficients: rows, sums, c
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
@@ -19,9 +20,10 @@ from catalog.common import Registry, day, r6, with_views
 from catalog.evaluation import GRID_SQL, SEGMENTED_SQL, frame
 from catalog.features import FEATURES_SQL, HISTORY_SQL, LATEST_SQL, featured, history
 from formline import views
-from formline.operators import metrics, ordered, snapshots, standard, thresholds
+from formline.operators import metrics, monitor, ordered, rollups, snapshots, standard, thresholds
 from formline.plans import build, formulas, models, scoring, search, training
 from formline.plans.models import Candidate
+from formline.sources import sinks
 from formline.sources.folders import shared_folder, stored
 
 QUERIES = Registry()
@@ -339,6 +341,33 @@ def m18(spark, sf_dir):
         F.count("shadow_predicted_outcome").alias("shadowed"))
 
 
+@add(
+    "M18_served_and_logged",
+    with_views("predictions", ctes=SEGMENTED_SQL, body="""select coalesce(match_segment,'none') as match_segment, count(*) as logged, 0::bigint as violations,
+ true as logged_as_scored, true as states_agree from segmented group by 1"""),
+)
+def m18_served(spark, sf_dir):
+    """A run with a retry under its id: the log holds each result once as scored, and the hourly states say the same."""
+    rows = feature_rows(spark, sf_dir)
+    requests = rows.select("match_id", "match_date", "home_team", "away_team", "tournament", "neutral")
+    folder, history = shared_folder(spark), snapshots.team_snapshots(rows)
+    primary, shadow = fitted(LOGISTIC, rows), fitted(SEGMENTED, rows)
+    for _ in range(2):
+        run = scoring.serve(requests, history, primary, shadow, folder=folder, artifact_path="models/production",
+                            at=datetime(2024, 1, 30, 12, 30, tzinfo=timezone.utc), run_id="run-18", model_version="v1")
+    if run.error:
+        raise RuntimeError(run.error)
+    log = sinks.read_log(spark, f"{folder}/log")
+    kept = ["home_team", "away_team", "predicted_class", "predicted_outcome", "class_probabilities_json", "match_segment",
+            "shadow_predicted_outcome", "shadow_class_probabilities_json", "shadow_model_name", "feature_source"]
+    as_scored = log.select(*kept).exceptAll(run.scored.select(*kept)).isEmpty() and run.scored.select(*kept).exceptAll(log.select(*kept)).isEmpty()
+    states, values = rollups.window(spark, f"{folder}/rollups", "2024-01-31 00:00:00", 24)
+    names = monitor.inference_statistics(log).columns
+    agree = rollups.inference_statistics(states, values).select(*names).first() == monitor.inference_statistics(log).first()
+    return log.groupBy(F.coalesce("match_segment", F.lit("none")).alias("match_segment")).agg(F.count("*").alias("logged")).select(
+        "*", F.lit(run.violations.count()).alias("violations"), F.lit(as_scored).alias("logged_as_scored"), F.lit(agree).alias("states_agree"))
+
+
 @add("M24_fixture_forecast", _ROW_SUMS_SQL)
 def m24(spark, sf_dir):
     rows = feature_rows(spark, sf_dir)

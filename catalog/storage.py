@@ -286,7 +286,10 @@ def r1_watermark(spark, sf_dir):
 @add(
     "R2_streaming_hourly_performance",
     with_views("inference_log", body="""select strftime(h,'%Y-%m-%d %H') as hour, coalesce(match_segment,'none') as match_segment, count(*) as total_predictions,
- count(*) filter (is_override_triggered) as specialist_overrides from (select *, date_trunc('hour', timestamp_utc) as h,
+ count(*) filter (is_override_triggered) as specialist_overrides, round(100.0::double*count(*) filter (is_override_triggered)/count(*),2) as override_rate_pct,
+ count(*) filter (predicted_outcome='home_win') as home_wins, count(*) filter (predicted_outcome='draw') as draws, count(*) filter (predicted_outcome='away_win') as away_wins,
+ """ + ", ".join(f"round(avg(cast(json_extract_string(class_probabilities_json,'$.{o}') as double)),6) as avg_{o}_prob" for o in ("home_win", "draw", "away_win")) + """
+ from (select *, date_trunc('hour', timestamp_utc) as h,
   date_trunc('hour', max(timestamp_utc) over () - interval 2 hour) as closed from inference_log) where h < closed group by 1,2"""),
 )
 def r2(spark, sf_dir):
@@ -297,7 +300,8 @@ def r2(spark, sf_dir):
     jobs.run_hourly(spark, f"{folder}/log", log.schema, f"{folder}/out", f"{folder}/checkpoint")
     out = spark.read.parquet(f"{folder}/out")
     return out.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), F.coalesce("match_segment", F.lit("none")).alias("match_segment"),
-                      "total_predictions", "specialist_overrides")
+                      "total_predictions", "specialist_overrides", "override_rate_pct", "home_wins", "draws", "away_wins",
+                      *[F.round(c, 6).alias(c) for c in ("avg_home_win_prob", "avg_draw_prob", "avg_away_win_prob")])
 
 
 # Sparse pairs for period ratings: every customer pair meets along the order dates.

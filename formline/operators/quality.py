@@ -195,13 +195,22 @@ def prediction_violations(predictions: DataFrame, probabilities: str = "class_pr
     for column, kind in (("match_segment", "string"), ("is_override_triggered", "boolean")):
         if types.get(column, kind) not in (kind, "void"):
             raise ContractError(f"prediction_result: {column} must be {kind}, is {types[column]}")
-    values = F.map_values(F.from_json(probabilities, "map<string,double>"))
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    return predictions.withColumn("probability_sum", total).filter(
+    return predictions.withColumn("probability_sum", _probability_sum(probabilities)).filter(
         F.col("probability_sum").isNull() | ~F.col("probability_sum").between(0.99, 1.01)
     )
 
 
+def _probability_sum(probabilities: str):
+    values = F.map_values(F.from_json(probabilities, "map<string,double>"))
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
+def split_predictions(predictions: DataFrame, probabilities: str = "class_probabilities_json") -> tuple[DataFrame, DataFrame]:
+    """(rows that meet the contract, those of `prediction_violations`)."""
+    broken = prediction_violations(predictions, probabilities)
+    return predictions.filter(_probability_sum(probabilities).between(0.99, 1.01)), broken
+
+
 def duplicates(df: DataFrame, *key: str) -> DataFrame:
     """Keys that occur more than once (counted map-side first)."""
     return df.groupBy(*key).agg(F.count("*").alias("row_count")).filter(F.col("row_count") > 1)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formline.functions import outcomes
-from formline.operators import dims, ordered, snapshots, standard
+from formline.operators import dims, ordered, quality, rollups, snapshots, standard
 from formline.plans.models import ROW, Calibrator, Fitted
+from formline.sources import sinks
+from formline.sources.folders import stored
 
 LABELLED = tuple(zip(("away_win", "draw", "home_win"), ROW))
 
@@ -96,6 +101,47 @@ def score_requests(
     return scored, rejected.unionByName(missing.select(*rejected.columns))
 
 
+@dataclass
+class Served:
+    """What a scoring run leaves behind; `error` is a failure to log, which does not fail the run."""
+
+    scored: DataFrame
+    rejected: DataFrame
+    violations: DataFrame
+    error: str | None
+
+
+def serve(
+    requests: DataFrame,
+    snapshot_history: DataFrame,
+    primary: Fitted,
+    shadow: Fitted | None = None,
+    calibrator: Calibrator | None = None,
+    *,
+    folder: str,
+    artifact_path: str,
+    at: datetime,
+    run_id: str,
+    model_version: str | None = None,
+    as_of_request: bool = False,
+    swap: bool = False,
+) -> Served:
+    """Scores requests, checks every result against the contract, and logs the valid ones with their hourly states.
+
+    Results are written once, so that the answer, the check and the log see the same rows. The log is
+    folder/log, the states are folder/rollups; the same `run_id` again replaces its own rows in both.
+    """
+    scored, rejected = score_requests(requests, snapshot_history, primary, shadow, calibrator, as_of_request, swap)
+    dates = F.struct(*[F.col(f"{side}_snapshot_date").cast("string").alias(f"{side}_team") for side in ("home", "away")])
+    results = stored(scored.withColumns({"feature_snapshot_dates": dates, "model_artifact_path": F.lit(artifact_path)}))
+    valid, violations = quality.split_predictions(results)
+    rows = sinks.log_rows(valid, artifact_path, at, model_version, "match_date" if as_of_request else None)
+    error = sinks.append_log(rows, f"{folder}/log", run_id)
+    if error is None:
+        rollups.append(rows, f"{folder}/rollups", run_id)
+    return Served(results, rejected, violations, error)
+
+
 def forecast(
     fixtures: DataFrame,
     snapshot_history: DataFrame,

@@ -152,12 +152,20 @@ def log_rows(
     ).select(*LOG_COLUMNS)
 
 
-def append_log(rows: DataFrame, path: str) -> str | None:
+def append_log(rows: DataFrame, path: str, run_id: str | None = None) -> str | None:
     """Appends to the log, partitioned by day. A failure is returned, never raised,
-    because scoring must not fail over logging. New columns are read by schema merging."""
+    because scoring must not fail over logging. New columns are read by schema merging.
+
+    With a `run_id` the run's rows have folders of their own, staged and moved in when the write ends: a
+    killed write shows nothing, and a repeated one replaces its own rows. A log has run ids for all or for no rows.
+    """
     try:
         days = rows.withColumn("log_date", F.to_date("timestamp_utc"))
-        days.write.mode("append").partitionBy("log_date").parquet(path)
+        if run_id is None:
+            days.write.mode("append").partitionBy("log_date").parquet(path)
+        else:
+            (days.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("log_date", "run_id").parquet(path))
     except Exception as error:  # noqa: BLE001
         return f"{type(error).__name__}: {error}"
     return None
