@@ -433,3 +433,35 @@ def m25(spark, sf_dir):
         spark, f"{folder}/csv", f"{folder}/json", f"{folder}/layers", multi_line=False,
         candidates=[Candidate("prior", "dummy"), TWO_STAGE], splits=3, calibration_size=0.25, run_id="run-25")
     return stages.select("stage", "status", "rows")
+
+
+@add(
+    "M25_run_reports",
+    with_views("matches", body="""select report, cast(case report when 'fold_metrics' then 10 when 'segments' then floor(n*0.2) else 3*floor(n*0.2) end as bigint) as covered, true as sound
+ from (select count(*) as n from matches), (values ('fold_metrics'),('segments'),('calibration_curves')) v(report)"""),
+)
+def m25_reports(spark, sf_dir):
+    """Reports of a training run, read back: folds of both candidates, time windows that cover the test rows, and curves whose
+    bins hold every row once and keep the mean score and the class share of the test rows."""
+    rows = feature_rows(spark, sf_dir)
+    folder = shared_folder(spark)
+    out = training.train_and_select(rows, [Candidate("prior", "dummy"), LOGISTIC], splits=5, calibration_size=0.25)
+    for name, table in training.report_tables(out).items():
+        sinks.write_report(table, f"{folder}/{name}")
+    folds, segments, curves = (spark.read.json(f"{folder}/{n}") for n in ("fold_metrics", "segments", "calibration_curves"))
+    scored = training.evaluation_frame(out["test_scored"])
+    means = scored.select(F.inline(F.array(*[
+        F.struct(F.lit(label).alias("class"), F.col(p).alias("p"), (F.col("actual") == c).cast("double").alias("hit"))
+        for c, label, p in zip((-1, 0, 1), ("away_win", "draw", "home_win"), metrics.PROBABILITIES)]))).groupBy("class").agg(
+            F.avg("p").alias("p"), F.avg("hit").alias("hit"))
+    found = curves.groupBy("class").agg(
+        (F.sum(F.col("mean_predicted") * F.col("rows")) / F.sum("rows")).alias("curve_p"),
+        (F.sum(F.col("observed") * F.col("rows")) / F.sum("rows")).alias("curve_hit"), F.sum("rows").alias("n"))
+    agreed = found.join(means, "class").agg(
+        F.sum("n").alias("covered"), F.bool_and((F.abs(F.col("p") - F.col("curve_p")) < 1e-6) & (F.abs(F.col("hit") - F.col("curve_hit")) < 1e-6)).alias("sound"))
+    parts = [
+        folds.agg(F.count("*").alias("covered"), F.bool_and(F.col("log_loss") > 0).alias("sound")).withColumn("report", F.lit("fold_metrics")),
+        segments.filter("segment_type = 'time_window'").agg(
+            F.sum("n").alias("covered"), F.bool_and(F.col("accuracy").between(0, 1)).alias("sound")).withColumn("report", F.lit("segments")),
+        agreed.withColumn("report", F.lit("calibration_curves"))]
+    return reduce(DataFrame.unionByName, parts).select("report", "covered", "sound")

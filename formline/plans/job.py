@@ -121,6 +121,8 @@ def run(
         )
         sinks.write_report(out["test_metrics"], f"{folder}/reports/test_metrics")
         sinks.write_report(out["ranking"], f"{folder}/reports/ranking")
+        for name, table in training.report_tables(out).items():
+            sinks.write_report(table, f"{folder}/reports/{name}")
         scored = out["test_metrics"].first()
         about = out["summary"]
         row = sinks.training_run_row(spark, {
