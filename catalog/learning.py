@@ -176,7 +176,28 @@ def m6(spark, sf_dir):
 
 _formula_query("M7_two_stage_draw_model", TWO_STAGE)
 _formula_query("M9_fitted_segment_ensemble", SEGMENTED)
-_fit_query("M21_stacking", Candidate("stack", "stacking", {"bases": [Candidate("prior", "dummy"), LOGISTIC], "folds": 5}))
+# A base of every kind. Each is fitted six times, so the trees are few.
+STACK = Candidate("stack", "stacking", {"folds": 5, "bases": [
+    LOGISTIC, Candidate("forest", "forest", {"trees": 20, "depth": 6, "leaf": 4}),
+    Candidate("boosting", "boosting", {"trees": 3, "depth": 3, "rate": 0.05, "penalty": 1.0})]})
+
+
+@add("M21_stacking", with_views("matches", body="""select match_id, 1.0::double as probability_sum, true as label_is_largest, true as equals_formula, true as same_when_loaded from matches"""))
+def m21(spark, sf_dir):
+    """Scores equal the softmax of the saved meta coefficients over the bases' scores, and those of the model read back."""
+    rows = feature_rows(spark, sf_dir)
+    model, loaded, _ = _saved_and_loaded(spark, STACK, rows)
+    scored, again = stored(model.score(rows)), stored(loaded.score(rows))
+    inputs = rows
+    for i in range(3):
+        names = {p: f"_{i}_{p}" for p in metrics.PROBABILITIES}
+        part = loaded.parts[f"base{i}"].score(rows).select("match_id", *[F.col(p).alias(n) for p, n in names.items()])
+        inputs = inputs.join(part, "match_id")
+    expected = formulas.scores(loaded.parts["meta"], stored(inputs))
+    same = again.select("match_id", *[F.col(p).alias("x_" + p) for p in metrics.PROBABILITIES])
+    equal = F.greatest(*[F.abs(F.col(p) - F.col("x_" + p)) for p in metrics.PROBABILITIES]) < 1e-12
+    return (formulas.same_scores(scored, expected).join(_row_sums(scored), "match_id")
+            .join(scored.join(same, "match_id").select("match_id", equal.alias("same_when_loaded")), "match_id"))
 
 
 def _calibrated(method):
