@@ -36,8 +36,8 @@ def threshold_table(spark: SparkSession, thresholds: dict[str, tuple[float, floa
 def with_thresholds(
     df: DataFrame, thresholds: DataFrame, default: tuple[float, float] = DEFAULTS
 ) -> DataFrame:
-    """Thresholds of the row's segment, else the defaults. One row per segment, so small."""
-    joined = df.join(F.broadcast(thresholds), "match_segment", "left")
+    """Thresholds of the row's segment, else the defaults. A caller's table, so its measured size decides how it is joined."""
+    joined = df.join(thresholds, "match_segment", "left")
     return joined.withColumns(
         {
             "uncertainty": F.coalesce("uncertainty", F.lit(default[0])),
