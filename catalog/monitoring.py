@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.common import AS_OF, Registry, day, r6, with_views
 from formline import views
-from formline.operators import monitor, quality, report, rollups, snapshots
+from formline.operators import check_states, monitor, quality, report, rollups, snapshots
 from formline.sources.folders import shared_folder
 
 QUERIES = Registry()
@@ -269,6 +269,18 @@ def q7(spark, sf_dir):
     return quality.check(_broken(spark, sf_dir), quality.STANDARD_MATCHES)
 
 
+@add("Q7_checks_from_day_states", QUERIES["Q7_match_contract"][1])
+def q7_days(spark, sf_dir):
+    """States of a table without its last three days, then of those days alone, twice."""
+    broken, folder = _broken(spark, sf_dir), shared_folder(spark)
+    late = [r[0] for r in broken.select("match_date").filter("match_date is not null").distinct().orderBy(F.desc("match_date")).limit(3).collect()]
+    before = broken.filter(~F.coalesce(F.col("match_date").isin(late), F.lit(False)))
+    check_states.refresh(before, quality.STANDARD_MATCHES, "match_date", folder)
+    for _ in range(2):
+        check_states.refresh(broken, quality.STANDARD_MATCHES, "match_date", folder, late)
+    return check_states.report(spark, folder)
+
+
 for _name, _rows, _contract in (
     ("Q1_required_columns", [("required_column", "match_id", "cast(0*count(*) as bigint)"), ("required_column", "referee", "cast(1+0*count(*) as bigint)")],
      quality.Contract("q1", required=("match_id", "referee"))),
